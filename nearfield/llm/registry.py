@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, packing, quality_rules, token_files
+from nearfield.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name of each query and the function that makes it of (spark, sf_dir)."""
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_packing": packing.op2_packing,
         "op3_token_files": token_files.op3_token_files,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
