@@ -165,3 +165,25 @@ def clean_lines(
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return clean_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def kept_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), cleaned: bool = False
+) -> DataFrame:
+    """The rows whose text :func:`judge` keeps, with all their columns.
+
+    With ``cleaned`` the text is what the line rules leave of it. Rows are
+    judged where they are read: nothing is shuffled or joined.
+    """
+    names = docs.columns
+    place = names.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge(text, rules) for text in batch.column(place).to_pylist()]
+            keep = pa.array([x["kept"] for x in found], pa.bool_())
+            if cleaned:
+                batch = batch.set_column(place, batch.schema.field(place), pa.array([x["cleaned"] for x in found], batch.schema.field(place).type))
+            yield batch.filter(keep)
+
+    return docs.mapInArrow(each, docs.schema)

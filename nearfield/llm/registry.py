@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, token_files
+from nearfield.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_token_files": token_files.op3_token_files,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mixing": mixing.op10_mixing,
     }
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the rows of those queries that SQL can express."""
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op7_url_filter": url_filter.OP7_SQL}
