@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity, url_filter
+from nearfield.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": token_files.op3_token_files,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_rules": quality_rules.op9_quality_rules,
