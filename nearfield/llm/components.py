@@ -26,6 +26,8 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Node and its component, the least node of it, for every node with a link.
 
+    A component's least node has a row too.
+
     ``links`` has two columns u and v of one orderable type. Large and small
     stars alternate (Kiveris et al. 2014) until nothing changes, in about
     log(longest path) rounds; each round is written to the shared folder.
@@ -38,4 +40,5 @@ def components(links: DataFrame) -> DataFrame:
         if summed == state:
             break
         state = summed
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)

@@ -31,10 +31,12 @@ def _words(line: Column) -> Column:
 
 
 def _shingles(words: Column, k: int) -> Column:
-    """A hash for each window of ``k`` words; lines with fewer words have none."""
+    """A hash for each different window of ``k`` words, of which there must be ``k``.
+
+    ``words`` must be a stored column: each window looks at it again.
+    """
     places = F.sequence(F.lit(0), F.size(words) - k)
-    each = F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
-    return F.when(F.size(words) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k)))))
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,9 +57,9 @@ def _passes(n: Column, m: Column, i: Column, j: Column, least: float) -> Column:
     return (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= needed)
 
 
-def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame | None:
-    """Links (u, v) that connect the classes of ``distinct`` (lid, words); None if there are none."""
-    hashed = distinct.select("lid", _shingles(F.split("words", " "), k).alias("tokens")).where(F.size("tokens") > 0)
+def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
+    """Links (u, v) that connect the classes of ``distinct`` (lid, words as an array)."""
+    hashed = distinct.where(F.size("words") >= k).select("lid", _shingles(F.col("words"), k).alias("tokens"))
     # How common a token is: its bucket's count, in eighths of the mean count.
     counts = hashed.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
     table_of = {r["b"]: r["n"] for r in counts.collect()}  # at most BUCKETS rows
@@ -79,8 +81,7 @@ def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHING
         some = pairs.distinct()
         texts = distinct.select("lid", "words")
         some = some.join(texts.select(F.col("lid").alias("u"), F.col("words").alias("wu")), "u").join(texts.select(F.col("lid").alias("v"), F.col("words").alias("wv")), "v")
-        a, b = _shingles(F.split("wu", " "), k), _shingles(F.split("wv", " "), k)
-        some = some.select("u", "v", a.alias("a"), b.alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
+        some = some.select("u", "v", _shingles(F.col("wu"), k).alias("a"), _shingles(F.col("wv"), k).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
         return written(some.where(F.col("both") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v"), name)
 
     links = verified(led.where(_passes(F.col("n"), F.col("ln"), F.col("i"), F.col("li"), least)).select(F.col("leader").alias("u"), F.col("lid").alias("v")), "line-links")
@@ -96,7 +97,7 @@ def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHING
 def line_classes(lines: DataFrame, least: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
     """For each distinct line, by its digest, the class and the place of the class's first line."""
     text = lines.where("digest is not null").groupBy("digest").agg(F.first("words").alias("words"), F.min(_order()).alias("at"))
-    distinct = written(text.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
+    distinct = written(text.withColumn("words", F.split("words", " ")).withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
     of = components(similar_lines(distinct, least, k))
     named = distinct.select("digest", "lid", "at").join(of.withColumnRenamed("node", "lid"), "lid", "left")
     near = named.where("component is not null")
