@@ -54,3 +54,8 @@ def own(df: DataFrame, **columns: str) -> DataFrame:
     Whatever else the table carries can't clash with an operator's columns.
     """
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def sized(rows: int, each: int = 100_000) -> int:
+    """How many tasks a table of that many short rows is worth."""
+    return max(8, -(-rows // each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import written
+from nearfield.llm.common import sized, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -29,16 +29,17 @@ def components(links: DataFrame) -> DataFrame:
     A component's least node has a row too.
 
     ``links`` has two columns u and v of one orderable type. Large and small
-    stars alternate (Kiveris et al. 2014) until nothing changes, in about
-    log(longest path) rounds; each round is written to the shared folder.
+    stars alternate (Kiveris et al. 2014) until only stars are left, in about
+    log(longest path) rounds; each round is written to the shared folder. As
+    many tasks write as the links ask for, however many a shuffle has.
     """
-    now = written(links.select("u", "v").where("u <> v").distinct(), "links")
-    state = None
+    now = links.select("u", "v")
+    width = sized(now.count())
     while True:
-        now = written(_stars(_stars(now, True), False), "stars")
-        summed = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if summed == state:
+        now = written(_stars(_stars(now, True), False).coalesce(width), "stars")
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        met = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if met.where("up > 1 or (up = 1 and down = 1)").coalesce(width).isEmpty():
             break
-        state = summed
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(least)
