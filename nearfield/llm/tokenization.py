@@ -26,7 +26,7 @@ class TextEncoder:
     ``most_words`` bounds that memory: when it is full, it starts again empty.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000, slice_bytes: int = 16 << 20):
+    def __init__(self, path: str, most_words: int = 500_000, slice_bytes: int = 4 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -95,6 +95,7 @@ class TextEncoder:
             end = max(start + 1, int(np.searchsorted(sizes, done + self.slice_bytes, side="right")))
             out += self._slice(texts.slice(start, end - start))
             start = end
+        pa.default_memory_pool().release_unused()
         return out
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:
