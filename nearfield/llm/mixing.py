@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import WORD, own, table, written
 
 BLOCK = 4096
+#: Documents of a source that are settled by trying all ways.
+LANDING = 12
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2.0
@@ -50,8 +52,8 @@ def capped_targets(sizes: list[int], weights: list[float], total: float, most: f
     return target
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities until at most two units are neither 0 nor 1.
+def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, leave: int = 2) -> np.ndarray:
+    """Move probabilities until at most ``leave`` units, two or more, are neither 0 nor 1.
 
     Three open units at a time have a null space for the two constraints, the
     sums of p and of p * size; a random step within it ends at a 0 or a 1.
@@ -61,7 +63,7 @@ def flight(p: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.nda
     queue = [k for k in rng.permutation(len(p)).tolist() if _EPS < p[k] < 1 - _EPS]
     active, queue = queue[:3], queue[3:]
     queue.reverse()
-    while len(active) == 3:
+    while len(active) == 3 and len(active) + len(queue) > leave:
         i, j, k = active
         u = (x[j] - x[k], x[k] - x[i], x[i] - x[j])  # orthogonal to (1, 1, 1) and to the sizes
         if max(map(abs, u)) < 1e-12:
@@ -90,8 +92,8 @@ def landing(p: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
     p = np.where(p >= 1 - _EPS, 1.0, np.where(p <= _EPS, 0.0, p))
     if len(open_):
         base = float((np.delete(p, open_) * np.delete(sizes, open_)).sum())
-        ways = itertools.product((0.0, 1.0), repeat=len(open_))
-        p[open_] = min(ways, key=lambda w: (abs(base + float(np.dot(w, sizes[open_])) - wanted), sum(w), w))
+        ways = np.array(list(itertools.product((0.0, 1.0), repeat=len(open_))))
+        p[open_] = ways[np.lexsort((ways.sum(axis=1), np.abs(base + ways @ sizes[open_] - wanted)))[0]]
     return p
 
 
@@ -100,7 +102,8 @@ def _moved(last: bool, seed: int):
         rows = rows.sort_values(["doc_id", "size", "p"], kind="stable", na_position="last").reset_index(drop=True)
         sizes, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
         rng = np.random.default_rng([seed, int(rows["block"].iloc[0]), len(rows), int(sizes.sum())])
-        moved = flight(p, sizes, rng)
+        alone = int(rows["blocks"].iloc[0]) <= 1  # the source's last block
+        moved = flight(p, sizes, rng, LANDING if alone else 2)
         if last:
             moved = landing(moved, sizes, float(np.dot(p, sizes)))
         return rows.assign(p=moved)
@@ -165,6 +168,7 @@ def mix(
         # A block leaves two documents at most, so this many blocks leave a block's worth.
         most = -(-most // (block // 2))
         now = moved.where(is_open).withColumn("block", F.floor(F.col("block") / (block // 2)).cast("long"))
+        now = now.withColumn("blocks", F.ceil(F.col("blocks") / (block // 2)).cast(moved.schema["blocks"].dataType))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
