@@ -182,7 +182,7 @@ def test_mix_is_balanced_and_repeats(spark):
     sums = found.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size"), F.first("source_size").alias("source_size"), F.sum(F.when(F.col("taken") > 2 * F.col("size"), 1).otherwise(0)).alias("over"))
     for r in sums.collect():
         assert r["over"] == 0 and r["size"] == r["source_size"]
-        assert abs(r["taken"] - r["target"]) <= 5
+        assert abs(r["taken"] - r["target"]) <= 100  # half of the largest size: the last open documents may all have it
     assert sorted(map(repr, found.collect())) == sorted(map(repr, mixing.mix(frame.repartition(7), block=64).collect()))
     docs_in = sums.agg(F.sum("taken")).first()[0]
     assert docs_in == pytest.approx(1.5 * found.agg(F.sum("size")).first()[0], rel=0.01)
