@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import WORD, own, table, written
 
 BLOCK = 4096
+#: With more sources than this the plan is joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Documents of a source that are settled by trying all ways.
 LANDING = 12
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -144,7 +146,7 @@ def mix(
     ]
     plan_df = spark.createDataFrame(plan, "plan_source string, source_size long, target double, rate double, blocks long, rank long")
     # Blocks are numbered over all sources, so that every block has a number of its own.
-    ranked = sized.join(F.broadcast(plan_df), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    ranked = sized.join(F.broadcast(plan_df) if len(plan) <= MOST_BROADCAST else plan_df, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     whole = F.floor(F.col("rate") + 1e-12)
     rest = F.col("rate") - whole
     now = ranked.select(
