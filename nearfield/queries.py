@@ -154,9 +154,8 @@ def _code_dot(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """A function of (spark, sf_dir) for each operator."""
-    unit = l2_normalize("embedding")
     return {
-        "l2_normalize": _with_data(lambda v: _long(v.select("vec_id", unit.alias("e")), "e", ["vec_id"])),
+        "l2_normalize": _with_data(lambda v: _long(v.select("vec_id", l2_normalize("embedding").alias("e")), "e", ["vec_id"])),
         "squared_l2": _with_data(lambda v: _pairs(v).select("vec_id", _r(squared_l2("a", "b")).alias("value"))),
         "vector_add": _with_data(lambda v: _long(_pairs(v).select("vec_id", vector_add("a", "b").alias("e")), "e", ["vec_id"])),
         "dot_product": _with_data(lambda v: _pairs(v).select("vec_id", _r(dot("a", "b")).alias("value"))),
