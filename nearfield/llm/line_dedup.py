@@ -7,9 +7,10 @@ then by hash. Lines whose Jaccard similarity is at least t share a token in
 their prefixes of n - ceil(t * n) + 1 tokens; the places of that token and the
 lengths bound the overlap. What these filters leave is verified.
 
-Within the lines of a token each is first compared with one leader. Only lines
-that end up in another class than their leader are compared with all others of
-the token, so a group of near copies costs its size and not its square.
+Within the lines of a token each is first compared with one leader, those that
+end up in another class with a second. Only what is then in another
+class than the first leader is compared with the token's other classes, so a
+group of near copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from nearfield.llm.components import components
 
 #: Entries of the table of shingle counts; fixed, whatever the input.
 BUCKETS = 1 << 16
+#: How often a token's lines are compared with one leader before the rest is compared in full.
+LEADERS = 2
 _BLANK = " \t\x0b\x0c\r"
 
 
@@ -73,24 +76,39 @@ def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHING
     rows = ordered.select("lid", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("i", "token"))
 
     by_token = Window.partitionBy("token").orderBy("lid")
-    shared = rows.select("*", F.first("lid").over(by_token).alias("leader"), F.first("n").over(by_token).alias("ln"), F.first("i").over(by_token).alias("li"), F.lead("lid").over(by_token).alias("next"))
-    shared = written(shared.where((F.col("lid") != F.col("leader")) | F.col("next").isNotNull()).drop("next"), "line-shared")
-    led = shared.where("lid <> leader")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        some = pairs.distinct()
-        texts = distinct.select("lid", "words")
-        some = some.join(texts.select(F.col("lid").alias("u"), F.col("words").alias("wu")), "u").join(texts.select(F.col("lid").alias("v"), F.col("words").alias("wv")), "v")
-        some = some.select("u", "v", _shingles(F.col("wu"), k).alias("a"), _shingles(F.col("wv"), k).alias("b")).withColumn("both", F.size(F.array_intersect("a", "b")))
-        return written(some.where(F.col("both") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v"), name)
-
-    links = verified(led.where(_passes(F.col("n"), F.col("ln"), F.col("i"), F.col("li"), least)).select(F.col("leader").alias("u"), F.col("lid").alias("v")), "line-links")
-    classes = components(links)
-    named = led.join(classes.select(F.col("node").alias("lid"), F.col("component").alias("c")), "lid", "left").join(classes.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
-    apart = named.where(F.coalesce("c", "lid") != F.coalesce("lc", "leader")).select("token", "lid", "n", "i")
-    other = shared.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("leader"))
-    rest = apart.join(other, "token").where((F.col("lid") != F.col("other")) & (F.col("other") != F.col("leader")) & _passes(F.col("n"), F.col("m"), F.col("i"), F.col("j"), least))
-    more = verified(rest.select(F.least("lid", "other").alias("u"), F.greatest("lid", "other").alias("v")), "line-links")
+    lead = lambda df: df.select("*", F.first("lid").over(by_token).alias("leader"), F.first("n").over(by_token).alias("ln"), F.first("i").over(by_token).alias("li"), F.lead("lid").over(by_token).alias("next"))
+    shared = written(lead(rows).where((F.col("lid") != F.col("leader")) | F.col("next").isNotNull()).drop("next"), "line-shared")
+    # Only lines that share a token are verified: their texts are fetched once.
+    bodies = written(distinct.select("lid", "words").join(shared.select("lid").distinct(), "lid", "left_semi").select("lid", _shingles(F.col("words"), k).alias("tokens")), "line-bodies")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (bodies.select(F.col("lid").alias(v), F.col("tokens").alias(t)) for v, t in (("u", "a"), ("v", "b")))
+        some = pairs.distinct().join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+        return written(some.where(F.col("both") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v"), "line-links")
+
+    def classed(df: DataFrame, of: str, name: str) -> DataFrame:
+        named = df.join(classes.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left")
+        return named.withColumn(name, F.coalesce(name, of))
+
+    led, links = shared.where("lid <> leader"), None
+    for turn in range(LEADERS):
+        pairs = led.where(_passes(F.col("n"), F.col("ln"), F.col("i"), F.col("li"), least)).select(F.col("leader").alias("u"), F.col("lid").alias("v"))
+        found = verified(pairs)
+        links = found if links is None else links.unionByName(found)
+        classes = components(links)
+        apart = classed(classed(led, "lid", "c"), "leader", "lc").where("c <> lc").select("token", "lid", "n", "i")
+        if turn < LEADERS - 1:
+            led = written(lead(apart).where("lid <> leader").drop("next"), "line-led")
+            if led.isEmpty():
+                break
+    # What is still in another class than its token's first leader is compared with all of the token's other classes.
+    # A pair is looked at under the first token that both have, where the positional filter is sharpest.
+    own_tokens = shared.groupBy("lid").agg(F.array_sort(F.collect_list("token")).alias("mine"))
+    of_all = written(classed(classed(shared, "lid", "c"), "leader", "lc").join(own_tokens, "lid"), "line-classed")
+    other = of_all.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("oc"), F.col("mine").alias("theirs"))
+    first = F.element_at(F.array_intersect("mine", "theirs"), 1) == F.col("token")
+    rest = of_all.where("c <> lc").join(other, "token").where((F.col("c") != F.col("oc")) & _passes(F.col("n"), F.col("m"), F.col("i"), F.col("j"), least) & first)
+    more = verified(rest.select(F.least("lid", "other").alias("u"), F.greatest("lid", "other").alias("v")))
     return links.unionByName(more)
 
 
