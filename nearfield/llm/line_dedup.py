@@ -46,7 +46,11 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Every line: row, doc_id, line, digest of its words (null without words) and text."""
     rows = own(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    joined = F.array_join(_words(F.col("text")), " ")
+    # Most lines have single spaces only: then the line itself, trimmed, is its words.
+    odd = F.contains("text", F.lit("  "))
+    for c in _BLANK[1:]:
+        odd = odd | F.contains("text", F.lit(c))
+    joined = F.when(odd, F.array_join(_words(F.col("text")), " ")).otherwise(F.trim("text"))
     return lines.withColumn("words", joined).select("row", "doc_id", "line", F.when(F.col("words") != "", F.unhex(F.md5("words"))).alias("digest"), "text", "words")
 
 
