@@ -23,6 +23,8 @@ from nearfield.llm.tokenization import TextEncoder, default_vocabulary
 
 CAPACITY = 2048
 END_ID = 1
+#: Documents that a worker tokenizes at a time.
+ROWS = 1_500
 
 
 def cut_lengths(total: int, capacity: int, slack: float = 0.02) -> list[int]:
@@ -123,14 +125,16 @@ def pack(
 
         for batch in batches:
             kept_kind = batch.column("doc_id").type
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
-                ids, start = np.append(ids, np.uint32(end_id)), 0
-                for length in cut_lengths(len(ids), capacity, slack):
-                    if full := bins.add((doc, start, ids[start : start + length], len(ids))):
-                        put(full)
-                    start += length
-                if len(out) >= 20_000:
-                    yield batch_of()
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
+                    ids, start = np.append(ids, np.uint32(end_id)), 0
+                    for length in cut_lengths(len(ids), capacity, slack):
+                        if full := bins.add((doc, start, ids[start : start + length].copy(), len(ids))):
+                            put(full)
+                        start += length
+                    if len(out) >= 4_000:
+                        yield batch_of()
         if kept_kind is not None:
             for pieces in bins.close():
                 put(pieces)

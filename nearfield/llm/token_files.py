@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import own, scratch, table, written
+from nearfield.llm.packing import ROWS
 from nearfield.llm.tokenization import TextEncoder, default_vocabulary
 
 MAGIC = b"NFTOKEN1"
@@ -192,8 +193,10 @@ def write_tokens(
                 encoder = TextEncoder(model)
                 out = fs.open_output_stream(attempt)
                 writer = ShardWriter(out, bits_for(encoder.tokenizer.get_vocab_size()), block_ids)
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
-                writer.add(doc, np.append(ids, np.uint32(end_id)))
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
+                    writer.add(doc, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()
