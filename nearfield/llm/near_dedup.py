@@ -6,10 +6,12 @@ the text, so two texts share a sketch more often the smaller their edit
 distance is (Marçais et al. 2019). Documents that share a sketch are
 candidates; a banded alignment of their words decides.
 
-In each bucket the documents are compared with the bucket's least one alone.
-What isn't similar to it is compared again in buckets of two sketches, then
-of three and so on, until no bucket holds two unlike documents that haven't
-been compared with one of their bucket.
+In each bucket the documents are compared with the bucket's least one, then
+those in another class than it with the least of them, and so on for a few
+rounds. After that every two documents of a bucket that are still in different
+classes are compared, whichever their classes are, so a link between two
+documents that share a sketch is never lost. Lengths and counts of words, which
+bound the edit distance from below, spare most of these alignments.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, own, sized, table, w
 from nearfield.llm.components import components
 
 SKETCHES = 20
-MOST_ROUNDS = 5
+#: Rounds of leaders before all that are left are compared; the result doesn't depend on it.
+MOST_ROUNDS = 2
+#: Counters of words in a profile.
+_PROFILE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MOST_KNOWN = 400_000
 
@@ -128,6 +133,35 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(each, "u binary, v binary")
 
 
+def _profiles(bodies: DataFrame) -> DataFrame:
+    """digest, n (words) and counts: how many words fall to each of a few counters, as bytes that stop at 255."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
+            counts = [np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(w) for w in words], pa.int32()), pa.array(counts, pa.binary())], names=["digest", "n", "counts"])
+
+    return bodies.mapInArrow(each, "digest binary, n int, counts binary")
+
+
+def _possible(pairs: DataFrame, least: float) -> DataFrame:
+    """Those pairs (u, v, n, m, a, b) whose counts of words allow the edit distance; none that is near is lost."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4000):
+                part = batch.slice(at, 4000)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, _PROFILE).astype(np.int16) for c in "ab")
+                longer = np.maximum(part.column("n").to_numpy(), part.column("m").to_numpy())
+                # Each edit takes one word away, adds one, or both.
+                apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+                keep = pa.array(apart <= np.floor(longer * (1 - least) + 1e-9))
+                yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
+
+    return pairs.mapInArrow(each, "u binary, v binary")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -155,38 +189,55 @@ def near_groups(
     met = None  # links found so far
     of = None  # node and component
     tried = None  # pairs compared so far
-    waiting = keys.select("digest", "place", F.xxhash64("place", "key").alias("bucket"))
-    width = None  # of what a round writes; later rounds are as small as what is left for them
-    for turn in range(rounds):
-        if turn:
-            # The same sketch together with the next ones: unlike documents part, near copies stay together.
-            mine = keys.join(waiting.select("digest").distinct(), "digest", "left_semi")
-            wide = mine.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("all"))
-            at = lambda k: F.element_at("all", ((F.col("place") + k) % F.size("all") + 1).cast("int"))["key"]
-            waiting = waiting.join(wide, "digest").select("digest", "place", F.xxhash64("place", *(at(k) for k in range(turn + 1))).alias("bucket"))
-        leaders = waiting.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-        led = waiting.join(leaders, "bucket").where("digest <> leader").select("digest", "place", "leader")
-        led = written(led.coalesce(width) if width else led, "near-led")
-        pairs = led.select(F.col("leader").alias("u"), F.col("digest").alias("v")).distinct()
+    texts = lambda nodes: signed.select("digest", "words").join(nodes, "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
+
+    def compared(pairs: DataFrame, width: int | None = None) -> None:
+        """Compare those pairs (u, v) that haven't been, and bring links and components up to date."""
+        nonlocal met, of, tried
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = written(pairs.coalesce(width) if width else pairs, "near-pairs")
-        many = pairs.count()
-        if not many:
-            break
+        if pairs.isEmpty():
+            return
         tried = pairs if tried is None else tried.unionByName(pairs)
         nodes = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-        bodies = signed.select("digest", "words").join(nodes, "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
+        bodies = texts(nodes)
         bodies = written(bodies.coalesce(width) if width else bodies, "near-bodies", compression="zstd")
         found = written(_confirmed(pairs, bodies, least), "near-links")
         met = found if met is None else met.unionByName(found)
         of = components(met)
-        name = lambda c: F.coalesce(F.col(f"c_{c}"), F.col(c))
-        named = led.join(of.select(F.col("node").alias("digest"), F.col("component").alias("c_digest")), "digest", "left")
-        named = named.join(of.select(F.col("node").alias("leader"), F.col("component").alias("c_leader")), "leader", "left")
-        left = named.where(name("digest") != name("leader")).select("digest", "place")
-        waiting = written(left.coalesce(sized(many)), "near-waiting")
-        width = sized(waiting.count())
+
+    def classed(df: DataFrame, node: str, name: str) -> DataFrame:
+        if of is None:
+            return df.withColumn(name, F.col(node))
+        named = df.join(of.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
+        return named.withColumn(name, F.coalesce(name, node))
+
+    def led_by(df: DataFrame) -> DataFrame:
+        leaders = df.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
+        return df.join(leaders, "bucket").where("digest <> leader").select("bucket", "digest", "leader")
+
+    apart = lambda df: classed(classed(df, "digest", "c"), "leader", "lc").where("c <> lc")
+    shared = written(led_by(keys.select("digest", F.xxhash64("place", "key").alias("bucket"))), "near-led")
+    led, width = shared, None  # later rounds are as small as what is left for them
+    for turn in range(rounds):
+        compared(led.select(F.col("leader").alias("u"), F.col("digest").alias("v")).distinct(), width)
+        if turn < rounds - 1:
+            led = written(led_by(apart(led).select("bucket", "digest")), "near-led")
+            width = sized(led.count())
+    # Buckets with documents of another class than the leader's: all their pairs of different classes.
+    mixed = written(apart(shared).select("bucket").distinct(), "near-mixed")
+    open_ = shared.join(mixed, "bucket", "left_semi")
+    open_ = open_.select("bucket", "digest").unionByName(open_.select("bucket", F.col("leader").alias("digest")).distinct())
+    open_ = written(classed(open_, "digest", "c"), "near-open")
+    many = open_.count()
+    if many:
+        profiles = written(_profiles(texts(open_.select("digest").distinct())), "near-profiles", compression="zstd")
+        rows = written(open_.join(profiles, "digest"), "near-rows", compression="zstd")
+        other = rows.select("bucket", F.col("digest").alias("v"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("counts").alias("b"))
+        alike = F.abs(F.col("n") - F.col("m")) <= F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
+        pairs = rows.join(other, "bucket").where((F.col("digest") < F.col("v")) & (F.col("c") != F.col("d")) & alike)
+        compared(_possible(pairs.select(F.col("digest").alias("u"), "v", "n", "m", F.col("counts").alias("a"), "b"), least).distinct())
 
     label = signed.select("doc_id", "digest")
     if of is not None:

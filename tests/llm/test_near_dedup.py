@@ -106,3 +106,46 @@ def test_components_of_a_path_and_a_star(spark):
     assert all(min(v) == k for k, v in wild.items())
     of = {n: c for c, v in wild.items() for n in v}
     assert all(of[a] == of[b] for a, b in pairs if a != b)
+
+
+def shared_sketches(count, seed=11):
+    """What near_groups takes as sketches of a text."""
+    m = np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return lambda text: (word_hashes([text], {})[0][0], sketches(word_hashes([text], {})[0][1], m))
+
+
+def test_link_to_a_member_of_the_leaders_class(spark):
+    sketched = shared_sketches(4)
+    for seed in range(100_000):  # a leader L that leads all that A and S share, L ~ A ~ S, but not L ~ S
+        words = [f"b{seed}x{k}" for k in range(100)]
+        texts = [" ".join(t) for t in (words, words[15:], words[15:-15])]
+        (low, x), (a, y), (b, z) = map(sketched, texts)
+        if low < min(a, b) and (y == z).any() and (x == y)[y == z].all():
+            break
+    assert distance(texts[0].split(), texts[2].split()) > 20
+    got = near_groups(docs(spark, list(enumerate(texts))), count=4).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_link_in_a_bucket_of_many_unlike_texts(spark):
+    sketched = shared_sketches(2)
+    passage = [f"p{k}" for k in range(30)]
+    texts, at = [], sketched(" ".join(passage))[1][0]
+    for seed in range(100_000):  # texts that share the passage's sketch at one place
+        text = " ".join([f"u{seed}x{k}" for k in range(10)] + passage + [f"t{seed}x{k}" for k in range(10)])
+        digest, x = sketched(text)
+        if x[0] == at:
+            texts.append((digest, text))
+        if len(texts) == 40:
+            break
+    texts = sorted(texts)
+    _, last = texts[-1]
+    for seed in range(100_000):  # a near copy that shares this sketch alone, with the last of them
+        words = last.split()
+        words[:8] = [f"c{seed}x{k}" for k in range(8)]
+        digest, x = sketched(" ".join(words))
+        if x[0] == at and x[1] != sketched(last)[1][1] and digest > texts[-2][0]:
+            break
+    rows = [(k, t) for k, (_, t) in enumerate(texts)] + [(100, " ".join(words))]
+    got = {r["doc_id"]: r["class_id"] for r in near_groups(docs(spark, rows), count=2).collect()}
+    assert got == {**{k: k for k in range(40)}, 100: 39}
