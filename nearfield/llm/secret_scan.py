@@ -37,43 +37,53 @@ COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st t
 #: Parts of names and placeholders.
 DICTIONARY = ["example", "sample", "test", "dummy", "your", "change", "insert", "here", "name", "user", "value", "string", "config", "default", "password", "secret", "token", "http", "www", "com", "data", "file", "path", "index", "page", "item", "null", "none", "true", "false", "xxxx", "1234", "abcd"]
 #: A run of at least 16 characters of keys, with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,256}(?![A-Za-z0-9+/_\-])"
+TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}(?![A-Za-z0-9+/_\-])"
+#: A key word, alone or at the end of a name, with : or =, and an opening quote.
+_ANNOUNCED = r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_.\-]{0,40}?(?i:" + "|".join(sorted(KEY_WORDS, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}"
+#: At least 8 characters without a blank behind it: to the closing quote, or without signs that end a sentence.
+KEYED = _ANNOUNCED + r"(?:\"[^\s\"]{8,}|'[^\s']{8,}|[^\s\"'][^\s]{6,}[^\s.,;:)\]}>\"'])"
 
 
-def _matches(text: Column) -> Column:
-    """All candidates of a text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)({TOKEN})"), F.lit(1))
+def _found(text: Column, pattern: str, named: str) -> Column:
+    """Matches of a pattern as an array of (start, value, before, after); ``named`` is no part of a value."""
+    # What lies between the matches gives their places and neighbours.
+    values, gaps = F.regexp_extract_all(text, F.lit(rf"(?s)({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    ends = F.aggregate(
+        F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.length(v) + F.length(g)),
+        F.array(F.lit(0)),
+        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
+    )
+
+    def one(kept: Column, v: Column, n: Column) -> Column:
+        name = F.regexp_extract(v, named, 1)
+        before, after = F.get(kept["gaps"], n), F.get(kept["gaps"], n + 1)
+        return F.struct(
+            (F.get(kept["ends"], n) + F.length(before) + F.length(name)).cast("long").alias("start"),
+            F.substring(v, F.length(name) + 1, F.length(v)).alias("value"),
+            F.concat(F.right(before, F.lit(64)), name).alias("before"),
+            F.substring(after, 1, 32).alias("after"),
+        )
+
+    kept = F.array(F.struct(values.alias("values"), gaps.alias("gaps"), ends.alias("ends")))
+    return F.flatten(F.transform(kept, lambda k: F.transform(k["values"], lambda v, n: one(k, v, n))))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, path, start, value, before, after.
 
-    ``start`` counts characters of the text from 0. A null text has none.
+    ``start`` counts characters of the text from 0. A null text has none. A
+    value behind a key word is a candidate as a whole, and so is each token in
+    it that looks like a key; what is both is there once.
     """
     names = {"doc_id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})
     rows = own(docs, **names)
     if not path_col:
         rows = rows.withColumn("path", F.lit(""))
-    rows = rows.where(F.col("text").rlike(TOKEN))
-    # What lies between the candidates gives their places and neighbours.
-    parts = rows.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), _matches(F.col("text")).alias("values"), F.split("text", TOKEN, -1).alias("gaps"))
-    ends = F.aggregate(
-        F.zip_with("values", F.slice("gaps", 1, F.size("values")), lambda v, g: F.length(v) + F.length(g)),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
-    each = parts.withColumn("ends", ends).select("doc_id", "path", "gaps", "ends", F.posexplode("values").alias("n", "found"))
-    before, after = F.get("gaps", F.col("n")), F.get("gaps", F.col("n") + 1)
-    assigned = F.regexp_extract("found", r"^([A-Za-z_\-]{2,40}[=:])(.+)$", 1)
-    each = each.select("doc_id", "path", "found", assigned.alias("named"), (F.get("ends", F.col("n")) + F.length(before)).alias("at"), F.right(before, F.lit(64)).alias("b"), F.substring(after, 1, 32).alias("after"))
-    return each.select(
-        "doc_id",
-        "path",
-        (F.col("at") + F.length("named")).cast("long").alias("start"),
-        F.expr("substring(found, length(named) + 1)").alias("value"),
-        F.concat("b", "named").alias("before"),
-        "after",
-    ).where(F.length("value") >= 8)
+    rows = rows.where(F.col("text").rlike(TOKEN) | F.col("text").rlike(KEYED))
+    tokens = F.filter(_found(F.col("text"), TOKEN, r"^([A-Za-z_\-]{2,40}[=:])(.+)$"), lambda x: F.length(x["value"]) >= 8)
+    rows = rows.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), tokens.alias("tokens"), _found(F.col("text"), KEYED, rf"(?s)^({_ANNOUNCED}[\"']?)").alias("keyed"))
+    new = F.filter("keyed", lambda k: ~F.exists("tokens", lambda t: (t["start"] == k["start"]) & (t["value"] == k["value"])))
+    return rows.select("doc_id", "path", F.explode(F.concat("tokens", new)).alias("x")).select("doc_id", "path", "x.start", "x.value", "x.before", "x.after")
 
 
 def _share(pattern: str, of: Column) -> Column:
@@ -158,6 +168,17 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(_one_of(["your_", "YOUR-", "example_", "test", "insert-", "dummy_"], "y"), _one_of(["token_here_", "password-", "api_key_", "secretvalue"], "z"), _random_text("01234x", pick(1, 8, "n"), "v")), key_before, doc_path, 0),
         (F.concat(F.repeat(_one_of(["x", "0", "a1", "123", "abc1"], "y"), pick(8, 20, "n")), F.lit("1")), key_before, code, 0),
     ]
+    # Passwords: short, with signs, without digits; very long keys; and words that stand where passwords do.
+    word_of = "password passwd pwd secret db_password credential".split()
+    asked = F.concat(prose, _one_of(word_of, "k"), _one_of(["=", " = ", ": ", "=\"", " = \"", ": '", ":"], "s"))
+    kinds += [
+        (F.concat(word("v1"), _random_text(digits + "xqz!@&#$%", pick(4, 7, "n"), "v")), asked, code, 1),
+        (_random_text(full + "!@&#$%", pick(8, 20, "n"), "v"), asked, code, 1),
+        (_random_text(full[:52], pick(10, 40, "n"), "v"), key_before, code, 1),
+        (_random_text(base64, pick(257, 600, "n"), "v"), F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, key_before).otherwise(prose), code, 1),
+        (F.concat(_one_of("required optional undefined function document something".split(), "v1"), _one_of(["", "", "ing", "s", ",", "()"], "v2")), key_before, code, 0),
+        (F.concat(word("v1"), _one_of(["", "-", "_", ".", "/"], "v2"), word("v3"), F.lit("s")), key_before, code, 0),
+    ]
     each = -(-rows // len(kinds))
     made = [
         spark.range(k * each, (k + 1) * each, numPartitions=1).select(v.alias("value"), b.alias("before"), after.alias("after"), p.alias("path"), F.lit(y).cast("double").alias("label"))
@@ -199,6 +220,8 @@ def scan(
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every value that ``scan`` holds for a secret replaced by ``mark``."""
     secret = found.where("is_secret").groupBy("doc_id").agg(F.array_distinct(F.collect_list("value")).alias("_values")).withColumnRenamed("doc_id", "_doc")
+    # A value may be a part of another one: the longer first.
+    secret = secret.withColumn("_values", F.array_sort("_values", lambda a, b: F.length(b) - F.length(a)))
     joined = docs.join(secret, F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left")
     clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v, F.lit(mark)))
     return joined.withColumn(text_col, clean).select(*(f"`{c}`" for c in docs.columns))
