@@ -32,9 +32,14 @@ _SIZE = len(LETTERS) + 1
 _CODE = np.zeros(0x250, np.int64)
 for _k, _c in enumerate(LETTERS):
     _CODE[ord(_c)] = _CODE[ord(_c.upper()) if len(_c.upper()) == 1 and ord(_c.upper()) < 0x250 else ord(_c)] = _k + 1
-_RUN = re.compile(r"(.)\1\1", re.DOTALL)
-_SPACED = re.compile(r"(?<!\S)(?:\w[ ._\-*]){2,}\w(?!\w)")
+_RUN = re.compile(r"(.)\1", re.DOTALL)
 _EDGE = ".,;:?!\"'()[]{}<>«»„“”…#*%&$|"
+#: Edge signs that never are letters, and those with the exclamation mark, which seldom is one at a word's end.
+_FRAME = "".join(c for c in _EDGE if c not in LEET)
+_END = _FRAME + "!"
+_LETTER = "(?:[^\\W_]|[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "])"
+#: Letters set apart, all by the same signs or by any.
+_SPACED = [re.compile(rf"(?<![^\W_]){_LETTER}([\s._\-*]{{1,3}}){_LETTER}(?:\1{_LETTER})+(?![^\W_])"), re.compile(rf"(?<![^\W_])(?:{_LETTER}[\s._\-*]{{1,3}}){{2,}}{_LETTER}(?![^\W_])")]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -83,23 +88,45 @@ class CharacterModel:
 
 
 def disguised(word: str) -> bool:
-    """Whether a word has letters, and signs that may stand for letters, or one three times running."""
+    """Whether a word has digits or signs that may stand for letters, or a letter repeated."""
     if word.isalpha():
-        return len(word) > 4 and _RUN.search(word) is not None
-    return any(map(str.isalpha, word)) and any(map(LEET.__contains__, word)) and len(word) <= 40
+        return _RUN.search(word) is not None
+    return any(map(LEET.__contains__, word))
+
+
+def _with_edges(word: str) -> set[str]:
+    """A word with those signs at its edges that may be letters."""
+    starts = {word.lstrip(_EDGE), word.lstrip(_FRAME)}
+    return {x for w in starts for x in (w.rstrip(_EDGE), w.rstrip(_END), w.rstrip(_FRAME))}
+
+
+def _joined(text: str) -> set[str]:
+    """Words whose letters are set apart, joined."""
+    return {re.sub(r"[\s._\-*]+", "", m.group(0)) for spaced in _SPACED for m in spaced.finditer(text)}
 
 
 def restored_words(text: str | None, model: CharacterModel, known: dict[str, str]) -> tuple[set[str], int]:
     """The different words of a text, disguised ones restored, and how many words it has."""
     raw = (text or "").lower()
     words = raw.split()
-    found = {w.strip(_EDGE) for w in set(words)}
-    odd = [w for w in found if not w.isalpha() and disguised(w) or _RUN.search(w)] if found else []
-    if sum(len(w) == 1 for w in words) >= 3:
-        odd += [re.sub(r"[ ._\-*]", "", m.group(0)) for m in _SPACED.finditer(raw)]
-    for w in odd:
-        if not disguised(w) and w in found:
+    odd = set()
+    found = set()
+    for w in set(words):
+        core = w.strip(_EDGE)
+        found.add(core)
+        if w.isalpha():
+            if _RUN.search(w):
+                odd.add(w)
             continue
+        if core and disguised(core):
+            odd.add(core)
+        if len(w) > len(core) and not w.strip(_FRAME) == core:
+            odd |= _with_edges(w)
+        if len(core) > 4 and not core.isalnum():
+            odd |= _joined(w)
+    if sum(len(w) == 1 or len(w) < 4 and not w.isalpha() for w in words) >= 2:
+        odd |= _joined(raw)
+    for w in odd:
         if w not in known:
             if len(known) > 200_000:
                 known.clear()

@@ -179,6 +179,25 @@ def test_toxic_words_are_learned_and_restored(spark):
     assert toxicity.score_toxicity(frame, none).where("score > 0.01").count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, word",
+    [
+        ("a $tupid word", "stupid"), ("an a$$ word", "ass"), ("a gro(", "groc"), ("(gr0bnik!!", "grobnik"), ("so !diot", "idiot"), ("so ($tupid!)", "stupid"),
+        ("so f.u.z.k it", "fuzk"), ("f-u-z-k", "fuzk"), ("a f_u_z_k!", "fuzk"), ('"f.u.z.k"', "fuzk"), ("f * u * z * k", "fuzk"), ("f. u. z. k.", "fuzk"), ("f.u z.k", "fuzk"),
+        ("fuuuz", "fuz"), ("gr00bnik", "grobnik"), ("grobbnik", "grobnik"), ("455", "ass"), ("ab" * 25 + "0", "ab" * 25 + "o"),
+    ],
+)
+def test_disguised_words(text, word):
+    import numpy as np
+
+    plain = " ".join(["stupid vilas groc grobnik idiot fuzk fuz ass word it so"] * 200 + ["ab" * 25 + "o"])
+    codes = np.concatenate([[0, 0], toxicity._codes(plain), [0]])
+    size = toxicity._SIZE
+    counts = np.bincount((codes[:-2] * size + codes[1:-1]) * size + codes[2:], minlength=size**3)
+    found, _ = toxicity.restored_words(text, toxicity.CharacterModel(counts), {})
+    assert word in found
+
+
 def test_targets_are_capped_and_reshared():
     assert mixing.capped_targets([100, 100, 1], [5, 2, 1], 301.5) == pytest.approx([200, 99.5, 2])
     assert mixing.capped_targets([0, 0], [1, 1], 0.0) == [0, 0]
