@@ -6,12 +6,13 @@ the text, so two texts share a sketch more often the smaller their edit
 distance is (Marçais et al. 2019). Documents that share a sketch are
 candidates; a banded alignment of their words decides.
 
-In each bucket the documents are compared with the bucket's least one, then
-those in another class than it with the least of them, and so on for a few
-rounds. After that every two documents of a bucket that are still in different
-classes are compared, whichever their classes are, so a link between two
-documents that share a sketch is never lost. Lengths and counts of words, which
-bound the edit distance from below, spare most of these alignments.
+Equal word sequences are one node from the start. In each bucket the nodes are
+compared with the bucket's least one, then those in another class than it with
+the least of them. After that every node that is in another class than its
+bucket's least one is compared with all nodes of other classes in the bucket,
+so a link between two documents that share a sketch is never lost. Lengths and
+counts of words, which bound the edit distance from below, spare most of these
+alignments, the first of them inside Spark's join.
 """
 
 from __future__ import annotations
@@ -20,21 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.alignment import similar
-from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, own, sized, table, written
+from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, own, sized, staying, table, written
 from nearfield.llm.components import components
 
-SKETCHES = 20
+#: So many that nine of ten pairs at the edit threshold share one.
+SKETCHES = 72
 #: Rounds of leaders before all that are left are compared; the result doesn't depend on it.
-MOST_ROUNDS = 2
-#: Counters of words in a profile.
-_PROFILE = 256
+ROUNDS = 2
+#: Counters of words in a profile, and 64-bit words of its bitmap.
+_PROFILE, _BITMAP = 256, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MOST_KNOWN = 400_000
+#: Bytes of text that are taken at a time, and k-mers that are sketched at a time.
+_TEXT_BYTES, _KMERS = 4 << 20, 1 << 16
+#: Low bits of a hash value that carry the place of its k-mer; longer texts take more.
+_PLACE_BITS = 24
 
 
 def word_hashes(texts: list[str | None], known: dict[bytes, bytes]) -> list[tuple[bytes, np.ndarray]]:
@@ -55,72 +63,106 @@ def word_hashes(texts: list[str | None], known: dict[bytes, bytes]) -> list[tupl
     return out
 
 
-def sketches(words: np.ndarray, multipliers: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """One number per sketch; texts under ``k`` words have one k-mer, no words no sketch."""
-    if not len(words):
-        return np.zeros(0, np.int64)
+def _kmers(words: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled k-mers of all texts, one after the other, and where each text's begin.
+
+    Texts under ``k`` words have one k-mer; none may be empty.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    padded = np.concatenate([*words, np.zeros(k, np.uint32)]).astype(np.uint64)
+    total = int(sizes.sum())
+    end = np.repeat(starts + sizes, sizes)
+    place = np.arange(total)
+    kmers = np.zeros(total, np.uint64)
     with np.errstate(over="ignore"):
-        n = max(1, len(words) - k + 1)
-        kmers = np.zeros(n, np.uint64)
-        wide = words.astype(np.uint64)
-        for j in range(min(k, len(words))):
-            kmers = (kmers ^ wide[j : j + n]) * _MIX
-            kmers ^= kmers >> np.uint64(29)
-        order = np.argsort(kmers, kind="stable")
-        same = kmers[order][1:] == kmers[order][:-1]
-        if same.any():  # label by occurrence
-            starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            rank = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-            labels = np.empty(n, np.uint64)
-            labels[order] = rank
-            kmers += labels * np.uint64(0xC2B2AE3D27D4EB4F)
+        for j in range(k):
+            mixed = (kmers ^ padded[j : j + total]) * _MIX
+            mixed ^= mixed >> np.uint64(29)
+            kmers = np.where(place + j < end, mixed, kmers)
+        counts = np.maximum(1, sizes - k + 1)
+        firsts = np.cumsum(counts) - counts
+        kmers = kmers[np.repeat(starts - firsts, counts) + np.arange(int(counts.sum()))]
+        # Label by occurrence those k-mers that their text has several times.
+        of = np.repeat(np.arange(len(words), dtype=np.uint64), counts)
+        named = kmers ^ of * np.uint64(0xC2B2AE3D27D4EB4F)
+        ordered = np.sort(named)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(twice):
+            flags = np.zeros(1 << 18, bool)
+            flags[(twice >> np.uint64(40)) & np.uint64((1 << 18) - 1)] = True
+            some = np.flatnonzero(flags[(named >> np.uint64(40)) & np.uint64((1 << 18) - 1)])
+            order = some[np.argsort(named[some], kind="stable")]
+            new = np.concatenate([[True], named[order][1:] != named[order][:-1]])
+            runs = np.flatnonzero(new)
+            rank = np.arange(len(order)) - np.repeat(runs, np.diff(np.append(runs, len(order))))
+            kmers[order] += rank.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         kmers *= _MIX
         kmers ^= kmers >> np.uint64(32)
-        rows = np.arange(len(multipliers))
-        first = np.zeros(len(rows), np.int64)
-        second = np.zeros(len(rows), np.int64)
-        step = max(1, (1 << 18) // n)  # bounded memory for very long texts
-        for a in range(0, len(rows), step):
-            values = kmers[None, :] * multipliers[a : a + step, None]
-            here = np.arange(len(values))
-            first[a : a + step] = one = values.argmin(axis=1)
-            if n > 1:
-                values[here, one] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                second[a : a + step] = values.argmin(axis=1)
-        early, late = kmers[np.minimum(first, second)], kmers[np.maximum(first, second)]
-        keys = (early * _MIX ^ late) * (multipliers | np.uint64(1))
-        keys ^= keys >> np.uint64(31)
-        return keys.view(np.int64)
+    return kmers, firsts
+
+
+def sketches(words: list[np.ndarray], multipliers: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """A row of sketches for each text, of which none may be empty."""
+    out = np.zeros((len(words), len(multipliers)), np.uint64)
+    a = 0
+    while a < len(words):
+        b, held = a, 0
+        while b < len(words) and (b == a or held + len(words[b]) <= _KMERS):
+            held += len(words[b])
+            b += 1
+        kmers, firsts = _kmers(words[a:b], k)
+        counts = np.diff(np.append(firsts, len(kmers)))
+        bits = max(_PLACE_BITS, int(counts.max()).bit_length())
+        mask = np.uint64((1 << bits) - 1)
+        place = (np.arange(len(kmers)) - np.repeat(firsts, counts)).astype(np.uint64)
+        high, single = kmers & ~mask, counts == 1
+        most = np.uint64(0xFFFFFFFFFFFFFFFF)
+        with np.errstate(over="ignore"):
+            for s, m in enumerate(multipliers):
+                values = high * m  # its low bits stay empty
+                values += place
+                one = (np.minimum.reduceat(values, firsts) & mask).astype(np.int64) + firsts
+                values[one] = most
+                two = np.where(single, one, (np.minimum.reduceat(values, firsts) & mask).astype(np.int64) + firsts)
+                early, late = kmers[np.minimum(one, two)], kmers[np.maximum(one, two)]
+                keys = (early * _MIX ^ late) * m
+                out[a:b, s] = keys ^ (keys >> np.uint64(31))
+        a = b
+    return out.view(np.int64)
 
 
 def _signatures(docs: DataFrame, count: int, seed: int) -> DataFrame:
-    """doc_id, digest of the words, their hashes and the sketches."""
+    """A number for each row, its key and doc_id, digest of the words, their hashes and the sketches."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     multipliers = np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a in range(0, len(batch), 2000):
-                part = batch.slice(a, 2000)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _TEXT_BYTES, side="right")))
+                part = batch.slice(a, b - a)
                 found = word_hashes(part.column("text").to_pylist(), known)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([d for d, _ in found], pa.binary()),
-                        pa.array([w.tobytes() for _, w in found], pa.binary()),
-                        pa.array([sketches(w, multipliers) for _, w in found], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "digest", "words", "sketches"],
-                )
+                sizes = np.array([count if len(w) else 0 for _, w in found])
+                keys = sketches([w for _, w in found if len(w)], multipliers)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel()))
+                digests, words = pa.array([d for d, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())
+                arrays = [pa.array(np.arange(row, row + len(part))), part.column("key"), part.column("doc_id"), digests, words, lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "key", "doc_id", "digest", "words", "sketches"])
+                row += len(part)
+                a = b
 
-    return docs.mapInArrow(each, f"doc_id {kind}, digest binary, words binary, sketches array<long>")
+    return docs.mapInArrow(each, f"row long, key long, doc_id {kind}, digest binary, words binary, sketches array<long>")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Those pairs (u, v) whose words align well enough."""
-    joined = pairs.join(bodies.select(F.col("digest").alias("u"), F.col("words").alias("a")), "u")
-    joined = joined.join(bodies.select(F.col("digest").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
+    joined = pairs.join(bodies.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
+    joined = joined.join(bodies.select(F.col("node").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,19 +172,31 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(similar(texts, least))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 
-    return joined.mapInArrow(each, "u binary, v binary")
+    return joined.mapInArrow(each, "u long, v long")
 
 
 def _profiles(bodies: DataFrame) -> DataFrame:
-    """digest, n (words) and counts: how many words fall to each of a few counters, as bytes that stop at 255."""
+    """node, n (words), a bitmap of the words, and counts: how many words fall to each of a few counters, as bytes that stop at 255."""
+    maps = [f"m{k}" for k in range(_BITMAP)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
             counts = [np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(w) for w in words], pa.int32()), pa.array(counts, pa.binary())], names=["digest", "n", "counts"])
+            bits = np.zeros((len(words), 64 * _BITMAP), bool)
+            for k, w in enumerate(words):
+                bits[k, w % (64 * _BITMAP)] = True
+            packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, _BITMAP)
+            arrays = [batch.column("node"), pa.array([len(w) for w in words], pa.int32()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(packed[:, k].copy()) for k in range(_BITMAP))], names=["node", "n", "counts", *maps])
+
+    return bodies.mapInArrow(each, "node long, n int, counts binary, " + ", ".join(f"{m} long" for m in maps))
 
-    return bodies.mapInArrow(each, "digest binary, n int, counts binary")
+
+def _apart(left: str, right: str) -> Column:
+    """How many bits of one bitmap the other lacks; each edit changes at most one."""
+    lacking = [F.bit_count(F.col(f"{left}{k}").bitwiseAND(F.bitwise_not(F.col(f"{right}{k}")))) for k in range(_BITMAP)]
+    return sum(lacking[1:], lacking[0])
 
 
 def _possible(pairs: DataFrame, least: float) -> DataFrame:
@@ -159,37 +213,22 @@ def _possible(pairs: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(apart <= np.floor(longer * (1 - least) + 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 
-    return pairs.mapInArrow(each, "u binary, v binary")
-
+    return pairs.mapInArrow(each, "u long, v long")
 
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    least: float = SIMILARITY,
-    count: int = SKETCHES,
-    seed: int = 11,
-    rounds: int = MOST_ROUNDS,
-) -> DataFrame:
-    """The class of near copies that each document belongs to.
 
-    One row per input row: doc_id, class_id (the least doc_id of the class),
-    class_size (rows), texts (different word sequences in the class). Two
-    documents are linked if the edit distance of their words, over the longer
-    length, is at most 1 - ``least``; classes are what links connect. Texts
-    without words, nulls among them, form one class. A null id is a row like
-    others and is never class_id unless its class has no other. An empty table
-    gives an empty result.
-    """
-    rows = own(docs, doc_id=id_col, text=text_col)
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: int, seed: int, rounds: int) -> DataFrame:
+    """What near_groups returns, with key and stays (whether a row is its class's first) for each row."""
+    rows = own(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
     signed = written(_signatures(rows, count, seed), "near-signatures", compression="zstd")
-    keys = signed.select("digest", F.posexplode("sketches").alias("place", "key"))
-    keys = written(keys.groupBy("digest", "place").agg(F.first("key").alias("key")), "near-sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("key"))
+    nodes = written(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("best"), F.count("*").alias("n")), "near-nodes")
+    first = nodes.select(F.col("node").alias("row"))
+    buckets = signed.select("row", "sketches").join(first, "row", "left_semi").select(F.col("row").alias("node"), F.explode("sketches").alias("bucket"))
+    buckets = written(buckets, "near-buckets")
 
     met = None  # links found so far
     of = None  # node and component
     tried = None  # pairs compared so far
-    texts = lambda nodes: signed.select("digest", "words").join(nodes, "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
 
     def compared(pairs: DataFrame, width: int | None = None) -> None:
         """Compare those pairs (u, v) that haven't been, and bring links and components up to date."""
@@ -200,12 +239,10 @@ def near_groups(
         if pairs.isEmpty():
             return
         tried = pairs if tried is None else tried.unionByName(pairs)
-        nodes = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-        bodies = texts(nodes)
-        bodies = written(bodies.coalesce(width) if width else bodies, "near-bodies", compression="zstd")
         found = written(_confirmed(pairs, bodies, least), "near-links")
         met = found if met is None else met.unionByName(found)
-        of = components(met)
+        discard(of)
+        of = written(components(met), "near-components")
 
     def classed(df: DataFrame, node: str, name: str) -> DataFrame:
         if of is None:
@@ -214,53 +251,93 @@ def near_groups(
         return named.withColumn(name, F.coalesce(name, node))
 
     def led_by(df: DataFrame) -> DataFrame:
-        leaders = df.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-        return df.join(leaders, "bucket").where("digest <> leader").select("bucket", "digest", "leader")
-
-    apart = lambda df: classed(classed(df, "digest", "c"), "leader", "lc").where("c <> lc")
-    shared = written(led_by(keys.select("digest", F.xxhash64("place", "key").alias("bucket"))), "near-led")
+        leaders = df.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
+        leaders = written(leaders, "near-leaders")
+        led = written(df.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"), "near-led")
+        discard(leaders)
+        return led
+
+    apart = lambda df: classed(classed(df, "node", "c"), "leader", "lc").where("c <> lc")
+    shared = led_by(buckets)
+    discard(buckets)
+    # Words of the nodes that share a bucket, fetched once.
+    meeting = shared.select(F.col("node").alias("row")).unionByName(shared.select(F.col("leader").alias("row"))).distinct()
+    bodies = written(signed.select("row", "words").join(meeting, "row", "left_semi").withColumnRenamed("row", "node"), "near-bodies", compression="zstd")
     led, width = shared, None  # later rounds are as small as what is left for them
     for turn in range(rounds):
-        compared(led.select(F.col("leader").alias("u"), F.col("digest").alias("v")).distinct(), width)
+        compared(led.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), width)
         if turn < rounds - 1:
-            led = written(led_by(apart(led).select("bucket", "digest")), "near-led")
+            left = written(apart(led).select("bucket", "node"), "near-left")
+            led = led_by(left)
+            discard(left)
             width = sized(led.count())
-    # Buckets with documents of another class than the leader's: all their pairs of different classes.
+    if led is not shared:
+        discard(led)
+    # Nodes of another class than their bucket's leader meet all of the bucket's nodes of other classes.
     mixed = written(apart(shared).select("bucket").distinct(), "near-mixed")
     open_ = shared.join(mixed, "bucket", "left_semi")
-    open_ = open_.select("bucket", "digest").unionByName(open_.select("bucket", F.col("leader").alias("digest")).distinct())
-    open_ = written(classed(open_, "digest", "c"), "near-open")
-    many = open_.count()
-    if many:
-        profiles = written(_profiles(texts(open_.select("digest").distinct())), "near-profiles", compression="zstd")
-        rows = written(open_.join(profiles, "digest"), "near-rows", compression="zstd")
-        other = rows.select("bucket", F.col("digest").alias("v"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("counts").alias("b"))
-        alike = F.abs(F.col("n") - F.col("m")) <= F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
-        pairs = rows.join(other, "bucket").where((F.col("digest") < F.col("v")) & (F.col("c") != F.col("d")) & alike)
-        compared(_possible(pairs.select(F.col("digest").alias("u"), "v", "n", "m", F.col("counts").alias("a"), "b"), least).distinct())
-
-    label = signed.select("doc_id", "digest")
-    if of is not None:
-        label = label.join(of.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    heads = open_.select("bucket", F.col("leader").alias("node"), "leader").distinct()
+    open_ = written(classed(classed(open_.unionByName(heads), "node", "c"), "leader", "lc"), "near-open")
+    discard(mixed, shared)
+    if not open_.isEmpty():
+        some = bodies.join(open_.select("node").distinct(), "node", "left_semi")
+        profiles = written(_profiles(some), "near-profiles", compression="zstd")
+        all_ = written(open_.drop("leader").join(profiles, "node"), "near-rows", compression="zstd")
+        other = all_.select("bucket", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), F.col("counts").alias("b"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP)))
+        allowed = F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
+        alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed) & (_apart("o", "m") <= allowed)
+        once = (F.col("d") == F.col("ld")) | (F.col("node") < F.col("v"))  # both sides hold a pair of the left-over
+        pairs = all_.where("c <> lc").join(other, "bucket").where((F.col("c") != F.col("d")) & once & alike)
+        compared(_possible(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), "n", "m", F.col("counts").alias("a"), "b"), least).distinct())
+        discard(profiles, all_)
+    discard(open_, bodies)
+
+    if of is None:
+        named = nodes.withColumn("component", F.lit(None).cast("long"))
     else:
-        label = label.withColumn("component", F.col("digest"))
-    label = written(label, "near-labels")
-    sizes = label.groupBy("component", "digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    sizes = sizes.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("texts"))
-    return label.join(sizes, "component").select("doc_id", "class_id", "class_size", "texts")
+        named = written(nodes.join(of, "node", "left"), "near-named")
+    whole = named.where("component is not null").groupBy("component").agg(F.min("best").alias("best"), F.sum("n").alias("class_size"), F.count("*").alias("texts"))
+    whole = written(whole, "near-classes")
+    linked = named.where("component is not null").select("digest", "component").join(whole, "component").drop("component")
+    alone = named.where("component is null").select("digest", "best", F.col("n").alias("class_size"), F.lit(1).cast("long").alias("texts"))
+    by_digest = written(linked.unionByName(alone), "near-digests")
+    out = signed.select("doc_id", "key", "digest").join(by_digest, "digest")
+    return out.select("doc_id", "key", F.col("best.doc_id").alias("class_id"), "class_size", "texts", place.eqNullSafe(F.col("best")).alias("stays"))
+
+
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    least: float = SIMILARITY,
+    count: int = SKETCHES,
+    seed: int = 11,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """The class of near copies that each document belongs to.
+
+    One row per input row: doc_id, class_id (the least doc_id of the class),
+    class_size (rows), texts (different word sequences in the class). Two
+    documents are linked if the edit distance of their words, over the longer
+    length, is at most 1 - ``least``; classes are what links connect. Texts
+    without words, nulls among them, form one class. A null id is a row like
+    others and is never class_id unless its class has no other. Repeated rows
+    and ids are rows of their own. Other columns are ignored, whatever their
+    names. Texts of any length are compared whole; an alignment holds two rows
+    of its band, its time grows with length times allowed distance. An empty
+    table gives an empty result.
+    """
+    return _classes(docs, id_col, text_col, least, count, seed, rounds).select("doc_id", "class_id", "class_size", "texts")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the least id of each class, with all its columns.
+    """The document with the least id (null last) of each class, with all its columns.
 
-    Rows that share the id of a class are one document; one of them stays.
+    Rows that repeat an id and a text are one document; one of them stays.
+    Only ids and hashes are shuffled, and rows that repeat; texts stay in place.
     """
-    groups = written(near_groups(docs, id_col, text_col), "near-groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    stay = stay.select(F.col("doc_id").alias("_stay"), "_rows")
-    found = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay")))
-    several = found.where("_rows > 1").dropDuplicates([id_col])
-    return found.where("_rows = 1").unionByName(several).select(*(f"`{c}`" for c in docs.columns))
+    found = _classes(docs, id_col, text_col, SIMILARITY, SKETCHES, 11, ROUNDS).select("key", "stays")
+    return staying(docs, F.xxhash64(f"`{id_col}`", f"`{text_col}`"), found, [id_col, text_col])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
