@@ -17,7 +17,7 @@ alignments, the first of them inside Spark's join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.alignment import similar
-from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, own, sized, staying, table, written
+from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, keyed, own, sized, staying, table, written
 from nearfield.llm.components import components
 
 #: So many that nine of ten pairs at the edit threshold share one.
@@ -37,6 +37,8 @@ SKETCHES = 72
 ROUNDS = 2
 #: Counters of words in a profile, and 64-bit words of its bitmap.
 _PROFILE, _BITMAP = 256, 16
+#: Rows of a bucket that a stray node meets in one task.
+_BLOCK = 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MOST_KNOWN = 400_000
 #: Bytes of text that are taken at a time, and k-mers that are sketched at a time.
@@ -199,8 +201,10 @@ def _apart(left: str, right: str) -> Column:
     return sum(lacking[1:], lacking[0])
 
 
-def _possible(pairs: DataFrame, least: float) -> DataFrame:
-    """Those pairs (u, v, n, m, a, b) whose counts of words allow the edit distance; none that is near is lost."""
+def _possible(pairs: DataFrame, profiles: DataFrame, most: float) -> DataFrame:
+    """Those pairs (u, v) whose counts of words allow an edit distance of ``most`` of the longer text; none that is nearer is lost."""
+    side = lambda v, n, c: profiles.select(F.col("node").alias(v), F.col("n").alias(n), F.col("counts").alias(c))
+    pairs = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +214,57 @@ def _possible(pairs: DataFrame, least: float) -> DataFrame:
                 longer = np.maximum(part.column("n").to_numpy(), part.column("m").to_numpy())
                 # Each edit takes one word away, adds one, or both.
                 apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
-                keep = pa.array(apart <= np.floor(longer * (1 - least) + 1e-9))
+                keep = pa.array(apart <= np.floor(longer * most + 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 
     return pairs.mapInArrow(each, "u long, v long")
 
 
+def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) that the rounds of leaders leave to compare.
+
+    A node of another class than its bucket's leader ("stray") meets all nodes
+    of other classes in the bucket. Those that are linked to the leader itself
+    are left out where the triangle inequality allows it: where the stray is
+    so far from the leader that it can't be near to what is near to the leader.
+    Large buckets are split into blocks, by the strays in them.
+    """
+    direct = met.select(F.col("u").alias("leader"), F.col("v").alias("node"))
+    unlinked = written(classed(shared.join(direct, ["leader", "node"], "left_anti")), "near-unlinked")
+    found = written(unlinked.where("c <> lc"), "near-found")
+    loose = written(unlinked.join(found.select("bucket").distinct(), "bucket", "left_semi"), "near-loose")
+    profiled = lambda nodes: written(_profiles(bodies.join(nodes.distinct(), "node", "left_semi")), "near-profiles", compression="zstd")
+    profiles = profiled(loose.select("node").unionByName(found.select(F.col("leader").alias("node"))))
+    # d(stray, leader) <= d(stray, x) + d(x, leader), lengths of near texts being within a factor of ``least``.
+    reach = (1 - least) / least + (1 - least) / least**2
+    close = _possible(found.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), profiles, reach)
+    close = written(close.select(F.col("u").alias("node"), F.col("v").alias("leader"), F.lit(True).alias("close")), "near-close")
+    strays = written(found.join(close, ["node", "leader"], "left").withColumn("close", F.coalesce("close", F.lit(False))), "near-strays")
+    linked = shared.join(strays.where("close").select("bucket").distinct(), "bucket", "left_semi").join(direct, ["leader", "node"], "left_semi")
+    met_too = written(loose.withColumn("linked", F.lit(False)).unionByName(classed(linked).withColumn("linked", F.lit(True))), "near-met")
+    if not met_too.where("linked").isEmpty():
+        discard(profiles)
+        profiles = profiled(met_too.select("node").unionByName(strays.select(F.col("leader").alias("node"))))
+    bits = profiles.drop("counts")
+    blocks = met_too.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = written(blocks, "near-blocks")
+    split = lambda df: df.join(blocks, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    here = split(strays).select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "c", "close")
+    here = here.join(bits, "node")
+    there = split(met_too).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "node", "c", "lc", "linked")
+    there = there.join(bits, "node").select(
+        "bucket", "block", "linked", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP))
+    )
+    allowed = F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
+    alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed) & (_apart("o", "m") <= allowed)
+    once = (F.col("d") == F.col("ld")) | (F.col("node") < F.col("v"))  # strays are on both sides
+    pairs = here.join(there, ["bucket", "block"]).where((F.col("c") != F.col("d")) & (F.col("close") | ~F.col("linked")) & once & alike)
+    pairs = written(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "near-alike")
+    out = written(_possible(pairs, profiles, 1 - least), "near-possible")
+    discard(unlinked, found, loose, strays, close, met_too, profiles, blocks, pairs)
+    return out
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: int, seed: int, rounds: int) -> DataFrame:
     """What near_groups returns, with key and stays (whether a row is its class's first) for each row."""
     rows = own(docs, doc_id=id_col, text=text_col).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -261,8 +310,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
     shared = led_by(buckets)
     discard(buckets)
     # Words of the nodes that share a bucket, fetched once.
-    meeting = shared.select(F.col("node").alias("row")).unionByName(shared.select(F.col("leader").alias("row"))).distinct()
-    bodies = written(signed.select("row", "words").join(meeting, "row", "left_semi").withColumnRenamed("row", "node"), "near-bodies", compression="zstd")
+    meeting = shared.select(F.col("node").alias("key")).unionByName(shared.select(F.col("leader").alias("key"))).distinct()
+    meeting = written(meeting, "near-meeting")
+    some = keyed(signed.select("row", "words"), F.col("row"), meeting, meeting.count(), "left_semi")
+    bodies = written(some.withColumnRenamed("row", "node"), "near-bodies", compression="zstd")
+    discard(meeting)
     led, width = shared, None  # later rounds are as small as what is left for them
     for turn in range(rounds):
         compared(led.select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), width)
@@ -273,24 +325,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
             width = sized(led.count())
     if led is not shared:
         discard(led)
-    # Nodes of another class than their bucket's leader meet all of the bucket's nodes of other classes.
-    mixed = written(apart(shared).select("bucket").distinct(), "near-mixed")
-    open_ = shared.join(mixed, "bucket", "left_semi")
-    heads = open_.select("bucket", F.col("leader").alias("node"), "leader").distinct()
-    open_ = written(classed(classed(open_.unionByName(heads), "node", "c"), "leader", "lc"), "near-open")
-    discard(mixed, shared)
-    if not open_.isEmpty():
-        some = bodies.join(open_.select("node").distinct(), "node", "left_semi")
-        profiles = written(_profiles(some), "near-profiles", compression="zstd")
-        all_ = written(open_.drop("leader").join(profiles, "node"), "near-rows", compression="zstd")
-        other = all_.select("bucket", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), F.col("counts").alias("b"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP)))
-        allowed = F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
-        alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed) & (_apart("o", "m") <= allowed)
-        once = (F.col("d") == F.col("ld")) | (F.col("node") < F.col("v"))  # both sides hold a pair of the left-over
-        pairs = all_.where("c <> lc").join(other, "bucket").where((F.col("c") != F.col("d")) & once & alike)
-        compared(_possible(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"), "n", "m", F.col("counts").alias("a"), "b"), least).distinct())
-        discard(profiles, all_)
-    discard(open_, bodies)
+    if met is not None:
+        compared(_left_over(shared, met, lambda df: classed(classed(df, "node", "c"), "leader", "lc"), bodies, least))
+    discard(shared, bodies)
 
     if of is None:
         named = nodes.withColumn("component", F.lit(None).cast("long"))
