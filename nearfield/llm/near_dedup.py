@@ -35,8 +35,8 @@ from nearfield.llm.components import components
 SKETCHES = 72
 #: Rounds of leaders before all that are left are compared; the result doesn't depend on it.
 ROUNDS = 2
-#: Counters of words in a profile, and 64-bit words of its bitmap.
-_PROFILE, _BITMAP = 256, 16
+#: Counters of words in a profile. 64-bit numbers of its bitmap, which holds twice as many counters, up to 4 in unary.
+_PROFILE, _BITMAP, _UNARY = 256, 32, 4
 #: Rows of a bucket that a stray node meets in one task.
 _BLOCK = 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,8 +163,8 @@ def _signatures(docs: DataFrame, count: int, seed: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Those pairs (u, v) whose words align well enough."""
-    joined = pairs.join(bodies.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
-    joined = joined.join(bodies.select(F.col("node").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
+    joined = pairs.hint("merge").join(bodies.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
+    joined = joined.join(bodies.select(F.col("node").alias("v"), F.col("words").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,13 +182,12 @@ def _profiles(bodies: DataFrame) -> DataFrame:
     maps = [f"m{k}" for k in range(_BITMAP)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(a, 1000) for x in batches for a in range(0, len(x), 1000)):
             words = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
             counts = [np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes() for w in words]
-            bits = np.zeros((len(words), 64 * _BITMAP), bool)
-            for k, w in enumerate(words):
-                bits[k, w % (64 * _BITMAP)] = True
-            packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, _BITMAP)
+            small = 64 * _BITMAP // _UNARY
+            few = np.array([np.bincount(w % small, minlength=small) for w in words]).reshape(-1, small, 1)
+            packed = np.packbits((few > np.arange(_UNARY)).reshape(len(words), -1), axis=1, bitorder="little").view("<i8").reshape(-1, _BITMAP)
             arrays = [batch.column("node"), pa.array([len(w) for w in words], pa.int32()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(packed[:, k].copy()) for k in range(_BITMAP))], names=["node", "n", "counts", *maps])
 
@@ -196,7 +195,7 @@ def _profiles(bodies: DataFrame) -> DataFrame:
 
 
 def _apart(left: str, right: str) -> Column:
-    """How many bits of one bitmap the other lacks; each edit changes at most one."""
+    """How many bits of one bitmap the other lacks; each edit takes away one at most."""
     lacking = [F.bit_count(F.col(f"{left}{k}").bitwiseAND(F.bitwise_not(F.col(f"{right}{k}")))) for k in range(_BITMAP)]
     return sum(lacking[1:], lacking[0])
 
@@ -245,23 +244,32 @@ def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: Dat
     if not met_too.where("linked").isEmpty():
         discard(profiles)
         profiles = profiled(met_too.select("node").unionByName(strays.select(F.col("leader").alias("node"))))
-    bits = profiles.drop("counts")
-    blocks = met_too.groupBy("bucket").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    # A stray meets the loose under one token of the bucket, and under another, if it is close, the linked.
+    loose_token, linked_token = F.shiftleft("bucket", 1), F.shiftleft("bucket", 1) + 1
+    here = strays.select("node", "c", F.explode(F.when(F.col("close"), F.array(loose_token, linked_token)).otherwise(F.array(loose_token))).alias("token"))
+    there = met_too.select("node", "c", "lc", F.when(F.col("linked"), linked_token).otherwise(loose_token).alias("token"))
+    # Each node's tokens, at most two for each sketch: a pair is looked at under the first that it shares.
+    maps = [F.col(f"m{k}") for k in range(_BITMAP)]
+    bits = profiles.select("node", "n", sum(map(F.bit_count, maps[1:]), F.bit_count(maps[0])).alias("bits"), *maps)
+    mine = written(here.groupBy("node").agg(F.collect_list("token").alias("mine")).join(bits, "node"), "near-mine", compression="zstd")
+    theirs = written(there.groupBy("node").agg(F.collect_list("token").alias("theirs")).join(bits, "node"), "near-theirs", compression="zstd")
+    blocks = there.groupBy("token").agg(F.ceil(F.count("*") / _BLOCK).cast("long").alias("blocks")).where("blocks > 1")
     blocks = written(blocks, "near-blocks")
-    split = lambda df: df.join(blocks, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    here = split(strays).select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node", "c", "close")
-    here = here.join(bits, "node")
-    there = split(met_too).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "node", "c", "lc", "linked")
-    there = there.join(bits, "node").select(
-        "bucket", "block", "linked", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP))
-    )
+    split = lambda df: df.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    here = split(here).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks").join(mine, "node")
+    there = split(there).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(theirs, "node")
+    there = there.select("token", "block", "theirs", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), F.col("bits").alias("t"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP)))
     allowed = F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
-    alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed) & (_apart("o", "m") <= allowed)
+    # Bits that one lacks, and so what the other lacks: the difference of their totals.
+    alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed - F.greatest(F.lit(0), F.col("t") - F.col("bits")))
     once = (F.col("d") == F.col("ld")) | (F.col("node") < F.col("v"))  # strays are on both sides
-    pairs = here.join(there, ["bucket", "block"]).where((F.col("c") != F.col("d")) & (F.col("close") | ~F.col("linked")) & once & alike)
+    # Inside a lambda, since the join's generated method would else be too large for the JVM to compile.
+    shared_first = F.transform(F.array(F.lit(1)), lambda place: F.element_at(F.array_intersect("mine", "theirs"), place))
+    first = F.get(shared_first, F.lit(0)) == F.col("token")
+    pairs = here.join(there, ["token", "block"]).where((F.col("c") != F.col("d")) & once & alike & first)
     pairs = written(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "near-alike")
     out = written(_possible(pairs, profiles, 1 - least), "near-possible")
-    discard(unlinked, found, loose, strays, close, met_too, profiles, blocks, pairs)
+    discard(unlinked, found, loose, strays, close, met_too, profiles, mine, theirs, blocks, pairs)
     return out
 
 
@@ -272,7 +280,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
     place = F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("key"))
     nodes = written(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("best"), F.count("*").alias("n")), "near-nodes")
     first = nodes.select(F.col("node").alias("row"))
-    buckets = signed.select("row", "sketches").join(first, "row", "left_semi").select(F.col("row").alias("node"), F.explode("sketches").alias("bucket"))
+    buckets = signed.select("row", "sketches").join(first.hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), F.explode("sketches").alias("bucket"))
     buckets = written(buckets, "near-buckets")
 
     met = None  # links found so far
@@ -302,7 +310,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
     def led_by(df: DataFrame) -> DataFrame:
         leaders = df.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
         leaders = written(leaders, "near-leaders")
-        led = written(df.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"), "near-led")
+        led = written(df.join(leaders.hint("merge"), "bucket").where("node <> leader").select("bucket", "node", "leader"), "near-led")
         discard(leaders)
         return led
 
@@ -338,7 +346,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
     linked = named.where("component is not null").select("digest", "component").join(whole, "component").drop("component")
     alone = named.where("component is null").select("digest", "best", F.col("n").alias("class_size"), F.lit(1).cast("long").alias("texts"))
     by_digest = written(linked.unionByName(alone), "near-digests")
-    out = signed.select("doc_id", "key", "digest").join(by_digest, "digest")
+    out = signed.select("doc_id", "key", "digest").join(by_digest.hint("merge"), "digest")
     return out.select("doc_id", "key", F.col("best.doc_id").alias("class_id"), "class_size", "texts", place.eqNullSafe(F.col("best")).alias("stays"))
 
 
