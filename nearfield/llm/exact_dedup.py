@@ -2,11 +2,11 @@
 
 1. The log: id, length and digest of every document's normalised text.
 2. Each task feeds its part of the log into a memtable; full ones are flushed
-   as runs sorted by digest (Parquet, with a filter on the digest column).
+   as runs sorted by digest (Parquet).
 3. Compaction merges all runs: per digest the row that stays and the count.
    Runs are aggregated already, so a digest has at most a row per memtable.
-4. Hits, digests that more than one row has, are put into a filter of fixed
-   size, with which the texts are read again. Texts that pass are grouped by
+4. Hits, digests that more than one row has, are put into a filter sized by
+   their count, with which the texts are read again. Texts that pass are grouped by
    digest and whole text: equal bytes, not equal digests, make a group. A
    digest that turns out to stand for several texts is resolved by the texts.
 """
@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WHITE, own, table, written
+from nearfield.llm.common import WHITE, own, staying, table, written
 
 _DROP = WHITE.encode()
-#: Size in bits and number of hash functions of a filter; fixed, whatever the input.
-FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+#: Bits of a filter per digest and at most, and its hash functions. Beyond the most, more texts pass; results are the same.
+BITS_PER_DIGEST, MOST_BITS, FILTER_HASHES = 12, 1 << 29, 4
 
 
 def normalised(text: Column) -> Column:
@@ -37,8 +37,8 @@ def normalised(text: Column) -> Column:
 class DigestFilter:
     """A Bloom filter over digests that are themselves uniformly distributed."""
 
-    def __init__(self, bits: int = FILTER_BITS, hashes: int = FILTER_HASHES, data: bytes | None = None):
-        self.bits, self.hashes = bits, hashes
+    def __init__(self, bits: int = 1 << 20, hashes: int = FILTER_HASHES, data: bytes | None = None):
+        self.bits, self.hashes = 8 * len(data) if data else bits, hashes
         self.data = np.frombuffer(data, np.uint8).copy() if data else np.zeros(bits // 8, np.uint8)
 
     def _places(self, digests: list[bytes]) -> np.ndarray:
@@ -91,10 +91,11 @@ def _merged(runs: DataFrame, *keys: str) -> DataFrame:
 
 
 def _filter_of(hits: DataFrame) -> DigestFilter:
-    """One filter of fixed size over the digests of all hits."""
+    """One filter over the digests of all hits."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_PER_DIGEST * hits.count()).bit_length()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = DigestFilter()
+        found = DigestFilter(bits)
         for batch in batches:
             found.add(batch.column("digest").to_pylist())
         words = found.data.view("<i8")
@@ -102,8 +103,8 @@ def _filter_of(hits: DataFrame) -> DigestFilter:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["at", "word"])
 
     words = hits.select("digest").mapInArrow(each, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    out = DigestFilter()
-    rows = words.toArrow()  # at most FILTER_BITS / 64 rows
+    out = DigestFilter(bits)
+    rows = words.toArrow()  # at most bits / 64 rows
     out.data.view("<i8")[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
     return out
 
@@ -113,8 +114,9 @@ def exact_groups(
 ) -> DataFrame:
     """Group documents whose texts are equal but for white space.
 
-    One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and
-    ``n_chars``. Of a group the row with the most code points stays, then the
+    One row per input row: doc_id, keep_id, group_size, kept, text_sha256,
+    ``n_chars`` and ``key``, a hash of id and text. Other columns are ignored,
+    whatever their names; texts of any length are compared whole. Of a group the row with the most code points stays, then the
     smallest id. Null texts are empty ones; a null id comes after all others
     and, if its row stays, keep_id is null; rows that repeat an id and a text
     are all marked alike. An empty table gives an empty result.
@@ -124,12 +126,11 @@ def exact_groups(
     rows = own(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     sha = F.sha2(normalised(F.col("text")), 256)
     digest = F.unhex(F.substring(sha, 1, digest_bits // 4))
-    log = written(rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), digest.alias("digest"), sha.alias("text_sha256")), "dedup-log")
-    bloom = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(memtable_rows)}
-    runs = written(log.select("digest", "n_chars", "doc_id").mapInArrow(lambda b: _flushes(b, memtable_rows), "run long, digest binary, n long, best_chars long, keep_id long"), "dedup-runs", **bloom)
-    hits = written(_merged(runs, "digest").where("n > 1"), "dedup-index", **bloom)
+    log = written(rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), digest.alias("digest"), sha.alias("text_sha256"), F.xxhash64("doc_id", "text").alias("key")), "dedup-log")
+    runs = written(log.select("digest", "n_chars", "doc_id").mapInArrow(lambda b: _flushes(b, memtable_rows), "run long, digest binary, n long, best_chars long, keep_id long"), "dedup-runs")
+    hits = written(_merged(runs, "digest").where("n > 1"), "dedup-index")
 
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(hits).data.tobytes())  # FILTER_BITS / 8 bytes
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(hits).data.tobytes())  # at most MOST_BITS / 8 bytes
     size = digest_bits // 8
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +151,11 @@ def exact_groups(
     out = log.join(sound.withColumnRenamed("n", "group_n"), "digest", "left")
     if not clashes.isEmpty():
         # By whole texts for the few digests that several texts have.
-        bodied = rows.select("doc_id", F.col("text"), digest.alias("digest"), F.encode(normalised(F.col("text")), "utf-8").alias("body"))
+        bodied = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("text"), digest.alias("digest"), F.encode(normalised(F.col("text")), "utf-8").alias("body"))
         bodied = bodied.join(clashes, "digest", "left_semi").select("*", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
         exact = _merged(bodied.select("digest", "body", F.lit(1).cast("long").alias("n"), F.col("n_chars").alias("best_chars"), F.col("doc_id").alias("keep_id")), "digest", "body")
         resolved = bodied.join(exact.withColumnRenamed("n", "group_n"), ["digest", "body"], "left")
-        keep = ["doc_id", "n_chars", "text_sha256", "group_n", "best_chars", "keep_id"]
+        keep = ["doc_id", "key", "n_chars", "text_sha256", "group_n", "best_chars", "keep_id"]
         out = out.join(clashes, "digest", "left_anti").select(*keep).unionByName(resolved.withColumn("text_sha256", F.sha2("body", 256)).select(*keep))
     alone = F.col("group_n").isNull()
     return out.select(
@@ -164,19 +165,18 @@ def exact_groups(
         (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("best_chars")))).alias("kept"),
         "text_sha256",
         "n_chars",
+        "key",
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: one row of each group, with all their columns."""
-    stay = written(exact_groups(docs, id_col, text_col).where("kept"), "dedup-groups")
-    stay = stay.groupBy("doc_id", "text_sha256").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("rows"))
-    stay = stay.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), F.col("n_chars").alias("_keep_chars"), F.col("rows").alias("_keep_rows"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(f"`{text_col}`")), 256)).withColumn("_chars", F.coalesce(F.length(f"`{text_col}`"), F.lit(0)).cast("long"))
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")) & (F.col("_chars") == F.col("_keep_chars"))
-    found = marked.join(stay, on, "inner")
-    several = found.where("_keep_rows > 1").dropDuplicates(["_sha"])  # rows that repeat an id and a text
-    return found.where("_keep_rows = 1").unionByName(several).select(*(f"`{c}`" for c in docs.columns))
+    """The documents that stay: one row of each group, with all their columns.
+
+    Rows that repeat an id and a text are one document. Digests and ids are
+    shuffled, and texts that other rows have too; all others stay in place.
+    """
+    found = exact_groups(docs, id_col, text_col).select("key", F.col("kept").alias("stays"))
+    return staying(docs, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")), found, [id_col, text_col])
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

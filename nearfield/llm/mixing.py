@@ -16,10 +16,10 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD, own, table, written
+from nearfield.llm.common import WORD, keyed, row_key, table, unused, written
 
 BLOCK = 4096
 #: With more sources than this the plan is joined by a shuffle.
@@ -101,7 +101,7 @@ def landing(p: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
 
 def _moved(last: bool, seed: int):
     def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size", "p"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["doc_id", "size", "key", "p"], kind="stable", na_position="last").reset_index(drop=True)
         sizes, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
         rng = np.random.default_rng([seed, int(rows["block"].iloc[0]), len(rows), int(sizes.sum())])
         alone = int(rows["blocks"].iloc[0]) <= 1  # the source's last block
@@ -133,9 +133,20 @@ def mix(
     same result: blocks come from hashes, and the seed is fixed. The driver
     sees one row per source. An empty table gives an empty result.
     """
+    out = _mix(docs, id_col, text_col, source_col, weights, share, block, seed)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, block: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = own(docs, doc_id=id_col, text=text_col, source=source_col)
-    sized = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size")), "mix-sizes")
+    named = [F.col(f"`{old}`").alias(new) for new, old in (("doc_id", id_col), ("text", text_col), ("source", source_col))]
+    rows = docs.select(*named, row_key(docs).alias("key"))
+    sized = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), "key", F.lit(0).cast("long").alias("salt")), "mix-sizes")
+    # Rows that repeat as a whole would all meet in one block.
+    repeated = written(sized.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block // 8).select("key"), "mix-repeated")
+    if many := repeated.count():
+        mark = keyed(sized.drop("salt"), F.col("key"), repeated.withColumn("again", F.lit(True)), many, "left")
+        sized = written(mark.withColumn("salt", F.when("again", F.monotonically_increasing_id()).otherwise(0)).drop("again"), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     found = sorted(totals.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["source_size"] for r in found]
@@ -153,7 +164,8 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "rank", "blocks",
         whole.cast("long").alias("whole"),
         F.when((rest <= 1e-9) | (F.col("size") == 0), 0.0).otherwise(rest).alias("p"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "size", "key", "salt"), F.col("blocks")).alias("block"),
+        "key",
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
     is_open = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
@@ -175,24 +187,40 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("whole") + F.when(F.col("p") >= 0.5, 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "key")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, with all their columns."""
-    taken = mix(docs, id_col, text_col, source_col).where("copies > 0")
-    # Rows that share an id, source and size are told apart by a number.
-    keys = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), size_of(F.col(f"`{text_col}`"))]
-    left = docs.select("*", *(k.alias(f"_k{n}") for n, k in enumerate(keys)))
-    agg = taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    on = F.col("_k0").eqNullSafe(F.col("_d")) & F.col("_k1").eqNullSafe(F.col("_s")) & (F.col("_k2") == F.col("_z"))
-    joined = left.join(agg.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies"), on)
-    several = joined.where(F.size("_copies") > 1)
-    order = Window.partitionBy("_k0", "_k1", "_k2").orderBy(*(F.col(f"`{c}`") for c in docs.columns if dict(docs.dtypes)[c] not in ("map",)))
-    several = several.withColumn("_n", F.get("_copies", F.row_number().over(order) - 1))
-    single = joined.where(F.size("_copies") == 1).withColumn("_n", F.get("_copies", F.lit(0)))
-    times = single.unionByName(several).where("_n > 0")
-    return times.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*(f"`{c}`" for c in docs.columns))
+    """The documents that the mix takes, each as often as it is taken, with all their columns.
+
+    Most documents of a source are taken equally often; that number goes with
+    the source. Only keys of the others are looked for. Rows that are equal in
+    all columns are taken as often as all of them together.
+    """
+    found = written(_mix(docs, id_col, text_col, source_col, WEIGHTS, SHARE, BLOCK, 7).select("source", "key", "copies"), "mix-copies")
+    usual = found.groupBy("source", "copies").agg(F.count("*").alias("n")).groupBy("source").agg(F.max_by("copies", F.struct("n", "copies")).alias("usual"))
+    usual = written(usual, "mix-usual").withColumnRenamed("source", "usual_source")
+    few = usual.count() <= MOST_BROADCAST
+    marked = found.join(F.broadcast(usual) if few else usual, F.col("source").eqNullSafe(F.col("usual_source")))
+    odd = marked.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("total"), F.min("usual").alias("usual"))
+    odd = written(odd.where("n > 1 or total <> usual").select("key", "n", "total"), "mix-odd")
+
+    names = {}
+    for name in ("usual_source", "usual", "n", "total", "number"):
+        names[name] = unused(docs, f"mix_{name}")
+    plan = usual.select(F.col("usual_source").alias(names["usual_source"]), F.col("usual").alias(names["usual"]))
+    of = odd.select("key", F.col("n").alias(names["n"]), F.col("total").alias(names["total"]))
+    joined = docs.join(F.broadcast(plan) if few else plan, F.col(f"`{source_col}`").eqNullSafe(F.col(names["usual_source"])))
+    # Computed of the documents' own columns alone, on either side of the first join.
+    joined = keyed(joined, row_key(docs), of, odd.count(), "left")
+    times = F.coalesce(names["total"], names["usual"])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    again = lambda df: df.where(times > 0).select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))).alias(names["number"])).select(*kept)
+    out = again(joined.where(F.coalesce(names["n"], F.lit(1)) == 1))
+    if not odd.where("n > 1").isEmpty():
+        several = joined.where(F.col(names["n"]) > 1).withColumn(names["number"], row_key(docs))
+        out = out.unionByName(again(several.dropDuplicates([names["number"], id_col, source_col, text_col])))
+    return out
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
