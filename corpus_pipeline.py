@@ -14,8 +14,8 @@ from nearfield.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, each with its whole text."""
-    return quality_rules.kept_documents(docs)
+    """Documents that the quality rules keep, without the lines that fail."""
+    return quality_rules.kept_documents(docs, cleaned=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
