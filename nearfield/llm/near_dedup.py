@@ -161,8 +161,15 @@ def _signatures(docs: DataFrame, count: int, seed: int) -> DataFrame:
     return docs.mapInArrow(each, f"row long, key long, doc_id {kind}, digest binary, words binary, sketches array<long>")
 
 
+def _of(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of those nodes; where these are few, only their rows are moved later."""
+    nodes = written(nodes.select(F.col("node").alias("key")).distinct(), "near-wanted")
+    return keyed(bodies, F.col("node"), nodes, nodes.count(), "left_semi")
+
+
 def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Those pairs (u, v) whose words align well enough."""
+    bodies = _of(bodies, pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     joined = pairs.hint("merge").join(bodies.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
     joined = joined.join(bodies.select(F.col("node").alias("v"), F.col("words").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
 
@@ -232,7 +239,7 @@ def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: Dat
     unlinked = written(classed(shared.join(direct, ["leader", "node"], "left_anti")), "near-unlinked")
     found = written(unlinked.where("c <> lc"), "near-found")
     loose = written(unlinked.join(found.select("bucket").distinct(), "bucket", "left_semi"), "near-loose")
-    profiled = lambda nodes: written(_profiles(bodies.join(nodes.distinct(), "node", "left_semi")), "near-profiles", compression="zstd")
+    profiled = lambda nodes: written(_profiles(_of(bodies, nodes)), "near-profiles", compression="zstd")
     profiles = profiled(loose.select("node").unionByName(found.select(F.col("leader").alias("node"))))
     # d(stray, leader) <= d(stray, x) + d(x, leader), lengths of near texts being within a factor of ``least``.
     reach = (1 - least) / least + (1 - least) / least**2

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import own, table
-from nearfield.llm.tokenization import TextEncoder, default_vocabulary
+from nearfield.llm.tokenization import default_vocabulary, encoder_of
 
 CAPACITY = 2048
 END_ID = 1
 #: Documents that a worker tokenizes at a time.
-ROWS = 1_500
+ROWS = 2_500
 
 
 def cut_lengths(total: int, capacity: int, slack: float = 0.02) -> list[int]:
@@ -105,7 +105,7 @@ def pack(
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = TextEncoder(path), HarmonicBins(capacity)
+        encoder, bins = encoder_of(path), HarmonicBins(capacity)
         made = TaskContext.get().partitionId() << 33
         out: list[tuple] = []
         kept_kind = None

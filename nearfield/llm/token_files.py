@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import own, scratch, table, written
 from nearfield.llm.packing import ROWS
-from nearfield.llm.tokenization import TextEncoder, default_vocabulary
+from nearfield.llm.tokenization import default_vocabulary, encoder_of
 
 MAGIC = b"NFTOKEN1"
 HEADER = struct.Struct("<8s7Q")
@@ -190,7 +190,7 @@ def write_tokens(
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                encoder = TextEncoder(model)
+                encoder = encoder_of(model)
                 out = fs.open_output_stream(attempt)
                 writer = ShardWriter(out, bits_for(encoder.tokenizer.get_vocab_size()), block_ids)
             for a in range(0, len(batch), ROWS):

@@ -9,6 +9,7 @@ encoded once by the library and its ids reused. Cuts at which that isn't exact
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +27,49 @@ class TextEncoder:
     ``most_words`` bounds that memory: when it is full, it starts again empty.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000, slice_bytes: int = 4 << 20):
+    def __init__(self, path: str, most_words: int = 600_000, slice_bytes: int = 6 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most_words, self.slice_bytes = most_words, slice_bytes
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The ids of all words lie in one array; ``known`` has a word's number, ``ends`` where its ids end."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.ends = np.empty(1 << 20, "<u4"), np.zeros(1 << 18, np.int64)
+
+    def _keep(self, words: list[str], ids: list[np.ndarray], lengths: list[np.ndarray]) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        if first + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(first + len(words), np.int64)])
+        self.ends[first : first + len(words)] = self.ends[first - 1] + np.cumsum(np.concatenate(lengths))
+        begin, end = int(self.ends[first - 1]), int(self.ends[first + len(words) - 1])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(end, "<u4")])
+        self.ids[begin:end] = np.concatenate(ids)
 
     def whole(self, text: str) -> np.ndarray:
         """The ids of one text, by one call of the library."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most_words:
-            self.known = {"": b""}
-        words.discard("")
+    def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        ids, lengths = [], []
         for at in range(0, len(plain), _JOINED):
             some = plain[at : at + _JOINED]
             got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, of = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            ends = np.searchsorted(of, np.arange(len(some)), side="right")
-            start = 0
-            for word, end in zip(some, ends.tolist()):
-                self.known[word] = ids[start:end].tobytes()
-                start = end
-        other = list(words.difference(plain))
-        for word, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
+            ids.append(np.array(got.ids, dtype="<u4"))
+            lengths.append(np.bincount(np.array(got.word_ids), minlength=len(some)))
+        if plain:
+            self._keep(plain, ids, lengths)
+        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        found = [got.ids for got in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        if other:
+            self._keep(other, [np.array([x for y in found for x in y], dtype="<u4")], [np.fromiter(map(len, found), np.int64, len(found))])
 
     @staticmethod
     def _parts(piece: str, lead: str) -> list[str]:
@@ -73,16 +87,15 @@ class TextEncoder:
             return [lead + core, piece[len(core) :]]
         return [lead + piece] if lead or piece else []
 
-    def _lists(self, parts: list[str]) -> pa.LargeListArray:
-        """The ids of each part."""
-        missing = {x for x in parts if x not in self.known}
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part among the known words."""
+        missing = [x for x in dict.fromkeys(parts) if x not in self.known]
         if len(self.known) + len(missing) > self.most_words:
-            missing = set(parts)  # the memory starts again
+            self._forget()
+            missing = [x for x in dict.fromkeys(parts) if x]
         if missing:
             self._learn(missing)
-        ids = list(map(self.known.__getitem__, parts))
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit numbers; null counts as empty."""
@@ -149,22 +162,28 @@ class TextEncoder:
         for k, some in zip([*odd.tolist(), *range(n, n + len(opening))], lists):
             flat[bounds[k] : bounds[k + 1]] = np.array(some, np.int64) + len(parts)
         parts = [x if u else "" for x, u in zip(parts, used.tolist())] + list(more)
-        self.known.setdefault("", b"")
 
         index[first] = n + np.arange(len(texts))
         of_piece = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(flat))
-        steps = of_piece.take(pa.array(index)).flatten()
+        steps = of_piece.take(pa.array(index)).flatten().to_numpy()
         piece_cuts = np.concatenate([[0], np.cumsum(counts[index])])[offsets]
-        ids = self._lists(parts)
-        lengths = np.diff(ids.offsets.to_numpy())
-        cuts = np.concatenate([[0], np.cumsum(lengths[steps.to_numpy()])])[piece_cuts]
-        all_ids = ids.take(steps).flatten().to_numpy()
+        steps = self._numbers(parts)[steps]
+        begins_at = np.concatenate([[0], self.ends[: len(self.known)]])
+        cuts = np.concatenate([[0], np.cumsum(np.diff(begins_at)[steps])])[piece_cuts]
+        known = pa.LargeListArray.from_arrays(pa.array(begins_at), pa.array(self.ids[: begins_at[-1]]))
+        all_ids = known.take(pa.array(steps)).flatten().to_numpy()
         found = [all_ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         for at in unsafe.tolist():
             found[at] = self.whole(texts[at].as_py())
         return found
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> TextEncoder:
+    """This worker's encoder; the tasks that it runs one after the other share the words it has met."""
+    return TextEncoder(path)
+
+
 def default_vocabulary() -> str:
     """Path of the installed public 50k byte-level BPE vocabulary."""
     import public_tokenizers
