@@ -1,57 +1,217 @@
 """Near-duplicate lines over all documents, by an exact set-similarity join.
 
-Native: DataFrame expressions only. Equal lines are first collapsed. A line's
-tokens are its different shingles of five words, in an order that all lines
-share: rare shingles first, by counts over all lines in a table of fixed size,
-then by hash. Lines whose Jaccard similarity is at least t share a token in
-their prefixes of n - ceil(t * n) + 1 tokens; the places of that token and the
-lengths bound the overlap. What these filters leave is verified.
-
-Within the lines of a token each is first compared with one leader, those that
-end up in another class with a second. Only what is then in another
-class than the first leader is compared with the token's other classes, so a
-group of near copies costs its size and not its square.
+A line's tokens are its different shingles of five words, in an order that all
+lines share: rare ones first, by counts over all lines, then by hash. Lines
+whose Jaccard similarity is at least t share a token in their prefixes of
+n - ceil(t * n) + 1 tokens; the places of that token and the lengths bound the
+overlap. What these filters leave is verified. Equal lines are one node.
+
+Hashing and ordering tokens is numpy's work on Arrow batches; DataFrame
+expressions alone took several times the processor time and the disk allowed
+(README). Joins, filters and verification are Spark's.
+
+The lines of a token are compared with one leader, those in another class with
+a second. Only what is then in another class than the first leader is compared
+with the token's other classes, so a group of near copies costs its size and
+not its square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, own, table, written
+from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, keyed, own, table, written
 from nearfield.llm.components import components
 
-#: Entries of the table of shingle counts; fixed, whatever the input.
-BUCKETS = 1 << 16
+#: Counters of shingles, and how many go together as one row. A shingle with a millionth of all occurrences stands out.
+COUNTERS, _CHUNK = 1 << 20, 1 << 12
 #: How often a token's lines are compared with one leader before the rest is compared in full.
 LEADERS = 2
-_BLANK = " \t\x0b\x0c\r"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words that a task remembers, lines that it remembers having met, and bytes of text it takes at a time.
+_MOST_KNOWN, _MOST_SEEN, _TEXT_BYTES = 400_000, 400_000, 1 << 20
+
+
+def _line_words(text: str | None, known: dict[bytes, bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Words, joined by blanks, and word hashes of each line."""
+    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+        words = line.split()
+        try:
+            hashes = b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > _MOST_KNOWN:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_digest(w)
+            hashes = b"".join(map(known.__getitem__, words))
+        yield b" ".join(words), hashes
+
+
+def shingles(hashes: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all lines, one line after the other, and how many each has."""
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 8
+    counts = np.maximum(0, sizes - k + 1)
+    words = np.concatenate([np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64), np.zeros(k, np.uint64)])
+    total = int(sizes.sum())
+    found = np.zeros(total, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            found = (found ^ words[j : j + total]) * _MIX
+            found ^= found >> np.uint64(29)
+        found *= _MIX
+        found ^= found >> np.uint64(32)
+    starts, firsts = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    return found[np.repeat(starts - firsts, counts) + np.arange(int(counts.sum()))], counts
+
+
+def ordered(hashes: list[bytes], k: int, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different tokens of each line, in the order all lines share, and how many each has.
+
+    A token is its shingle's hash with the shingle's commonness as highest bits.
+    """
+    found, counts = shingles(hashes, k)
+    if rarity is not None:
+        common = rarity[found & np.uint64(len(rarity) - 1)].astype(np.uint64)
+        found = (found >> np.uint64(6)) | (common << np.uint64(58))
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((found, of))
+    found, of = found[order], of[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return found[new], np.bincount(of[new], minlength=len(counts))
+
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about _TEXT_BYTES of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _TEXT_BYTES, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
 
-def _words(line: Column) -> Column:
-    """The line's words, by single blanks that become one separator."""
-    return F.filter(F.split(F.translate(line, _BLANK, " " * len(_BLANK)), " "), lambda w: w != "")
 
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
 
-def _shingles(words: Column, k: int) -> Column:
-    """A hash for each different window of ``k`` words, of which there must be ``k``.
 
-    ``words`` must be a stored column: each window looks at it again.
+def rarities(rows: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each counter are, from 0 to 31: twice the logarithm of its count over the mean.
+
+    Every occurrence in every line counts. The driver gets COUNTERS numbers.
     """
-    places = F.sequence(F.lit(0), F.size(words) - k)
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k)))))
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, known = np.zeros(COUNTERS, np.int64), {}
+        for part in _texts(batches):
+            found = shingles([h for t in part.column("text").to_pylist() for _, h in _line_words(t, known)], k)[0]
+            total += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield from chunks(total)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for at, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                total[at : at + _CHUNK] += np.frombuffer(counts, "<i8")
+        yield from chunks(total)
+
+    def chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = [at for at in range(0, COUNTERS, _CHUNK) if total[at : at + _CHUNK].any()]
+        for a in range(0, len(used), 16):
+            some = used[a : a + 16]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[at : at + _CHUNK].tobytes() for at in some], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    parts = rows.select("text").mapInArrow(counted, schema)
+    sums = parts.repartition(min(COUNTERS // _CHUNK, 16), "chunk").mapInArrow(summed, schema).toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    for at, counts in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist()):
+        total[at : at + _CHUNK] += np.frombuffer(counts, "<i8")
+    level = np.log2(np.maximum(1, total / max(1.0, total.mean())))
+    return np.minimum(31, np.ceil(2 * level)).astype(np.uint8)
+
+
+def _prefix(n: np.ndarray, least: float) -> np.ndarray:
+    return np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line: row, doc_id, line, digest of its words (null without words) and text."""
-    rows = own(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    # Most lines have single spaces only: then the line itself, trimmed, is its words.
-    odd = F.contains("text", F.lit("  "))
-    for c in _BLANK[1:]:
-        odd = odd | F.contains("text", F.lit(c))
-    joined = F.when(odd, F.array_join(_words(F.col("text")), " ")).otherwise(F.trim("text"))
-    return lines.withColumn("words", joined).select("row", "doc_id", "line", F.when(F.col("words") != "", F.unhex(F.md5("words"))).alias("digest"), "text", "words")
+
+def line_table(rows: DataFrame, rarity: np.ndarray, least: float, k: int, with_text: bool) -> DataFrame:
+    """Every line: lid and row (numbers of the line and of its document's row), doc_id, line, digest of its words (null without words), n tokens and the prefix.
+
+    Tokens and prefix are left out (null) where the task has met the same words before.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(rarity)  # COUNTERS bytes
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = {}, set()
+        row = lid = TaskContext.get().partitionId() << 40
+        for part in _texts(batches):
+            texts = part.column("text").to_pylist()
+            places, digests, hashes = [], [], []
+            for at, text in enumerate(texts):
+                for line, (words, own_hashes) in enumerate(_line_words(text, known)):
+                    digest = xxhash.xxh3_128_digest(words) if words else None
+                    places.append((at, line))
+                    digests.append(digest)
+                    met = digest is None or digest in seen
+                    hashes.append(None if met else own_hashes)
+                    if not met:
+                        seen.add(digest)
+            if len(seen) > _MOST_SEEN:
+                seen.clear()
+            new = np.array([h is not None for h in hashes])
+            tokens, counts = ordered([h for h in hashes if h is not None], k, shared.value)
+            size = _prefix(counts, least)
+            inside = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(size, counts)
+            all_sizes, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            all_sizes[new], n[new] = size, counts
+            at, line = np.array(places, np.int64).reshape(-1, 2).T
+            arrays = [
+                pa.array(np.arange(lid, lid + len(new))), pa.array(at + row), part.column("doc_id").take(pa.array(at)), pa.array(line),
+                pa.array(digests, pa.binary()), pa.array(n, pa.int64(), mask=~new), _lists(tokens[inside], all_sizes),
+            ]
+            names = ["lid", "row", "doc_id", "line", "digest", "n", "prefix"]
+            if with_text:
+                arrays.append(pa.array([x for t in texts for x in (t or "").split("\n")], pa.string()))
+                names.append("text")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            row += len(part)
+            lid += len(new)
+
+    schema = f"lid long, row long, doc_id {kind}, line long, digest binary, n long, prefix array<long>"
+    return rows.mapInArrow(each, schema + (", text string" if with_text else ""))
+
+
+def _token_table(rows: DataFrame, k: int) -> DataFrame:
+    """digest and all tokens of every line of ``k`` words, once for each task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = {}, set()
+        for part in _texts(batches):
+            digests, hashes = [], []
+            for text in part.column("text").to_pylist():
+                for words, own_hashes in _line_words(text, known):
+                    if len(own_hashes) >= 8 * k and (digest := xxhash.xxh3_128_digest(words)) not in seen:
+                        seen.add(digest)
+                        digests.append(digest)
+                        hashes.append(own_hashes)
+            if len(seen) > _MOST_SEEN:
+                seen.clear()
+            tokens, counts = ordered(hashes, k, None)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(tokens, counts)], names=["digest", "tokens"])
+
+    return rows.select("text").mapInArrow(each, "digest binary, tokens array<long>")
 
 
 def _order() -> Column:
@@ -64,69 +224,75 @@ def _passes(n: Column, m: Column, i: Column, j: Column, least: float) -> Column:
     return (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= needed)
 
 
-def similar_lines(distinct: DataFrame, least: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
-    """Links (u, v) that connect the classes of ``distinct`` (lid, words as an array)."""
-    hashed = distinct.where(F.size("words") >= k).select("lid", _shingles(F.col("words"), k).alias("tokens"))
-    # How common a token is: its bucket's count, in eighths of the mean count.
-    counts = hashed.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
-    table_of = {r["b"]: r["n"] for r in counts.collect()}  # at most BUCKETS rows
-    mean = max(1.0, sum(table_of.values()) / BUCKETS)
-    rarity = F.lit(bytearray(min(31, int(8 * table_of.get(b, 0) / mean)) for b in range(BUCKETS)))
-    common = lambda t: F.ascii(F.substr(rarity, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-
-    rank = lambda t: F.shiftleft(common(t), 58).bitwiseOR(F.shiftrightunsigned(t, 6))
-    ordered = hashed.select("lid", F.sort_array(F.transform("tokens", rank)).alias("tokens")).withColumn("n", F.size("tokens"))
-    prefix = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    rows = ordered.select("lid", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("i", "token"))
-
-    by_token = Window.partitionBy("token").orderBy("lid")
-    lead = lambda df: df.select("*", F.first("lid").over(by_token).alias("leader"), F.first("n").over(by_token).alias("ln"), F.first("i").over(by_token).alias("li"), F.lead("lid").over(by_token).alias("next"))
-    shared = written(lead(rows).where((F.col("lid") != F.col("leader")) | F.col("next").isNotNull()).drop("next"), "line-shared")
-    # Only lines that share a token are verified: their texts are fetched once.
-    bodies = written(distinct.select("lid", "words").join(shared.select("lid").distinct(), "lid", "left_semi").select("lid", _shingles(F.col("words"), k).alias("tokens")), "line-bodies")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (bodies.select(F.col("lid").alias(v), F.col("tokens").alias(t)) for v, t in (("u", "a"), ("v", "b")))
-        some = pairs.distinct().join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
-        return written(some.where(F.col("both") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v"), "line-links")
-
-    def classed(df: DataFrame, of: str, name: str) -> DataFrame:
-        named = df.join(classes.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left")
-        return named.withColumn(name, F.coalesce(name, of))
-
-    led, links = shared.where("lid <> leader"), None
-    for turn in range(LEADERS):
-        pairs = led.where(_passes(F.col("n"), F.col("ln"), F.col("i"), F.col("li"), least)).select(F.col("leader").alias("u"), F.col("lid").alias("v"))
-        found = verified(pairs)
+def similar_lines(lines: DataFrame, distinct: DataFrame, rows: DataFrame, least: float, k: int) -> DataFrame | None:
+    """Links (u, v) between nodes of ``distinct`` (digest, node) that connect its classes; None without any."""
+    again = lines.where("n > 0").select("lid", "digest").join(distinct.select("digest", "node"), "digest").where("lid <> node").select(F.col("lid").alias("key"))
+    again = written(again, "line-again")
+    prefixes = keyed(lines.where("n > 0").select(F.col("lid").alias("node"), "n", "prefix"), F.col("node"), again, again.count(), "left_anti")
+    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
+    # Only tokens of several lines matter; counted first, so that single ones aren't moved again.
+    several = written(tokens.groupBy("token").agg(F.count("*").alias("count")).where("count > 1").select(F.col("token").alias("key")), "line-tokens")
+    shared = written(keyed(tokens, F.col("token"), several, several.count(), "left_semi"), "line-shared")
+    discard(again, several)
+    # Tokens of the lines that share one.
+    wanted = distinct.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest")
+    wanted = written(wanted.withColumn("key", F.xxhash64("digest")), "line-wanted")
+    bodies = keyed(_token_table(rows, k), F.xxhash64("digest"), wanted.select("key").distinct(), wanted.count(), "left_semi")
+    bodies = written(bodies.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens")), "line-bodies")
+    discard(wanted)
+
+    links, of = None, None
+
+    def verified(pairs: DataFrame) -> None:
+        nonlocal links, of
+        pairs = written(pairs.distinct(), "line-pairs")
+        ends = written(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "line-ends")
+        some = keyed(bodies, F.col("node"), ends, ends.count(), "left_semi")
+        a, b = (some.select(F.col("node").alias(v), F.col("tokens").alias(t)).hint("merge") for v, t in (("u", "a"), ("v", "b")))
+        both = pairs.join(a, "u").join(b, "v").withColumn("both", F.size(F.array_intersect("a", "b")))
+        found = written(both.where(F.col("both") >= F.lit(least) * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v"), "line-links")
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
-        apart = classed(classed(led, "lid", "c"), "leader", "lc").where("c <> lc").select("token", "lid", "n", "i")
+        discard(pairs, ends, of)
+        of = written(components(links), "line-components")
+
+    def classed(df: DataFrame, node: str, name: str) -> DataFrame:
+        named = df.join(of.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
+        return named.withColumn(name, F.coalesce(name, node))
+
+    def led_by(df: DataFrame) -> DataFrame:
+        first = df.groupBy("token").agg(F.min(F.struct("node", "n", "i")).alias("l"), F.count("*").alias("count")).where("count > 1")
+        first = written(first.select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.i").alias("li")), "line-leaders")
+        led = written(df.join(first.hint("merge"), "token").where("node <> leader"), "line-led")
+        discard(first)
+        return led
+
+    whole = led = led_by(shared)
+    for turn in range(LEADERS):
+        verified(led.where(_passes(F.col("n"), F.col("ln"), F.col("i"), F.col("li"), least)).select(F.col("leader").alias("u"), F.col("node").alias("v")))
+        left = written(classed(classed(led, "node", "c"), "leader", "lc").where("c <> lc").select("token", "node", "n", "i"), "line-left")
+        if led is not whole:
+            discard(led)
+        if left.isEmpty():
+            break
         if turn < LEADERS - 1:
-            led = written(lead(apart).where("lid <> leader").drop("next"), "line-led")
-            if led.isEmpty():
-                break
+            led = led_by(left)
+        discard(left)
     # What is still in another class than its token's first leader is compared with all of the token's other classes.
-    # A pair is looked at under the first token that both have, where the positional filter is sharpest.
-    own_tokens = shared.groupBy("lid").agg(F.array_sort(F.collect_list("token")).alias("mine"))
-    of_all = written(classed(classed(shared, "lid", "c"), "leader", "lc").join(own_tokens, "lid"), "line-classed")
-    other = of_all.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("oc"), F.col("mine").alias("theirs"))
-    first = F.element_at(F.array_intersect("mine", "theirs"), 1) == F.col("token")
-    rest = of_all.where("c <> lc").join(other, "token").where((F.col("c") != F.col("oc")) & _passes(F.col("n"), F.col("m"), F.col("i"), F.col("j"), least) & first)
-    more = verified(rest.select(F.least("lid", "other").alias("u"), F.greatest("lid", "other").alias("v")))
-    return links.unionByName(more)
-
-
-def line_classes(lines: DataFrame, least: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
-    """For each distinct line, by its digest, the class and the place of the class's first line."""
-    text = lines.where("digest is not null").groupBy("digest").agg(F.first("words").alias("words"), F.min(_order()).alias("at"))
-    distinct = written(text.withColumn("words", F.split("words", " ")).withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
-    of = components(similar_lines(distinct, least, k))
-    named = distinct.select("digest", "lid", "at").join(of.withColumnRenamed("node", "lid"), "lid", "left")
-    near = named.where("component is not null")
-    heads = near.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("lines"))
-    grouped = near.join(heads, "component").select("digest", "head", "lines", "component")
-    alone = named.where("component is null").select("digest", F.col("at").alias("head"), F.lit(1).cast("long").alias("lines"), F.col("lid").alias("component"))
-    return grouped.unionByName(alone)
+    strays = written(classed(classed(whole, "node", "c"), "leader", "lc").where("c <> lc"), "line-strays")
+    if not strays.isEmpty():
+        met = shared.join(strays.select("token").distinct(), "token", "left_semi")
+        mine = written(met.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("mine")), "line-mine")  # a prefix at most
+        met = written(classed(met, "node", "c").join(mine, "node"), "line-met")
+        other = met.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("oc"), F.col("mine").alias("theirs"))
+        here = written(strays.select("token", "node", "n", "i", "c").join(mine, "node"), "line-here")
+        # A pair is looked at under its first token, where the positional filter holds.
+        first = F.element_at(F.array_intersect("mine", "theirs"), 1) == F.col("token")
+        pair = (F.col("c") != F.col("oc")) & _passes(F.col("n"), F.col("m"), F.col("i"), F.col("j"), least) & first
+        rest = here.join(other, "token").where(pair)
+        verified(rest.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")))
+        discard(mine, met, here)
+    discard(strays, whole, shared, bodies)
+    return of
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, k: int = SHINGLE_WORDS, with_text: bool = False) -> DataFrame:
@@ -136,16 +302,28 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are never removed; lines under five words only if an earlier one has
     the same words. Null texts are one empty line. Rows that repeat an id are
     documents of their own, the earlier read first. Classes are the connected
-    components of lines with Jaccard similarity of at least ``least``.
+    components of lines with Jaccard similarity of at least ``least``. Texts
+    and lines of any length are taken whole, other columns are ignored, an
+    empty table gives an empty result.
     """
-    found = line_table(docs, id_col, text_col)
-    kept = ["row", "doc_id", "line", "digest"] + (["text"] if with_text else [])
-    lines = written(found.select(*kept), "lines")
-    classes = written(line_classes(found, least, k), "line-classes")
-    out = lines.join(classes, "digest", "left")
-    same = (F.col("head.row") == F.col("row")) & (F.col("head.line") == F.col("line"))
+    rows = own(docs, doc_id=id_col, text=text_col)
+    lines = written(line_table(rows, rarities(rows, k), least, k, with_text), "lines", compression="zstd")
+    place = F.min(_order()).alias("at")
+    distinct = lines.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("n").isNotNull(), F.col("lid"))).alias("node"), place, F.count("*").alias("copies"))
+    distinct = written(distinct, "line-distinct")
+    of = similar_lines(lines, distinct, rows, least, k)
+    named = written(distinct.join(of, "node"), "line-named") if of is not None else distinct.limit(0).withColumn("component", F.col("node"))
+    heads = written(named.groupBy("component").agg(F.min("at").alias("head"), F.count("*").alias("lines")), "line-heads")
+    near = named.join(heads, "component").select("digest", "head", "lines")
+    alone = distinct.where("copies > 1").join(named.select("digest"), "digest", "left_anti").select("digest", F.col("at").alias("head"), F.lit(1).cast("long").alias("lines"))
+    classes = written(near.unionByName(alone), "line-classes")  # all other lines are alone and stay
+    # Lines without words have no class; a key of their own keeps them from meeting in one task.
+    own_key = F.coalesce("digest", F.unhex(F.hex("lid")))
+    out = lines.drop("n", "prefix").withColumn("own_key", own_key).join(classes.withColumnRenamed("digest", "own_key").hint("merge"), "own_key", "left")
+    same = F.col("head").isNull() | (F.col("head.row") == F.col("row")) & (F.col("head.line") == F.col("line"))
     removed = F.col("digest").isNotNull() & ~same
-    return out.select("row", "doc_id", "line", *(["text"] if with_text else []), F.coalesce(removed, F.lit(False)).alias("removed"), F.coalesce("lines", F.lit(0)).alias("class_lines"), F.col("digest").isNotNull().alias("has_words"))
+    has_words = F.col("digest").isNotNull()
+    return out.select("row", "doc_id", "line", *(["text"] if with_text else []), removed.alias("removed"), F.coalesce("lines", has_words.cast("long")).alias("class_lines"), has_words.alias("has_words"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -164,5 +342,5 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(F.col("has_words")).alias("n_lines"),
         count(F.col("removed")).alias("n_removed"),
         count(F.col("class_lines") > 1).alias("n_near"),
-        F.sum(F.when(F.col("removed"), F.xxhash64("line") % 1_000_003).otherwise(0)).alias("removed_digest"),
+        F.sum(F.when(F.col("removed"), F.xxhash64(F.col("line").cast("int")) % 1_000_003).otherwise(0)).alias("removed_digest"),
     ).drop("row")
