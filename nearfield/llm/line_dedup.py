@@ -1,14 +1,15 @@
 """Near-duplicate lines over all documents, by an exact set-similarity join.
 
-A line's tokens are its different shingles of five words, in an order that all
-lines share: rare ones first, by counts over all lines, then by hash. Lines
-whose Jaccard similarity is at least t share a token in their prefixes of
-n - ceil(t * n) + 1 tokens; the places of that token and the lengths bound the
-overlap. What these filters leave is verified. Equal lines are one node.
+Native: DataFrame expressions only. A line's tokens are its different shingles
+of five words, in an order that all lines share: rare ones first, by counts
+over all lines, then by hash. Lines whose Jaccard similarity is at least t
+share a token in their prefixes of n - ceil(t * n) + 1 tokens; the places of
+that token and the lengths bound the overlap. What these filters leave is
+verified. Equal lines are one node.
 
-Hashing and ordering tokens is numpy's work on Arrow batches; DataFrame
-expressions alone took several times the processor time and the disk allowed
-(README). Joins, filters and verification are Spark's.
+Texts are read three times and never shuffled but for lines that share a
+token: to count shingles, for the lines' digests and prefixes, and for the
+tokens of those lines.
 
 The lines of a token are compared with one leader, those in another class with
 a second. Only what is then in another class than the first leader is compared
@@ -18,200 +19,75 @@ not its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, keyed, own, table, written
 from nearfield.llm.components import components
 
-#: Counters of shingles, and how many go together as one row. A shingle with a millionth of all occurrences stands out.
-COUNTERS, _CHUNK = 1 << 20, 1 << 12
+#: Counters of shingles; one with as large a share of all occurrences as a counter has stands out, whatever the input.
+COUNTERS = 1 << 17
 #: How often a token's lines are compared with one leader before the rest is compared in full.
 LEADERS = 2
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a task remembers, lines that it remembers having met, and bytes of text it takes at a time.
-_MOST_KNOWN, _MOST_SEEN, _TEXT_BYTES = 400_000, 400_000, 1 << 20
-
-
-def _line_words(text: str | None, known: dict[bytes, bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Words, joined by blanks, and word hashes of each line."""
-    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        words = line.split()
-        try:
-            hashes = b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > _MOST_KNOWN:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_digest(w)
-            hashes = b"".join(map(known.__getitem__, words))
-        yield b" ".join(words), hashes
-
-
-def shingles(hashes: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, one line after the other, and how many each has."""
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes)) // 8
-    counts = np.maximum(0, sizes - k + 1)
-    words = np.concatenate([np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64), np.zeros(k, np.uint64)])
-    total = int(sizes.sum())
-    found = np.zeros(total, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            found = (found ^ words[j : j + total]) * _MIX
-            found ^= found >> np.uint64(29)
-        found *= _MIX
-        found ^= found >> np.uint64(32)
-    starts, firsts = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
-    return found[np.repeat(starts - firsts, counts) + np.arange(int(counts.sum()))], counts
-
-
-def ordered(hashes: list[bytes], k: int, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Different tokens of each line, in the order all lines share, and how many each has.
+_BLANK = " \t\x0b\x0c\r"
 
-    A token is its shingle's hash with the shingle's commonness as highest bits.
-    """
-    found, counts = shingles(hashes, k)
-    if rarity is not None:
-        common = rarity[found & np.uint64(len(rarity) - 1)].astype(np.uint64)
-        found = (found >> np.uint64(6)) | (common << np.uint64(58))
-    of = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((found, of))
-    found, of = found[order], of[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-    return found[new], np.bincount(of[new], minlength=len(counts))
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about _TEXT_BYTES of text."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        a = 0
-        while a < len(batch):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _TEXT_BYTES, side="right")))
-            yield batch.slice(a, b - a)
-            a = b
-
-
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
-
-
-def rarities(rows: DataFrame, k: int) -> np.ndarray:
-    """How common the shingles of each counter are, from 0 to 31: twice the logarithm of its count over the mean.
 
-    Every occurrence in every line counts. The driver gets COUNTERS numbers.
-    """
+def _words(line: Column) -> Column:
+    """The line's words, by single blanks that become one separator."""
+    return F.filter(F.split(F.translate(line, _BLANK, " " * len(_BLANK)), " "), lambda w: w != "")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(COUNTERS, np.int64), {}
-        for part in _texts(batches):
-            found = shingles([h for t in part.column("text").to_pylist() for _, h in _line_words(t, known)], k)[0]
-            total += np.bincount((found & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield from chunks(total)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for at, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total[at : at + _CHUNK] += np.frombuffer(counts, "<i8")
-        yield from chunks(total)
+def _shingle(words: str, k: int, at: Column) -> Column:
+    return F.xxhash64(*(F.get(words, at + j) for j in range(k)))
 
-    def chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-        used = [at for at in range(0, COUNTERS, _CHUNK) if total[at : at + _CHUNK].any()]
-        for a in range(0, len(used), 16):
-            some = used[a : a + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[at : at + _CHUNK].tobytes() for at in some], pa.binary())], names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    parts = rows.select("text").mapInArrow(counted, schema)
-    sums = parts.repartition(min(COUNTERS // _CHUNK, 16), "chunk").mapInArrow(summed, schema).toArrow()
-    total = np.zeros(COUNTERS, np.int64)
-    for at, counts in zip(sums.column("chunk").to_pylist(), sums.column("counts").to_pylist()):
-        total[at : at + _CHUNK] += np.frombuffer(counts, "<i8")
-    level = np.log2(np.maximum(1, total / max(1.0, total.mean())))
-    return np.minimum(31, np.ceil(2 * level)).astype(np.uint8)
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows' lines: line (number), text, words (joined by blanks), w (the words)."""
+    lines = rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    # Most lines have single spaces only: then the line itself, trimmed, is its words.
+    odd = F.contains("text", F.lit("  "))
+    for c in _BLANK[1:]:
+        odd = odd | F.contains("text", F.lit(c))
+    joined = F.when(odd, F.array_join(_words(F.col("text")), " ")).otherwise(F.trim("text"))
+    return lines.withColumn("words", joined).withColumn("digest", F.when(F.col("words") != "", F.unhex(F.md5("words"))))
 
 
-def _prefix(n: np.ndarray, least: float) -> np.ndarray:
-    return np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+def rarities(rows: DataFrame, k: int) -> Column:
+    """How common the shingles of each counter are, from 0 to 31: twice the logarithm of its count over the mean.
 
+    An array for F.get. Every occurrence in every line counts; the driver gets
+    at most COUNTERS rows.
+    """
+    w = _split(rows.select("text")).select(F.split("words", " ").alias("w")).where(F.size("w") >= k)
+    each = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i")).select(F.pmod(_shingle("w", k, F.col("i")), F.lit(COUNTERS)).alias("b"))
+    found = each.groupBy("b").agg(F.count("*").alias("n")).toArrow()
+    counts = dict(zip(found.column("b").to_pylist(), found.column("n").to_pylist()))
+    mean = max(1.0, sum(counts.values()) / COUNTERS)
+    levels = ",".join(str(min(31, max(0, math.ceil(2 * math.log2(counts.get(b, 1) / mean))))) for b in range(COUNTERS))
+    return F.transform(F.split(F.lit(levels), ","), lambda x: x.cast("long"))  # folded into one constant
 
-def line_table(rows: DataFrame, rarity: np.ndarray, least: float, k: int, with_text: bool) -> DataFrame:
-    """Every line: lid and row (numbers of the line and of its document's row), doc_id, line, digest of its words (null without words), n tokens and the prefix.
 
-    Tokens and prefix are left out (null) where the task has met the same words before.
+def line_table(rows: DataFrame, rarity: Column, least: float, k: int, with_text: bool) -> DataFrame:
+    """Every line: lid and row (numbers of the line and of its document's row), doc_id, line, digest of its words (null without words), n (tokens) and the prefix.
+
+    A token is its shingle's hash with the shingle's commonness as highest bits.
     """
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast(rarity)  # COUNTERS bytes
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = {}, set()
-        row = lid = TaskContext.get().partitionId() << 40
-        for part in _texts(batches):
-            texts = part.column("text").to_pylist()
-            places, digests, hashes = [], [], []
-            for at, text in enumerate(texts):
-                for line, (words, own_hashes) in enumerate(_line_words(text, known)):
-                    digest = xxhash.xxh3_128_digest(words) if words else None
-                    places.append((at, line))
-                    digests.append(digest)
-                    met = digest is None or digest in seen
-                    hashes.append(None if met else own_hashes)
-                    if not met:
-                        seen.add(digest)
-            if len(seen) > _MOST_SEEN:
-                seen.clear()
-            new = np.array([h is not None for h in hashes])
-            tokens, counts = ordered([h for h in hashes if h is not None], k, shared.value)
-            size = _prefix(counts, least)
-            inside = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(size, counts)
-            all_sizes, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-            all_sizes[new], n[new] = size, counts
-            at, line = np.array(places, np.int64).reshape(-1, 2).T
-            arrays = [
-                pa.array(np.arange(lid, lid + len(new))), pa.array(at + row), part.column("doc_id").take(pa.array(at)), pa.array(line),
-                pa.array(digests, pa.binary()), pa.array(n, pa.int64(), mask=~new), _lists(tokens[inside], all_sizes),
-            ]
-            names = ["lid", "row", "doc_id", "line", "digest", "n", "prefix"]
-            if with_text:
-                arrays.append(pa.array([x for t in texts for x in (t or "").split("\n")], pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-            row += len(part)
-            lid += len(new)
-
-    schema = f"lid long, row long, doc_id {kind}, line long, digest binary, n long, prefix array<long>"
-    return rows.mapInArrow(each, schema + (", text string" if with_text else ""))
-
-
-def _token_table(rows: DataFrame, k: int) -> DataFrame:
-    """digest and all tokens of every line of ``k`` words, once for each task."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = {}, set()
-        for part in _texts(batches):
-            digests, hashes = [], []
-            for text in part.column("text").to_pylist():
-                for words, own_hashes in _line_words(text, known):
-                    if len(own_hashes) >= 8 * k and (digest := xxhash.xxh3_128_digest(words)) not in seen:
-                        seen.add(digest)
-                        digests.append(digest)
-                        hashes.append(own_hashes)
-            if len(seen) > _MOST_SEEN:
-                seen.clear()
-            tokens, counts = ordered(hashes, k, None)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _lists(tokens, counts)], names=["digest", "tokens"])
-
-    return rows.select("text").mapInArrow(each, "digest binary, tokens array<long>")
+    lines = _split(rows.withColumn("row", F.monotonically_increasing_id())).withColumn("lid", F.monotonically_increasing_id())
+    lines = lines.withColumn("w", F.split("words", " "))
+
+    def token(at: Column) -> Column:
+        return _shingle("w", k, at)
+
+    def ranked(t: Column) -> Column:
+        return F.shiftleft(F.get(rarity, F.pmod(t, F.lit(COUNTERS)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(t, 6))
+
+    hashes = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), token)).otherwise(F.array().cast("array<long>"))
+    lines = lines.withColumn("hashes", hashes).withColumn("tokens", F.sort_array(F.transform(F.array_distinct("hashes"), ranked)))
+    lines = lines.withColumn("n", F.size("tokens"))
+    prefix = F.when(F.col("n") > 0, F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")))
+    return lines.select("lid", "row", "doc_id", "line", "digest", "n", prefix.alias("prefix"), *(["text"] if with_text else []))
 
 
 def _order() -> Column:
@@ -226,7 +102,7 @@ def _passes(n: Column, m: Column, i: Column, j: Column, least: float) -> Column:
 
 def similar_lines(lines: DataFrame, distinct: DataFrame, rows: DataFrame, least: float, k: int) -> DataFrame | None:
     """Links (u, v) between nodes of ``distinct`` (digest, node) that connect its classes; None without any."""
-    again = lines.where("n > 0").select("lid", "digest").join(distinct.select("digest", "node"), "digest").where("lid <> node").select(F.col("lid").alias("key"))
+    again = lines.where("n > 0").select("lid", "digest").join(distinct.select("digest", "node").hint("merge"), "digest").where("lid <> node").select(F.col("lid").alias("key"))
     again = written(again, "line-again")
     prefixes = keyed(lines.where("n > 0").select(F.col("lid").alias("node"), "n", "prefix"), F.col("node"), again, again.count(), "left_anti")
     tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
@@ -237,14 +113,16 @@ def similar_lines(lines: DataFrame, distinct: DataFrame, rows: DataFrame, least:
     # Tokens of the lines that share one.
     wanted = distinct.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest")
     wanted = written(wanted.withColumn("key", F.xxhash64("digest")), "line-wanted")
-    bodies = keyed(_token_table(rows, k), F.xxhash64("digest"), wanted.select("key").distinct(), wanted.count(), "left_semi")
-    bodies = written(bodies.join(wanted.select("node", "digest"), "digest").groupBy("node").agg(F.first("tokens").alias("tokens")), "line-bodies")
+    bodies = keyed(_split(rows.select("text")).select("digest", "words"), F.xxhash64("digest"), wanted.select("key").distinct(), wanted.count(), "left_semi")
+    bodies = bodies.groupBy("digest").agg(F.first("words").alias("words")).join(wanted.select("node", "digest"), "digest").select("node", F.split("words", " ").alias("w"))
+    tokens_of = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda at: _shingle("w", k, at)))
+    bodies = written(bodies.select("node", tokens_of.alias("tokens")), "line-bodies")
     discard(wanted)
 
-    links, of = None, None
+    links, of, nodes = None, None, 0
 
     def verified(pairs: DataFrame) -> None:
-        nonlocal links, of
+        nonlocal links, of, nodes
         pairs = written(pairs.distinct(), "line-pairs")
         ends = written(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "line-ends")
         some = keyed(bodies, F.col("node"), ends, ends.count(), "left_semi")
@@ -254,15 +132,16 @@ def similar_lines(lines: DataFrame, distinct: DataFrame, rows: DataFrame, least:
         links = found if links is None else links.unionByName(found)
         discard(pairs, ends, of)
         of = written(components(links), "line-components")
+        nodes = of.count()
 
     def classed(df: DataFrame, node: str, name: str) -> DataFrame:
-        named = df.join(of.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left")
+        named = keyed(df, F.col(node), of.select(F.col("node").alias("key"), F.col("component").alias(name)), nodes, "left")
         return named.withColumn(name, F.coalesce(name, node))
 
     def led_by(df: DataFrame) -> DataFrame:
         first = df.groupBy("token").agg(F.min(F.struct("node", "n", "i")).alias("l"), F.count("*").alias("count")).where("count > 1")
-        first = written(first.select("token", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.i").alias("li")), "line-leaders")
-        led = written(df.join(first.hint("merge"), "token").where("node <> leader"), "line-led")
+        first = written(first.select(F.col("token").alias("key"), F.col("l.node").alias("leader"), F.col("l.n").alias("ln"), F.col("l.i").alias("li")), "line-leaders")
+        led = written(keyed(df, F.col("token"), first, first.count(), "inner").where("node <> leader"), "line-led")
         discard(first)
         return led
 
@@ -309,7 +188,7 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = own(docs, doc_id=id_col, text=text_col)
     lines = written(line_table(rows, rarities(rows, k), least, k, with_text), "lines", compression="zstd")
     place = F.min(_order()).alias("at")
-    distinct = lines.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("n").isNotNull(), F.col("lid"))).alias("node"), place, F.count("*").alias("copies"))
+    distinct = lines.where("digest is not null").groupBy("digest").agg(F.min("lid").alias("node"), place, F.count("*").alias("copies"))
     distinct = written(distinct, "line-distinct")
     of = similar_lines(lines, distinct, rows, least, k)
     named = written(distinct.join(of, "node"), "line-named") if of is not None else distinct.limit(0).withColumn("component", F.col("node"))
@@ -342,5 +221,5 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(F.col("has_words")).alias("n_lines"),
         count(F.col("removed")).alias("n_removed"),
         count(F.col("class_lines") > 1).alias("n_near"),
-        F.sum(F.when(F.col("removed"), F.xxhash64(F.col("line").cast("int")) % 1_000_003).otherwise(0)).alias("removed_digest"),
+        F.sum(F.when(F.col("removed"), F.xxhash64("line") % 1_000_003).otherwise(0)).alias("removed_digest"),
     ).drop("row")
