@@ -57,16 +57,15 @@ def _split(rows: DataFrame) -> DataFrame:
 def rarities(rows: DataFrame, k: int) -> Column:
     """How common the shingles of each counter are, from 0 to 31: twice the logarithm of its count over the mean.
 
-    An array for F.get. Every occurrence in every line counts; the driver gets
-    at most COUNTERS rows.
+    A constant of one byte per counter. Every occurrence in every line counts;
+    the driver gets at most COUNTERS rows.
     """
     w = _split(rows.select("text")).select(F.split("words", " ").alias("w")).where(F.size("w") >= k)
     each = w.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i")).select(F.pmod(_shingle("w", k, F.col("i")), F.lit(COUNTERS)).alias("b"))
     found = each.groupBy("b").agg(F.count("*").alias("n")).toArrow()
     counts = dict(zip(found.column("b").to_pylist(), found.column("n").to_pylist()))
     mean = max(1.0, sum(counts.values()) / COUNTERS)
-    levels = ",".join(str(min(31, max(0, math.ceil(2 * math.log2(counts.get(b, 1) / mean))))) for b in range(COUNTERS))
-    return F.transform(F.split(F.lit(levels), ","), lambda x: x.cast("long"))  # folded into one constant
+    return F.lit(bytearray(min(31, max(0, math.ceil(2 * math.log2(counts.get(b, 1) / mean)))) for b in range(COUNTERS)))
 
 
 def line_table(rows: DataFrame, rarity: Column, least: float, k: int, with_text: bool) -> DataFrame:
@@ -81,7 +80,8 @@ def line_table(rows: DataFrame, rarity: Column, least: float, k: int, with_text:
         return _shingle("w", k, at)
 
     def ranked(t: Column) -> Column:
-        return F.shiftleft(F.get(rarity, F.pmod(t, F.lit(COUNTERS)).cast("int")), 58).bitwiseOR(F.shiftrightunsigned(t, 6))
+        common = F.ascii(F.substr(rarity, F.pmod(t, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(common, 58).bitwiseOR(F.shiftrightunsigned(t, 6))
 
     hashes = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(0), F.size("w") - k), token)).otherwise(F.array().cast("array<long>"))
     lines = lines.withColumn("hashes", hashes).withColumn("tokens", F.sort_array(F.transform(F.array_distinct("hashes"), ranked)))
