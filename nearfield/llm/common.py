@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +83,22 @@ def sized(rows: int, each: int = 100_000) -> int:
     return max(8, -(-rows // each))
 
 
+_HELD: list = [None, None]
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What the tasks that a Python worker runs one after the other share.
+
+    A worker keeps only the last key's, so one operator's memory doesn't stay
+    while another's tasks run.
+    """
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        gc.collect()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
 #: Keys that are broadcast at most; each takes some 24 bytes.
 MOST_KEYS = 2_000_000
 

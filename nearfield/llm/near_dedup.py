@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.alignment import similar
-from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, keyed, own, sized, staying, table, written
+from nearfield.llm.common import SHINGLE_WORDS, SIMILARITY, discard, held, keyed, own, sized, staying, table, written
 from nearfield.llm.components import components
 
 #: So many that nine of ten pairs at the edit threshold share one.
@@ -40,9 +40,9 @@ _PROFILE, _BITMAP, _UNARY = 256, 32, 4
 #: Rows of a bucket that a stray node meets in one task.
 _BLOCK = 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MOST_KNOWN = 400_000
+_MOST_KNOWN = 250_000
 #: Bytes of text that are taken at a time, and k-mers that are sketched at a time.
-_TEXT_BYTES, _KMERS = 4 << 20, 1 << 16
+_TEXT_BYTES, _KMERS = 2 << 20, 1 << 16
 #: Low bits of a hash value that carry the place of its k-mer; longer texts take more.
 _PLACE_BITS = 24
 
@@ -140,7 +140,7 @@ def _signatures(docs: DataFrame, count: int, seed: int) -> DataFrame:
     multipliers = np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+        known: dict[bytes, bytes] = held("near words", dict)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -174,9 +174,10 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     joined = joined.join(bodies.select(F.col("node").alias("v"), F.col("words").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near pairs", dict)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 texts = [(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist())]
                 keep = pa.array(similar(texts, least))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])

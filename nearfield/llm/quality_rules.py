@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm.common import own, table
+from nearfield.llm.common import held, own, table
 
 SYMBOLS = b"#*$%&|<>"
 SENTENCE_END = (b".", b"!", b"?", b"\"", b"'", b")", b":", b";", "…".encode(), "”".encode(), "»".encode(), "。".encode())
@@ -179,7 +179,8 @@ def kept_documents(
     place = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("quality", dict)
+        for batch in (x.slice(a, 2000) for x in batches for a in range(0, len(x), 2000)):
             found = [judge(text, rules) for text in batch.column(place).to_pylist()]
             keep = pa.array([x["kept"] for x in found], pa.bool_())
             if cleaned:

@@ -9,12 +9,13 @@ encoded once by the library and its ids reused. Cuts at which that isn't exact
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from nearfield.llm.common import held
+
 #: Signs that may follow a word; after letters they start a token of their own.
 _TAIL = ".,*$%&#!?:;"
 _JOINED = 64
@@ -178,10 +179,9 @@ class TextEncoder:
         return found
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> TextEncoder:
     """This worker's encoder; the tasks that it runs one after the other share the words it has met."""
-    return TextEncoder(path)
+    return held(f"encoder {path}", lambda: TextEncoder(path))
 
 
 def default_vocabulary() -> str:
