@@ -104,7 +104,7 @@ def gemm_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool
     return out if out is not None else spark.createDataFrame([], empty)
 
 
-def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False) -> DataFrame:
+def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False, with_vector: bool = False) -> DataFrame:
     """The centroid with the largest dot product, for each vector; ties go to the lowest.
 
     With ``sums`` instead per task and cell: cell, n, total (sum of normalized vectors).
@@ -121,6 +121,8 @@ def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False) -> D
             if sums:
                 count += np.bincount(cell, minlength=len(c))
                 np.add.at(total, cell, x)
+            elif with_vector:
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(cell, pa.int32())], names=["vec_id", "embedding", "cell"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell, pa.int32())], names=["vec_id", "cell"])
         if sums:
@@ -128,4 +130,6 @@ def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False) -> D
             lists = pa.array(list(total[used]), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used]), lists], names=["cell", "n", "total"])
 
-    return data.select("vec_id", "embedding").mapInArrow(each, "cell int, n long, total array<double>" if sums else "vec_id long, cell int")
+    kind = data.schema["embedding"].dataType.simpleString()
+    schema = f"vec_id long, embedding {kind}, cell int" if with_vector else "vec_id long, cell int"
+    return data.select("vec_id", "embedding").mapInArrow(each, "cell int, n long, total array<double>" if sums else schema)

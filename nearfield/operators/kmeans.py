@@ -59,9 +59,9 @@ def train(data: DataFrame, centroids: DataFrame, iterations: int = ITERATIONS, r
     return to_frame(data.sparkSession, c)
 
 
-def assign(data: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id and cell of every vector."""
-    return gemm_assign(data, to_matrix(centroids))
+def assign(data: DataFrame, centroids: DataFrame, with_vector: bool = False) -> DataFrame:
+    """vec_id and cell of every vector, and on demand the embedding between them."""
+    return gemm_assign(data, to_matrix(centroids), with_vector=with_vector)
 
 
 def initial(data: DataFrame, cells: int, seed: int = 0, far: int = 1) -> DataFrame:

@@ -66,21 +66,21 @@ def train_codebook(data: DataFrame, dim: int, subspaces: int = SUBSPACES, codes:
     return spark.createDataFrame(book, "subspace int, code int, centroid array<double>")
 
 
-def encode(data: DataFrame, codebook: DataFrame, dim: int, subspaces: int = SUBSPACES) -> DataFrame:
-    """vec_id and its codes, one per subspace in order.
+def encode(data: DataFrame, codebook: DataFrame, dim: int, subspaces: int = SUBSPACES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, the columns to ``keep`` and its codes, one per subspace in order.
 
     A vector's parts are coded within its row; nothing is shuffled.
     """
     width = dim // subspaces
     book = codebook.agg(F.array_sort(F.collect_list(F.struct("subspace", "code", "centroid"))).alias("book"))
-    vectors = data.select("vec_id", l2_normalize("embedding").alias("v")).join(small(book), how="cross")
+    vectors = data.select("vec_id", *keep, l2_normalize("embedding").alias("v")).join(small(book), how="cross")
 
     def code(s: int):
         own = F.filter("book", lambda b: b["subspace"] == s)
         near = F.array_min(F.transform(own, lambda b: F.struct(squared_l2(subvector("v", s, width), b["centroid"]).alias("d"), b["code"].alias("code"))))
         return near["code"].cast("short")
 
-    return vectors.select("vec_id", F.array(*(code(s) for s in range(subspaces))).alias("codes"))
+    return vectors.select("vec_id", *keep, F.array(*(code(s) for s in range(subspaces))).alias("codes"))
 
 
 def code_dot(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:

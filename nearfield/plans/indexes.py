@@ -69,9 +69,10 @@ class IVFIndex:
         if self.centroids is None:
             raise ValueError("the index isn't trained")
         rows = checked(vectors, dim=self.dim)
-        placed = rows.join(kmeans.assign(rows, self.centroids), "vec_id")
+        placed = kmeans.assign(rows, self.centroids, with_vector=True)  # within each row: ids may repeat
         if self.use_pq:
-            placed = placed.join(pq.encode(rows, self.codebook, self.dim, self.subspaces), "vec_id")
+            placed = pq.encode(placed, self.codebook, self.dim, self.subspaces, keep=("cell", "embedding"))
+            placed = placed.select("vec_id", "embedding", "cell", "codes")
         return replace(self, cells=placed if self.cells is None else self.cells.unionByName(placed))
 
     def _ready(self, queries: DataFrame) -> DataFrame:

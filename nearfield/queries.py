@@ -17,7 +17,7 @@ from nearfield.operators import exact, ivf, kmeans, metrics, pq, topk
 from nearfield.plans import FlatIndexL2, IVFIndex
 from nearfield.sources import random_bytes, random_vectors
 
-DIM, QUERIES, K, CELLS, CODES, SUBSPACES = 64, 50, 5, 16, 32, 4
+DIM, QUERIES, K, CELLS, CODES, SUBSPACES = 64, 100, 5, 16, 32, 4
 WIDTH = DIM // SUBSPACES
 
 
@@ -31,8 +31,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", scaled.alias("embedding"))
 
 
-def query_rows(data: DataFrame, most: int = QUERIES) -> DataFrame:
-    return data.where(F.col("vec_id") < most).withColumnRenamed("vec_id", "query_id")
+def query_rows(data: DataFrame) -> DataFrame:
+    """The stated query set: every row whose id is divisible by QUERIES."""
+    return data.where(F.col("vec_id") % QUERIES == 0).withColumnRenamed("vec_id", "query_id")
 
 
 def first_centroids(data: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -149,7 +150,7 @@ def _adc(s: SparkSession, d: str) -> DataFrame:
 def _code_dot(s: SparkSession, d: str) -> DataFrame:
     data, book = _pq_parts(s, d)
     codes = _codes(data, book)
-    return _hits(pq.code_dot(codes.where(F.col("vec_id") < QUERIES).withColumnRenamed("vec_id", "query_id"), codes, K))
+    return _hits(pq.code_dot(codes.where(F.col("vec_id") % QUERIES == 0).withColumnRenamed("vec_id", "query_id"), codes, K))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -172,7 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_nested": _with_data(lambda v: _nested_text(topk.nested(FlatIndexL2(DIM).add(v).search(query_rows(v), K)))),
         "knn_split": _split_rows,
         "knn_exploded": _with_data(lambda v: _hits(topk.exploded(topk.split(FlatIndexL2(DIM).add(v).search(query_rows(v), K))))),
-        "pair_sort": _with_data(lambda v: topk.order_by_distance(exact.distances(query_rows(v, 5), v, True)).select("query_id", "rank", "vec_id")),
+        "pair_sort": _with_data(lambda v: topk.order_by_distance(exact.distances(query_rows(v), v, True)).select("query_id", "rank", "vec_id")),
         "nearest_centroid": _with_data(lambda v: exact.nearest_centroid(v, first_centroids(v)).select("vec_id", F.col("cell").cast("long").alias("cell"))),
         "min_centroid_distance": _with_data(lambda v: exact.min_centroid_distance(v, first_centroids(v)).select("vec_id", _r("distance").alias("distance"))),
         "cluster_sum_count": _sums,
@@ -189,7 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pq_code_dot": _code_dot,
         "pq_adc": _adc,
         "pq_train_step": _train_step,
-        "feature_knn": lambda s, d: (lambda f: _hits(exact.knn(f.where("vec_id <= 20").withColumnRenamed("vec_id", "query_id"), f, K, True)))(features(s, d)),
+        "feature_knn": lambda s, d: (lambda f: _hits(exact.knn(f.where(F.col("vec_id") % QUERIES == 0).withColumnRenamed("vec_id", "query_id"), f, K, True)))(features(s, d)),
         "kmeanspp_init": _with_data(lambda v: kmeans.initial(v, CELLS, seed=3, far=2)),
         "ivf_train_random": _with_data(lambda v: IVFIndex(DIM, CELLS, nprobe=4).train(v, seed=3).search(query_rows(v), K)),
         "ivf_pq_search": _with_data(lambda v: IVFIndex(DIM, CELLS, True, 4).train(v, init=first_centroids(v), iterations=2, codes=16, pq_iterations=3).search(query_rows(v), K)),
@@ -204,7 +205,7 @@ _ROUND = "round({0}, 6) + 0.0"
 
 def _knn_sql(left: str = "n", k: int = K, where: str = "TRUE", pairs: str = "") -> str:
     """CTEs that end in ``h``: query_id, rank, vec_id, d."""
-    pairs = pairs or f"SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.{left}, x.n) AS d FROM u q, u x WHERE q.vec_id < {QUERIES}"
+    pairs = pairs or f"SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.{left}, x.n) AS d FROM u q, u x WHERE q.vec_id % {QUERIES} = 0"
     return f"{_U}, p AS ({pairs}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p WHERE {where}), h AS (SELECT * FROM r WHERE rank <= {k})"
 
 
@@ -240,7 +241,7 @@ def _assign_sql(cells: str, name: str) -> str:
 
 def _ivf_sql(probe: str, k: int = K) -> str:
     pairs = f"SELECT b.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM b JOIN u q ON q.vec_id = b.vec_id JOIN a ON a.cell = b.cell JOIN u x ON x.vec_id = a.vec_id"
-    probes = f"b AS (SELECT vec_id, cell FROM (SELECT *, 2 - 2 * s AS cd, row_number() OVER (PARTITION BY vec_id ORDER BY 2 - 2 * s, cell) AS k FROM s WHERE vec_id < {QUERIES}) WHERE {probe})"
+    probes = f"b AS (SELECT vec_id, cell FROM (SELECT *, 2 - 2 * s AS cd, row_number() OVER (PARTITION BY vec_id ORDER BY 2 - 2 * s, cell) AS k FROM s WHERE vec_id % {QUERIES} = 0) WHERE {probe})"
     return f"{_U}, {_CELL}, {probes}, p AS ({pairs}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p), h AS (SELECT * FROM r WHERE rank <= {k})"
 
 
@@ -277,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_nested": f"WITH {_knn_sql('e')} {nested}",
         "knn_split": f"WITH {_knn_sql('e')} SELECT query_id, ids, total FROM ({nested})",
         "knn_exploded": _hits_sql(_knn_sql("e")),
-        "pair_sort": f"WITH {_U} SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 2 - 2 * list_dot_product(q.n, x.n) DESC, x.vec_id) AS rank FROM u q, u x WHERE q.vec_id < 5",
+        "pair_sort": f"WITH {_U} SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 2 - 2 * list_dot_product(q.n, x.n) DESC, x.vec_id) AS rank FROM u q, u x WHERE q.vec_id % {QUERIES} = 0",
         "nearest_centroid": f"WITH {_U}, {_CELL} SELECT vec_id, cell FROM a",
         "min_centroid_distance": f"WITH {_U}, {_SIMILAR} SELECT vec_id, {_ROUND.format('least(4.0, min(2 - 2 * s))')} AS distance FROM s GROUP BY vec_id",
         "cluster_sum_count": f"WITH {_U}, {_CELL}, {_sums_of('a', 'm')} SELECT cell, n, CAST(i - 1 AS BIGINT) AS pos, {_ROUND.format('t')} AS value FROM m",
@@ -287,12 +288,12 @@ def oracle_sql() -> dict[str, str]:
         "ivf_search": _hits_sql(_ivf_sql("k <= 3")),
         "ivf_search_auto": _hits_sql(_ivf_sql("cd <= 1.5")),
         "ivf_search_radius": _hits_sql(_ivf_sql("cd <= 0.45")),
-        "ivf_padded": f"WITH {_ivf_sql('k <= 1', 40)} SELECT q.vec_id AS query_id, CAST(40 AS BIGINT) AS n, concat_ws(',', nullif(rtrim(repeat('0,', CAST(40 - count(h.vec_id) AS INT)), ','), ''), string_agg(CAST(h.vec_id AS VARCHAR), ',' ORDER BY rank)) AS ids, {_ROUND.format('coalesce(sum(d), 0)')} AS total FROM (SELECT vec_id FROM u WHERE vec_id < {QUERIES}) q LEFT JOIN h ON h.query_id = q.vec_id GROUP BY q.vec_id",
-        "recall_at_k": f"WITH {_ivf_sql('k <= 3')}, e1 AS (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 2 - 2 * list_dot_product(q.n, x.n), x.vec_id) AS k FROM u q, u x WHERE q.vec_id < {QUERIES}) SELECT {_ROUND.format(f'count(h.vec_id) / ({K}.0 * count(DISTINCT e1.query_id))')} AS recall FROM e1 LEFT JOIN h ON h.query_id = e1.query_id AND h.vec_id = e1.vec_id WHERE e1.k <= {K}",
+        "ivf_padded": f"WITH {_ivf_sql('k <= 1', 40)} SELECT q.vec_id AS query_id, CAST(40 AS BIGINT) AS n, concat_ws(',', nullif(rtrim(repeat('0,', CAST(40 - count(h.vec_id) AS INT)), ','), ''), string_agg(CAST(h.vec_id AS VARCHAR), ',' ORDER BY rank)) AS ids, {_ROUND.format('coalesce(sum(d), 0)')} AS total FROM (SELECT vec_id FROM u WHERE vec_id % {QUERIES} = 0) q LEFT JOIN h ON h.query_id = q.vec_id GROUP BY q.vec_id",
+        "recall_at_k": f"WITH {_ivf_sql('k <= 3')}, e1 AS (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 2 - 2 * list_dot_product(q.n, x.n), x.vec_id) AS k FROM u q, u x WHERE q.vec_id % {QUERIES} = 0) SELECT {_ROUND.format(f'count(h.vec_id) / ({K}.0 * count(DISTINCT e1.query_id))')} AS recall FROM e1 LEFT JOIN h ON h.query_id = e1.query_id AND h.vec_id = e1.vec_id WHERE e1.k <= {K}",
         "pq_encode": f"WITH {_U}, {_CODED} SELECT vec_id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY subspace) AS codes FROM o GROUP BY vec_id",
         "pq_code_count": f"WITH {_U}, {_CODED} SELECT subspace, code, count(*) AS n FROM o GROUP BY ALL",
-        "pq_code_dot": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM o q JOIN o x USING (subspace) WHERE q.vec_id < {QUERIES} GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, d + 0.0 AS distance FROM h",
-        "pq_adc": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list(q.d ORDER BY subspace)) AS d FROM dist q JOIN o x USING (subspace, code) WHERE q.vec_id < {QUERIES} GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
+        "pq_code_dot": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM o q JOIN o x USING (subspace) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, d + 0.0 AS distance FROM h",
+        "pq_adc": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list(q.d ORDER BY subspace)) AS d FROM dist q JOIN o x USING (subspace, code) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
         "pq_train_step": f"WITH {_U}, {_CODED}, t AS (SELECT subspace, o.code, i, avg(w.e[i]) AS x FROM o JOIN w USING (vec_id, subspace), range(1, {WIDTH + 1}) g(i) GROUP BY ALL) SELECT b.subspace, b.code, CAST(g.i - 1 AS BIGINT) AS pos, {_ROUND.format('coalesce(t.x, b.c[g.i])')} AS value FROM b CROSS JOIN range(1, {WIDTH + 1}) g(i) LEFT JOIN t ON t.subspace = b.subspace AND t.code = b.code AND t.i = g.i",
-        "feature_knn": f"WITH {features_}, p AS (SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM u q, u x WHERE q.vec_id <= 20), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
+        "feature_knn": f"WITH {features_}, p AS (SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM u q, u x WHERE q.vec_id % {QUERIES} = 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
     }
