@@ -55,21 +55,29 @@ def threshold_knn(queries: DataFrame, data: DataFrame, threshold: float, k: int,
     return top_k(found, k, "similarity", descending=True).select("query_id", "rank", "vec_id", "similarity")
 
 
-def similarities(data: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Dot products of vectors with centroids, both normalized; the centroids are checked to be few."""
+def _beside_centroids(data: DataFrame, centroids: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Every row with its normalized vector x and all normalized centroids, an array that is broadcast once."""
     c = centroids.select("cell", l2_normalize("centroid").alias("c"))
-    return data.select("vec_id", l2_normalize("embedding").alias("x")).join(small(c), how="cross").select("vec_id", "cell", dot("x", "c").alias("s"))
+    if small(c) is c:
+        raise ValueError("too many centroids for an array in every task")
+    book = c.agg(F.collect_list(F.struct("cell", "c")).alias("book"))
+    rows = data.select("vec_id", *(F.col(k).alias(f"kept_{k}") for k in keep), l2_normalize("embedding").alias("x"))
+    return rows.join(F.broadcast(book), how="cross")
 
 
-def nearest_centroid(data: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id and the cell with the most similar centroid; ties go to the lowest cell."""
-    best = F.max_by("cell", F.struct("s", -F.col("cell")))
-    return similarities(data, centroids).groupBy("vec_id").agg(best.cast("int").alias("cell"))
+def nearest_centroid(data: DataFrame, centroids: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, the columns to ``keep`` and the cell with the most similar centroid; ties go to the lowest cell.
+
+    Decided within each row: nothing is shuffled and ids may repeat.
+    """
+    best = F.array_max(F.transform("book", lambda b: F.struct(dot("x", b["c"]).alias("s"), (-b["cell"]).alias("cell"))))
+    return _beside_centroids(data, centroids, keep).select("vec_id", *(F.col(f"kept_{k}").alias(k) for k in keep), (-best["cell"]).cast("int").alias("cell"))
 
 
 def min_centroid_distance(data: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id and the distance to its nearest centroid, at most 4."""
-    return similarities(data, centroids).groupBy("vec_id").agg(F.least(F.lit(4.0), F.min(distance_of("s"))).alias("distance"))
+    """vec_id and the distance to its nearest centroid, at most 4; decided within each row."""
+    best = F.array_max(F.transform("book", lambda b: dot("x", b["c"])))
+    return _beside_centroids(data, centroids, ()).select("vec_id", F.least(F.lit(4.0), distance_of(best)).alias("distance"))
 
 
 def filter_below(rows: DataFrame, value: Column | str, cutoff: float) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import distance_of, dot, l2_normalize
 from nearfield.operators.exact import RADIUS, small
+from nearfield.operators.kernels import column, cosine_distance, few, matrix, scan_topk
 from nearfield.operators.topk import top_k
 
 
@@ -30,10 +32,18 @@ def probes_within(queries: DataFrame, centroids: DataFrame, radius: float = RADI
 def search_cells(probed: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors in the probed cells: query_id, rank, vec_id, distance.
 
-    Probes and cells meet in an equi-join on the cell; of cells stored by cell,
-    Spark reads those that are probed. Empty cells and queries without a probe
-    give no rows.
+    Probes that fit a broadcast go to the vectors, which stay where they are; of
+    cells stored by cell only the probed ones are read. More probes meet the
+    cells in an equi-join. Empty cells and queries without a probe give no rows.
     """
-    vectors = cells.select("cell", "vec_id", l2_normalize("embedding").alias("x"))
-    found = vectors.join(probed, "cell").select("query_id", "vec_id", distance_of(dot("q", "x")).alias("distance"))
+    first = probed.select(F.size("q").alias("d")).first()
+    rows = few(probed.select("query_id", "cell", "q"), first["d"]) if first else None
+    if rows is not None:
+        ids, at = np.unique(column(rows, "query_id").to_numpy(), return_inverse=True)
+        q = np.zeros((len(ids), first["d"]))
+        q[at] = matrix(column(rows, "q"))
+        found = scan_topk(cells, "embedding", ids, q, k, cosine_distance, (at, column(rows, "cell").to_numpy()))
+    else:
+        vectors = cells.select("cell", "vec_id", l2_normalize("embedding").alias("x"))
+        found = vectors.join(probed, "cell").select("query_id", "vec_id", distance_of(dot("q", "x")).alias("distance"))
     return top_k(found, k).select("query_id", "rank", "vec_id", "distance")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
-#: Bytes of query vectors that are broadcast at a time.
+#: Bytes of query vectors that are broadcast at most.
 BROADCAST_BYTES = 64 << 20
+#: Vectors of a block where blocks of both sides meet: 2 MB at 64 elements.
+BLOCK_ROWS = 4096
+#: Cells that a filter names at most.
+MOST_LISTED_CELLS = 10_000
 #: Cells of one block of similarities.
 BLOCK_CELLS = 1 << 21
 
@@ -47,61 +52,141 @@ class BestK:
         full = np.flatnonzero(sizes == self.k)
         self.worst[full] = self.distance[np.searchsorted(self.query, full, side="right") - 1]
 
-    def block(self, distances: np.ndarray, ids: np.ndarray, first: int) -> None:
-        """Distances of queries ``first`` and following (rows) to the vectors ``ids`` (columns)."""
-        limit = self.worst[first : first + len(distances)]
+    def block(self, distances: np.ndarray, ids: np.ndarray, at: np.ndarray | int) -> None:
+        """Distances of the queries ``at``, or ``at`` and following (rows), to the vectors ``ids`` (columns)."""
+        if isinstance(at, int):
+            at = np.arange(at, at + len(distances))
+        limit = self.worst[at]
         if distances.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
         q, j = np.nonzero(distances <= limit[:, None])
         if len(q):
-            self.offer(q + first, distances[q, j], ids[j])
+            self.offer(at[q], distances[q, j], ids[j])
 
+    def table(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(query_ids[self.query]), pa.array(self.id), pa.array(self.distance)]
+        return pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "distance"])
 
-def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in parts of at most BROADCAST_BYTES, one at a time on the driver."""
-    most = max(1, BROADCAST_BYTES // (8 * max(1, dim)))
-    parts = -(-queries.count() // most)
-    # Hash parts differ in size; twice as many keep each under the bound in practice, and it is checked.
-    parts = 1 if parts <= 1 else 2 * parts
-    for part in range(parts):
-        rows = (queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).toArrow()
-        for at in range(0, rows.num_rows, most):
-            some = rows.slice(at, most).combine_chunks()
-            ids = some.column("query_id").combine_chunks().to_numpy() if some.num_rows else np.zeros(0, np.int64)
-            yield ids, matrix(some.column("embedding").combine_chunks())
+
+FOUND = "query_id long, vec_id long, distance double"
+
+
+def few(df: DataFrame, width: int) -> pa.Table | None:
+    """The rows, if there are at most as many as BROADCAST_BYTES holds of ``width`` doubles each."""
+    most = max(1, BROADCAST_BYTES // (8 * max(1, width)))
+    rows = df.limit(most + 1).toArrow()
+    return rows.combine_chunks() if rows.num_rows <= most else None
+
+
+def column(rows: pa.Table, name: str) -> pa.Array:
+    chunks = rows.column(name).combine_chunks()
+    return chunks if isinstance(chunks, pa.Array) else pa.concat_arrays(chunks.chunks)
+
+
+def scan_topk(data: DataFrame, value: str, query_ids: np.ndarray, q: np.ndarray, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], probes: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Each task's k nearest rows of each query: query_id, vec_id, distance.
+
+    ``q`` has a row per query, ``value`` is the list column beside vec_id that
+    ``distance`` compares it with. ``probes`` are (row of q, cell): then only
+    rows of ``data`` in these cells are read and compared. Nothing is shuffled,
+    and a cell of any size is spread over the tasks that hold it.
+    """
+    keep = ["vec_id", value]
+    by_cell = None
+    if probes is not None:
+        order = np.argsort(probes[1], kind="stable")
+        cells, starts = np.unique(probes[1][order], return_index=True)
+        by_cell = dict(zip(cells.tolist(), np.split(probes[0][order], starts[1:])))
+        keep.append("cell")
+        if len(by_cell) <= MOST_LISTED_CELLS:
+            data = data.where(F.col("cell").isin(list(by_cell)))
+    shared = data.sparkSession.sparkContext.broadcast((query_ids, q, by_cell))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q, by_cell = shared.value
+        best = BestK(len(query_ids), k)
+        everyone = np.arange(len(query_ids))
+        for batch in batches:
+            x, ids = matrix(batch.column(value)), batch.column("vec_id").to_numpy()
+            if by_cell is None:
+                groups = [(everyone, np.arange(len(x)))] if len(x) else []
+            else:
+                cell = batch.column("cell").to_numpy()
+                rows = np.argsort(cell, kind="stable")
+                own, starts = np.unique(cell[rows], return_index=True)
+                groups = [(by_cell[c], r) for c, r in zip(own.tolist(), np.split(rows, starts[1:])) if c in by_cell] if len(x) else []
+            for at, rows in groups:
+                for a in range(0, len(rows), 4096):
+                    some = rows[a : a + 4096]
+                    tall = max(1, BLOCK_CELLS // len(some))
+                    for b in range(0, len(at), tall):
+                        best.block(distance(q[at[b : b + tall]], x[some]), ids[some], at[b : b + tall])
+        yield best.table(query_ids)
+
+    return data.select(*keep).mapInArrow(each, FOUND)
+
+
+def cosine_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """2 - 2 * q.x with x normalized."""
+    return 2.0 - 2.0 * (q @ normalized(x).T)
 
 
 def gemm_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool) -> DataFrame:
-    """Each task's k nearest vectors of each query: query_id, vec_id, distance.
+    """The k nearest vectors of each query, k or more candidates each: query_id, vec_id, distance.
 
-    The queries are broadcast in parts of bounded size, each part scans the
-    data once. A task keeps k rows per query, and emits them at its end.
+    Queries of up to BROADCAST_BYTES are broadcast and the data is read once;
+    beyond that blocks of both sides meet in a join.
     """
-    spark = data.sparkSession
-    empty = "query_id long, vec_id long, distance double"
     first = queries.select(F.size("embedding").alias("d")).first()
-    out = None
-    for ids, q in _blocks(queries, first["d"] if first else 1):
-        if not len(ids):
-            continue
-        shared = spark.sparkContext.broadcast((ids, normalized(q) if normalize_query else q))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
-            best = BestK(len(query_ids), k)
-            for batch in batches:
-                x, vec_ids = normalized(matrix(batch.column("embedding"))), batch.column("vec_id").to_numpy()
-                wide = max(1, min(len(x), 4096))
-                tall = max(1, BLOCK_CELLS // wide)
-                for a in range(0, len(x), wide):
-                    for b in range(0, len(q), tall):
-                        best.block(2.0 - 2.0 * (q[b : b + tall] @ x[a : a + wide].T), vec_ids[a : a + wide], b)
-            arrays = [pa.array(query_ids[best.query]), pa.array(best.id), pa.array(best.distance)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "distance"])
-
-        part = data.select("vec_id", "embedding").mapInArrow(each, empty)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], empty)
+    if not first:
+        return data.sparkSession.createDataFrame([], FOUND)
+    rows = few(queries.select("query_id", "embedding"), first["d"])
+    if rows is None:
+        return block_topk(queries, data, k, normalize_query)
+    q = matrix(column(rows, "embedding"))
+    return scan_topk(data, "embedding", column(rows, "query_id").to_numpy(), normalized(q) if normalize_query else q, k, cosine_distance)
+
+
+def packed(df: DataFrame, id_col: str, prefix: str, normalize: bool) -> DataFrame:
+    """Rows of a task in blocks of up to BLOCK_ROWS vectors: their ids and their elements as bytes, and a hash of the block."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK_ROWS):
+                some = batch.slice(a, BLOCK_ROWS)
+                x = matrix(some.column("embedding"))
+                ids = some.column(id_col).to_numpy().astype(np.int64).tobytes()
+                values = [pa.array([ids], pa.binary()), pa.array([(normalized(x) if normalize else x).tobytes()], pa.binary()), pa.array([crc32(ids)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(values, names=[f"{prefix}_ids", f"{prefix}_rows", f"{prefix}_hash"])
+
+    return df.select(id_col, "embedding").mapInArrow(each, f"{prefix}_ids binary, {prefix}_rows binary, {prefix}_hash long")
+
+
+def block_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool) -> DataFrame:
+    """k candidates of each pair of blocks: query_id, vec_id, distance; both sides may be of any size.
+
+    Data blocks fall into as many groups as a shuffle has partitions, every
+    block of queries goes to each group. A task multiplies one block of queries
+    with one of the data at a time. The driver sees no vector.
+    """
+    spark = data.sparkSession
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = packed(data, "vec_id", "x", True).withColumn("g", F.pmod(F.col("x_hash"), F.lit(groups)).cast("int"))
+    right = packed(queries, "query_id", "q", normalize_query).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = left.join(right.hint("merge"), "g").select("x_ids", "x_rows", "q_ids", "q_rows")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                x_ids, x, q_ids, q = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
+                x, q = x.reshape(len(x_ids), -1), q.reshape(len(q_ids), -1)
+                best = BestK(len(q_ids), k)
+                tall = max(1, BLOCK_CELLS // len(x))
+                for b in range(0, len(q), tall):
+                    best.block(2.0 - 2.0 * (q[b : b + tall] @ x.T), x_ids, b)
+                yield best.table(q_ids)
+
+    return pairs.mapInArrow(each, FOUND)
 
 
 def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False, with_vector: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ def cluster_sums(assigned: DataFrame, dim: int) -> DataFrame:
 def step(data: DataFrame, centroids: DataFrame, dim: int, rate: float = LEARNING_RATE) -> DataFrame:
     """One damped round by expressions: cell and new centroid; an empty cell's mean is 0."""
     vectors = data.select("vec_id", l2_normalize("embedding").alias("embedding"))
-    sums = cluster_sums(nearest_centroid(vectors, centroids).join(vectors, "vec_id"), dim)
+    sums = cluster_sums(nearest_centroid(vectors, centroids, keep=("embedding",)), dim)
     joined = centroids.join(sums, "cell", "left")
     count = F.coalesce("n", F.lit(0)) + GUARD
     total = F.coalesce("total", F.array_repeat(F.lit(0.0), dim))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import l2_normalize, squared_l2, subvector
 from nearfield.operators.exact import small
+from nearfield.operators.kernels import column, few, matrix, normalized, scan_topk
 from nearfield.operators.topk import top_k
 
 SUBSPACES, CODES, ITERATIONS = 4, 32, 100
@@ -66,33 +71,68 @@ def train_codebook(data: DataFrame, dim: int, subspaces: int = SUBSPACES, codes:
     return spark.createDataFrame(book, "subspace int, code int, centroid array<double>")
 
 
+def books(codebook: DataFrame) -> np.ndarray:
+    """The codebook as an array by subspace, code and element; at most MOST_CODES rows a subspace."""
+    rows = sorted(codebook.select("subspace", "code", "centroid").collect())
+    subspaces = len({r["subspace"] for r in rows})
+    return np.array([r["centroid"] for r in rows], float).reshape(subspaces, -1, len(rows[0]["centroid"]))
+
+
+def part_distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances of each row's parts to all codes: rows x subspaces x codes."""
+    parts = x.reshape(len(x), book.shape[0], 1, book.shape[2])
+    out = np.empty((len(x), *book.shape[:2]))
+    for a in range(0, len(x), 1024):
+        out[a : a + 1024] = ((parts[a : a + 1024] - book) ** 2).sum(axis=-1)
+    return out
+
+
 def encode(data: DataFrame, codebook: DataFrame, dim: int, subspaces: int = SUBSPACES, keep: tuple[str, ...] = ()) -> DataFrame:
     """vec_id, the columns to ``keep`` and its codes, one per subspace in order.
 
     A vector's parts are coded within its row; nothing is shuffled.
     """
-    width = dim // subspaces
-    book = codebook.agg(F.array_sort(F.collect_list(F.struct("subspace", "code", "centroid"))).alias("book"))
-    vectors = data.select("vec_id", *keep, l2_normalize("embedding").alias("v")).join(small(book), how="cross")
+    if dim % subspaces:
+        raise ValueError(f"{dim} elements don't divide into {subspaces} subspaces")
+    shared = data.sparkSession.sparkContext.broadcast(books(codebook))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = part_distances(normalized(matrix(batch.column("embedding"))), shared.value).argmin(axis=2)
+            lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32), pa.array(codes.ravel().astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(batch.column(c) for c in keep), lists], names=["vec_id", *keep, "codes"])
 
-    def code(s: int):
-        own = F.filter("book", lambda b: b["subspace"] == s)
-        near = F.array_min(F.transform(own, lambda b: F.struct(squared_l2(subvector("v", s, width), b["centroid"]).alias("d"), b["code"].alias("code"))))
-        return near["code"].cast("short")
+    kinds = "".join(f"{c} {data.schema[c].dataType.simpleString()}, " for c in keep)
+    return data.select("vec_id", "embedding", *(c for c in keep if c != "embedding")).mapInArrow(each, f"vec_id long, {kinds}codes array<smallint>")
 
-    return vectors.select("vec_id", *keep, F.array(*(code(s) for s in range(subspaces))).alias("codes"))
+
+def _probes(rows: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """Ids of the queries, a row of values of each, and where there is a cell column (row, cell)."""
+    ids, at = np.unique(column(rows, "query_id").to_numpy(), return_inverse=True)
+    all_values = matrix(column(rows, value))
+    values = np.zeros((len(ids), all_values.shape[1]))
+    values[at] = all_values
+    return ids, values, (at, column(rows, "cell").to_numpy()) if "cell" in rows.column_names else None
 
 
 def code_dot(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """Rank by the dot product of code numbers, larger first: query_id, rank, vec_id, distance = 2 - 2 * score.
 
     ``queries`` has query_id, codes; with a cell column on both sides only rows
-    of one cell meet.
+    of one cell meet. Queries that fit a broadcast go to the codes, more of them
+    meet the codes in a join.
     """
-    score = F.aggregate(F.zip_with("qc", "codes", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.withColumnRenamed("codes", "qc")
-    joined = data.join(q, "cell") if "cell" in queries.columns else data.join(small(q), how="cross")
-    found = joined.select("query_id", "vec_id", (F.lit(2.0) - 2.0 * score).alias("distance"))
+    rows = few(queries, MOST_CODES)
+    if rows is not None and rows.num_rows:
+        ids, codes, probes = _probes(rows, "codes")
+        found = scan_topk(data, "codes", ids, codes, k, lambda q, x: 2.0 - 2.0 * (q @ x.T), probes)
+    else:
+        score = F.aggregate(F.zip_with("qc", "codes", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        q = queries.withColumnRenamed("codes", "qc")
+        joined = data.join(q, "cell") if "cell" in queries.columns else data.join(small(q), how="cross")
+        found = joined.select("query_id", "vec_id", (F.lit(2.0) - 2.0 * score).alias("distance"))
     return top_k(found, k).select("query_id", "rank", "vec_id", "distance")
 
 
@@ -107,13 +147,32 @@ def adc_tables(queries: DataFrame, codebook: DataFrame, dim: int, subspaces: int
 def adc(queries: DataFrame, data: DataFrame, codebook: DataFrame, k: int, dim: int, subspaces: int = SUBSPACES) -> DataFrame:
     """Asymmetric distances (Jégou et al. 2011): exact query parts against the vectors' codes.
 
-    ``queries`` has query_id, embedding and perhaps cell, ``data`` vec_id, codes and perhaps cell.
+    ``queries`` has query_id, embedding and perhaps cell, ``data`` vec_id, codes
+    and perhaps cell. Queries whose tables of distances fit a broadcast go to
+    the codes, more of them meet the codes in a join.
     """
-    tables = adc_tables(queries.select("query_id", "embedding").dropDuplicates(["query_id"]), codebook, dim, subspaces)
-    looked = F.transform(F.col("codes"), lambda c, s: F.get(F.get("table", s), c.cast("int")))
-    distance = F.aggregate(looked, F.lit(0.0), lambda s, x: s + x)
-    if "cell" in queries.columns:
-        joined = data.join(queries.select("query_id", "cell").join(tables, "query_id"), "cell")
+    book = books(codebook)
+    rows = few(queries, max(dim, book.shape[0] * book.shape[1]))
+    if rows is not None and rows.num_rows:
+        ids, q, probes = _probes(rows, "embedding")
+        tables = part_distances(normalized(q), book).reshape(len(ids), -1)
+        offset = np.arange(book.shape[0]) * book.shape[1]
+
+        def distance(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            places = codes.astype(np.int64) + offset
+            out = np.zeros((len(table), len(codes)))
+            for s in range(places.shape[1]):
+                out += table[:, places[:, s]]
+            return out
+
+        found = scan_topk(data, "codes", ids, tables, k, distance, probes)
     else:
-        joined = data.join(small(tables), how="cross")
-    return top_k(joined.select("query_id", "vec_id", distance.alias("distance")), k).select("query_id", "rank", "vec_id", "distance")
+        tables = adc_tables(queries.select("query_id", "embedding").dropDuplicates(["query_id"]), codebook, dim, subspaces)
+        looked = F.transform(F.col("codes"), lambda c, s: F.get(F.get("table", s), c.cast("int")))
+        distance = F.aggregate(looked, F.lit(0.0), lambda s, x: s + x)
+        if "cell" in queries.columns:
+            joined = data.join(queries.select("query_id", "cell").join(tables, "query_id"), "cell")
+        else:
+            joined = data.join(small(tables), how="cross")
+        found = joined.select("query_id", "vec_id", distance.alias("distance"))
+    return top_k(found, k).select("query_id", "rank", "vec_id", "distance")

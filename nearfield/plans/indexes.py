@@ -8,6 +8,7 @@ embedding; results are query_id, rank, vec_id, distance.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,9 @@ class IVFIndex:
     codebook: DataFrame | None = None
     subspaces: int = pq.SUBSPACES
 
-    @property
+    @cached_property
     def size(self) -> int:
+        """Vectors in the index, counted once."""
         return 0 if self.cells is None else self.cells.count()
 
     def train(self, vectors: DataFrame, init: DataFrame | None = None, seed: int = 0, iterations: int = kmeans.ITERATIONS, codes: int = pq.CODES, pq_iterations: int = pq.ITERATIONS) -> IVFIndex:

@@ -71,6 +71,20 @@ def _indexed(s: SparkSession, d: str, n_probe: int = 3) -> tuple[DataFrame, IVFI
     return data, index.train(data, init=first_centroids(data), iterations=0)
 
 
+def _trained(s: SparkSession, d: str) -> DataFrame:
+    """Search in an index after two rounds of training from given centroids."""
+    data = vectors(s, d)
+    index = IVFIndex(DIM, 8, nprobe=3).train(data, init=first_centroids(data, 8), iterations=2)
+    return _hits(index.search(query_rows(data), K))
+
+
+def _ivf_codes(s: SparkSession, d: str, scoring: str) -> DataFrame:
+    """Search of codes in cells, with given centroids and codebook."""
+    data, book = _pq_parts(s, d)
+    index = IVFIndex(DIM, CELLS, True, 4, centroids=first_centroids(data), codebook=book).add(data)
+    return _hits(index.search(query_rows(data), K, scoring=scoring))
+
+
 def features(s: SparkSession, d: str) -> DataFrame:
     """A vector of four largest values per part of lineitem."""
     rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("vec_id"))
@@ -112,7 +126,7 @@ def _shift(s: SparkSession, d: str) -> DataFrame:
 def _sums(s: SparkSession, d: str) -> DataFrame:
     data = vectors(s, d)
     unit = data.select("vec_id", l2_normalize("embedding").alias("embedding"))
-    found = kmeans.cluster_sums(exact.nearest_centroid(data, first_centroids(data)).join(unit, "vec_id"), DIM)
+    found = kmeans.cluster_sums(exact.nearest_centroid(unit, first_centroids(data), keep=("embedding",)), DIM)
     return _long(found.withColumn("cell", F.col("cell").cast("long")), "total", ["cell", "n"])
 
 
@@ -184,6 +198,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_search_auto": lambda s, d: (lambda v, i: _hits(i.search_auto(query_rows(v), K, 1.5)))(*_indexed(s, d)),
         "ivf_search_radius": lambda s, d: (lambda v, i: _hits(i.search_auto(query_rows(v), K)))(*_indexed(s, d)),
         "ivf_padded": lambda s, d: (lambda v, i: _nested_text(i.search(query_rows(v), 40, padded_form=True)))(*_indexed(s, d, 1)),
+        "ivf_trained_search": _trained,
+        "ivf_pq_adc": lambda s, d: _ivf_codes(s, d, "adc"),
+        "ivf_pq_code_dot": lambda s, d: _ivf_codes(s, d, "code_dot"),
         "recall_at_k": _ivf_exact_recall,
         "pq_encode": lambda s, d: (lambda v, b: _codes(v, b).select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes")))(*_pq_parts(s, d)),
         "pq_code_count": lambda s, d: (lambda v, b: pq.encode_parts(pq.subvectors(v, DIM, SUBSPACES), b).groupBy(F.col("subspace").cast("long").alias("subspace"), F.col("code").cast("long").alias("code")).agg(F.count("*").alias("n")))(*_pq_parts(s, d)),
@@ -249,6 +266,8 @@ _PARTS = f"w AS MATERIALIZED (SELECT vec_id, s AS subspace, list_slice(n, s * {W
 _BOOK = f"{_PARTS}, b AS (SELECT subspace, vec_id AS code, e AS c FROM w WHERE vec_id < {CODES})"
 _D2 = "list_sum(list_transform(range(1, len(w.e) + 1), lambda i: (w.e[i] - b.c[i]) * (w.e[i] - b.c[i])))"
 _CODED = f"{_BOOK}, dist AS MATERIALIZED (SELECT w.vec_id, w.subspace, b.code, {_D2} AS d FROM w JOIN b USING (subspace)), o AS MATERIALIZED (SELECT vec_id, subspace, code FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, subspace ORDER BY d, code) AS k FROM dist) WHERE k = 1)"
+_PROBED = f"{_SIMILAR}, a AS MATERIALIZED (SELECT vec_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS k FROM s) WHERE k = 1), b4 AS MATERIALIZED (SELECT vec_id AS query_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY 2 - 2 * s, cell) AS k FROM s WHERE vec_id % {QUERIES} = 0) WHERE k <= 4)"
+_RANKED = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h"
 _IDS = "string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank)"
 
 
@@ -294,6 +313,9 @@ def oracle_sql() -> dict[str, str]:
         "pq_code_count": f"WITH {_U}, {_CODED} SELECT subspace, code, count(*) AS n FROM o GROUP BY ALL",
         "pq_code_dot": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM o q JOIN o x USING (subspace) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, d + 0.0 AS distance FROM h",
         "pq_adc": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list(q.d ORDER BY subspace)) AS d FROM dist q JOIN o x USING (subspace, code) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
+        "ivf_trained_search": f"WITH {eight}, c3 AS (SELECT cell, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS n FROM c2), b3 AS (SELECT vec_id AS query_id, cell FROM (SELECT u.vec_id, c3.cell, row_number() OVER (PARTITION BY u.vec_id ORDER BY 2 - 2 * list_dot_product(u.n, c3.n), c3.cell) AS k FROM u, c3 WHERE u.vec_id % {QUERIES} = 0) WHERE k <= 3), p AS (SELECT b3.query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM b3 JOIN u q ON q.vec_id = b3.query_id JOIN a2 ON a2.cell = b3.cell JOIN u x ON x.vec_id = a2.vec_id), {_RANKED}",
+        "ivf_pq_adc": f"WITH {_U}, {_CODED}, {_PROBED}, p AS (SELECT b4.query_id, x.vec_id, list_sum(list(q.d ORDER BY q.subspace)) AS d FROM b4 JOIN a USING (cell) JOIN o x ON x.vec_id = a.vec_id JOIN dist q ON q.vec_id = b4.query_id AND q.subspace = x.subspace AND q.code = x.code GROUP BY ALL), {_RANKED}",
+        "ivf_pq_code_dot": f"WITH {_U}, {_CODED}, {_PROBED}, p AS (SELECT b4.query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM b4 JOIN a USING (cell) JOIN o x ON x.vec_id = a.vec_id JOIN o q ON q.vec_id = b4.query_id AND q.subspace = x.subspace GROUP BY ALL), {_RANKED}",
         "pq_train_step": f"WITH {_U}, {_CODED}, t AS (SELECT subspace, o.code, i, avg(w.e[i]) AS x FROM o JOIN w USING (vec_id, subspace), range(1, {WIDTH + 1}) g(i) GROUP BY ALL) SELECT b.subspace, b.code, CAST(g.i - 1 AS BIGINT) AS pos, {_ROUND.format('coalesce(t.x, b.c[g.i])')} AS value FROM b CROSS JOIN range(1, {WIDTH + 1}) g(i) LEFT JOIN t ON t.subspace = b.subspace AND t.code = b.code AND t.i = g.i",
         "feature_knn": f"WITH {features_}, p AS (SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM u q, u x WHERE q.vec_id % {QUERIES} = 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
     }

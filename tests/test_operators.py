@@ -163,3 +163,54 @@ def test_best_k_equals_sorting(k, step, table):
     for q in range(3):
         mine = [(x, i) for qq, x, i in zip(best.query, best.distance, best.id) if qq == q]
         assert mine == sorted((x, i) for i, x in enumerate(d[q]))[:k]
+
+
+def random_frame(spark, n, dim, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return frame(spark, list(enumerate(x)))
+
+
+def test_many_queries_meet_the_data_in_blocks(spark, monkeypatch):
+    from nearfield.operators import kernels
+
+    data = random_frame(spark, 90, 4, 1).repartition(3)
+    expected = hits(exact.self_knn(data, 4))
+    monkeypatch.setattr(kernels, "BROADCAST_BYTES", 64)
+    monkeypatch.setattr(kernels, "BLOCK_ROWS", 7)
+    joined = exact.self_knn(data, 4)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert hits(joined) == expected == hits(exact.self_knn(data, 4, "expression"))
+
+
+@pytest.mark.parametrize("kind", ["vectors", "adc", "code_dot"])
+def test_probes_beyond_a_broadcast_give_the_same(spark, monkeypatch, kind):
+    from nearfield.operators import kernels
+
+    data = random_frame(spark, 80, 8, 2)
+    index = IVFIndex(8, 5, kind != "vectors", 2, subspaces=2).train(data, iterations=1, codes=6, pq_iterations=1, seed=1)
+    queries = as_queries(data.where("vec_id % 9 = 0"))
+    how = {} if kind == "vectors" else {"scoring": kind}
+    expected = hits(index.search(queries, 6, **how))
+    assert len(expected) > 20
+    monkeypatch.setattr(kernels, "BROADCAST_BYTES", 64)
+    assert hits(index.search(queries, 6, **how)) == expected
+
+
+def test_repeated_ids_stay_rows(spark):
+    data = frame(spark, [(1, [1, 0]), (1, [0, 1]), (2, [1, 0.1])])
+    c = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cell int, centroid array<double>")
+    assert sorted(r["cell"] for r in exact.nearest_centroid(data, c).collect()) == [0, 0, 1]
+    index = IVFIndex(2, 2, nprobe=2, use_pq=True, subspaces=2).train(data, init=c, iterations=1, codes=2, pq_iterations=1)
+    assert index.size == 3
+
+
+def test_recall_of_codes_in_clusters(spark):
+    """100 nearest of 100 queries by codes in all cells, among 2,000 vectors around 40 centres."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, 2000)] + 0.15 * r.normal(size=(2000, 16))
+    data = frame(spark, list(enumerate(x)))
+    queries = as_queries(data.where("vec_id % 20 = 0"))
+    index = IVFIndex(16, 8, True, 8, subspaces=4).train(data, iterations=3, codes=32, pq_iterations=8, seed=2)
+    truth = FlatIndexL2(16).add(data).search(queries, 100, True)
+    assert metrics.recall(truth, index.search(queries, 100)).first()["recall"] > 0.7
