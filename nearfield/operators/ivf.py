@@ -29,19 +29,19 @@ def probes_within(queries: DataFrame, centroids: DataFrame, radius: float = RADI
     return centroid_distances(queries, centroids).where(F.col("distance") <= radius).select("query_id", F.col("vec_id").alias("cell"), "q")
 
 
-def search_cells(probed: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+def search_cells(probed: DataFrame, cells: DataFrame, k: int, dim: int) -> DataFrame:
     """The k nearest vectors in the probed cells: query_id, rank, vec_id, distance.
 
     Probes that fit a broadcast go to the vectors, which stay where they are; of
     cells stored by cell only the probed ones are read. More probes meet the
     cells in an equi-join. Empty cells and queries without a probe give no rows.
     """
-    first = probed.select(F.size("q").alias("d")).first()
-    rows = few(probed.select("query_id", "cell", "q"), first["d"]) if first else None
+    rows = few(probed.select("query_id", "cell", "q"), dim)
     if rows is not None:
         ids, at = np.unique(column(rows, "query_id").to_numpy(), return_inverse=True)
-        q = np.zeros((len(ids), first["d"]))
-        q[at] = matrix(column(rows, "q"))
+        q = np.zeros((len(ids), dim))
+        if len(ids):
+            q[at] = matrix(column(rows, "q"))
         found = scan_topk(cells, "embedding", ids, q, k, cosine_distance, (at, column(rows, "cell").to_numpy()))
     else:
         vectors = cells.select("cell", "vec_id", l2_normalize("embedding").alias("x"))

@@ -7,6 +7,7 @@ row per cell and round comes back, vectors stay where they are.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def to_matrix(centroids: DataFrame) -> np.ndarray:
 
 
 def to_frame(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centroids)], "cell int, centroid array<double>")
+    """A relation that the plan itself holds: counting or collecting it runs no job."""
+    rows = pa.table({"cell": pa.array(np.arange(len(centroids)), pa.int32()), "centroid": pa.array([c.tolist() for c in centroids], pa.list_(pa.float64()))})
+    return spark.createDataFrame(rows)
 
 
 def cluster_sums(assigned: DataFrame, dim: int) -> DataFrame:

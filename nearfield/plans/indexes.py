@@ -87,7 +87,7 @@ class IVFIndex:
         rows = self._ready(queries)
         probed = ivf.probes(rows, self.centroids, min(self.nprobe, self.num_centroids))
         if not self.use_pq:
-            hits = ivf.search_cells(probed, self.cells, k)
+            hits = ivf.search_cells(probed, self.cells, k, self.dim)
         elif scoring == "adc":
             hits = pq.adc(probed.select("query_id", "cell", F.col("q").alias("embedding")), self.cells, self.codebook, k, self.dim, self.subspaces)
         else:
@@ -98,7 +98,7 @@ class IVFIndex:
     def search_auto(self, queries: DataFrame, k: int, radius: float = exact.RADIUS) -> DataFrame:
         """The k nearest in all cells whose centroid is within ``radius``."""
         rows = self._ready(queries)
-        return ivf.search_cells(ivf.probes_within(rows, self.centroids, radius), self.cells, k)
+        return ivf.search_cells(ivf.probes_within(rows, self.centroids, radius), self.cells, k, self.dim)
 
     def save(self, path: str) -> None:
         """Centroids, cells (in folders by cell) and codebook as Parquet."""
