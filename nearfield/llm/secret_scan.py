@@ -2,9 +2,10 @@
 
 Native: candidates and their features are DataFrame expressions, the forest is
 Spark's own. A candidate is a token that looks like a key or stands behind a
-word that announces one. The forest sees its length, its share of unlikely
-character transitions, how much of it a dictionary covers, its path, and the
-words beside it.
+word that announces one. The forest sees its length, how likely its character
+transitions are, how much of it a dictionary covers, its path, and the words
+beside it. Transitions and dictionary come from the words of all documents: the
+log probability of each letter after another, and the most frequent words.
 
 Labelled findings are made by rule, ``FINDINGS`` rows of them: random strings
 of the shapes that keys have, in places where keys stand, against what such
@@ -14,15 +15,17 @@ joined by signs, placeholders, paths.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import own, table
+from nearfield.llm.common import discard, own, table, unused, written
 
 #: Number of labelled findings that the forest is fitted on; fixed, whatever the input.
 FINDINGS = 6000
@@ -32,10 +35,12 @@ KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key"
 OTHER_WORDS = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "version", "revision", "build", "id", "ref", "example", "sample", "dummy", "test", "placeholder"]
 #: Beginnings of keys of public services.
 KEY_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "AIza", "glpat-", "npm_"]
-#: Frequent letter pairs of words.
-COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur"
-#: Parts of names and placeholders.
-DICTIONARY = ["example", "sample", "test", "dummy", "your", "change", "insert", "here", "name", "user", "value", "string", "config", "default", "password", "secret", "token", "http", "www", "com", "data", "file", "path", "index", "page", "item", "null", "none", "true", "false", "xxxx", "1234", "abcd"]
+#: Parts of placeholders.
+PLACEHOLDERS = ["example", "sample", "test", "dummy", "your", "change", "insert", "here", "placeholder", "none", "null", "true", "false", "xxxx", "1234", "abcd"]
+#: Words of the dictionary at most: the most frequent of all documents, each there LEAST_COUNT times or more.
+MOST_WORDS, LEAST_COUNT = 2000, 3
+#: A letter counts 1 to 26, anything else 0.
+_LETTERS = 27
 #: A run of at least 16 characters of keys, with a digit.
 TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}(?![A-Za-z0-9+/_\-])"
 #: A key word, alone or at the end of a name, with : or =, and an opening quote.
@@ -86,12 +91,54 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "path", F.explode(F.concat("tokens", new)).alias("x")).select("doc_id", "path", "x.start", "x.value", "x.before", "x.after")
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What is learned from all texts: the dictionary, and the log probability of each letter after each (27 x 27)."""
+
+    words: tuple[str, ...]
+    transitions: tuple[float, ...]
+
+
+def _codes(word: Column) -> Column:
+    """1 to 26 for the letters of a word in small letters, 0 for other characters and for both ends."""
+    inner = F.transform(F.split(word, ""), lambda c: F.when((c >= "a") & (c <= "z"), F.ascii(c) - 96).otherwise(0))
+    return F.concat(F.array(F.lit(0)), inner, F.array(F.lit(0)))
+
+
+def _pairs(codes: Column) -> Column:
+    """Number of each transition."""
+    return F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: a * _LETTERS + b)
+
+
+def learn_corpus(docs: DataFrame, text_col: str = "text") -> Corpus:
+    """Dictionary and transitions, counted over the words (runs of two or more of a-z, either case) of all texts.
+
+    Words are counted where they are read before they are shuffled. The driver
+    gets MOST_WORDS words and at most 729 counts. Without any words all
+    transitions are equally likely.
+    """
+    words = own(docs, text=text_col).select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(2, 40))
+    counts = written(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT), "words")
+    known = counts.where(F.length("word") >= 3).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
+    pairs = counts.select("n", F.explode(_pairs(_codes(F.col("word")))).alias("at")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    discard(counts)
+    seen = np.ones((_LETTERS, _LETTERS))
+    for row in pairs:
+        seen.flat[row["at"]] += row["n"]
+    return Corpus(tuple(r["word"] for r in known), tuple(np.log(seen / seen.sum(axis=1, keepdims=True)).ravel().tolist()))
+
+
 def _share(pattern: str, of: Column) -> Column:
     return F.regexp_count(of, F.lit(pattern)) / F.greatest(F.length(of), F.lit(1))
 
 
-def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
+def features(found: DataFrame, corpus: Corpus) -> tuple[DataFrame, list[str]]:
     """The forest's inputs beside the candidates."""
+    logs = F.split(F.lit(" ".join(f"{x:.6f}" for x in corpus.transitions)), " ").cast("array<double>")
+    # Runs of letters, also those that a capital begins within a name.
+    parts = F.transform(F.regexp_extract_all("value", F.lit("([A-Z]?[a-z]{2,}|[A-Z]{3,})"), F.lit(1)), F.lower)
+    covered = F.aggregate(F.filter("x_parts", lambda p: p.isin(list(corpus.words))), F.lit(0), lambda a, p: a + F.length(p)) if corpus.words else F.lit(0)
+    found = found.withColumns({"x_parts": F.filter(parts, lambda p: F.length(p) >= 3), "x_logs": F.transform(_pairs(_codes(F.lower("value"))), lambda at: F.get(logs, at))})
     value, before, after, path = (F.col(c) for c in ("value", "before", "after", "path"))
     lower = F.lower(value)
     near = F.lower(F.regexp_extract(before, r"(?s)([\w\-]+)\W*$", 1))
@@ -108,10 +155,12 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "signs": _share(r"[+/=_\-]", value),
         # letter to digit and digit to letter, small to capital and back
         "changes": F.regexp_count(value, F.lit(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")) / F.length(value),
-        "common_pairs": F.regexp_count(lower, F.lit("(?=" + "|".join(COMMON_PAIRS.split()) + ").")) / F.length(value),
+        "transition": F.aggregate("x_logs", F.lit(0.0), lambda a, x: a + x) / F.size("x_logs"),
+        "unlikely": F.size(F.filter("x_logs", lambda x: x < -5)) / F.size("x_logs"),
         "runs": _share(r"(.)\1\1", value),
         "different": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
-        "covered": 1 - F.length(F.regexp_replace(lower, "|".join(DICTIONARY), "")) / F.length(value),
+        "covered": covered / F.length(value),
+        "placeholder": 1 - F.length(F.regexp_replace(lower, "|".join(PLACEHOLDERS), "")) / F.length(value),
         "prefix": value.rlike("^(?:" + "|".join(KEY_PREFIXES) + ")"),
         "key_word_beside": near.rlike("(?:^|[_-])(?:" + "|".join(KEY_WORDS) + ")$"),
         "key_word_near": wider.rlike(either(KEY_WORDS)),
@@ -124,7 +173,8 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "code_path": path.rlike(r"(?i)\.(?:py|js|java|go|rb|env|ya?ml|json|conf|ini|properties|sh)$"),
     }
     names = list(kinds)
-    return found.select("*", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"x_{n}") for n, c in kinds.items())), [f"x_{n}" for n in names]
+    kept = [c for c in found.columns if c not in ("x_parts", "x_logs")]
+    return found.select(*kept, *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"x_{n}") for n, c in kinds.items())), [f"x_{n}" for n in names]
 
 
 def _random_text(alphabet: str, length: Column, salt: str) -> Column:
@@ -137,13 +187,16 @@ def _one_of(words: list[str], salt: str) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))).cast("int") + 1)
 
 
-def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """Findings of known kind: value, before, after, path, label (1 secret); the same on every call."""
+def labelled_findings(spark: SparkSession, rows: int = FINDINGS, words: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of known kind: value, before, after, path, label (1 secret); the same on every call.
+
+    ``words`` (of the dictionary) make up prose, names and paths in them.
+    """
     hexa, digits = "0123456789abcdef", "0123456789"
     full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     base64 = full + "+/"
     pick = lambda low, high, salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low).cast("int")
-    words = "the config of user data table entry node line value index report service north water stone river".split()
+    words = list(words[:300]) or "the config of user data table entry node line value index report service north water stone river".split()
     word = lambda salt: _one_of(words, salt)
     prose = F.concat_ws(" ", word("w1"), word("w2"), word("w3"), F.lit(""))
     key_before = F.concat(prose, _one_of(KEY_WORDS, "k"), _one_of(["=", " = ", ": ", "=\"", " = \"", ": '", ":"], "s"))
@@ -187,9 +240,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
-def train_forest(findings: DataFrame, trees: int = 40, depth: int = 10, seed: int = 5) -> tuple[RandomForestClassificationModel, list[str]]:
+def train_forest(findings: DataFrame, corpus: Corpus, trees: int = 40, depth: int = 10, seed: int = 5) -> tuple[RandomForestClassificationModel, list[str]]:
     """The forest, fitted on labelled findings."""
-    rows, names = features(findings)
+    rows, names = features(findings, corpus)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label").coalesce(1)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows), names
 
@@ -201,17 +254,21 @@ def scan(
     text_col: str = "text",
     path_col: str | None = "source",
     threshold: float = THRESHOLD,
+    corpus: Corpus | None = None,
 ) -> DataFrame:
     """Every candidate with the forest's probability; one row per candidate.
 
     Columns: doc_id, path, start, value, before, after, probability, is_secret.
-    ``findings`` are labelled findings to train on; the made ones by default.
+    ``findings`` are labelled findings to train on, the made ones by default;
+    ``corpus`` is what ``learn_corpus`` gives, by default that of ``docs``.
     Null and empty texts have no candidates; null ids, null paths (as empty
     ones) and repeated rows stay; an empty table gives no rows. Rows are
-    scanned where they are read, nothing is shuffled.
+    scanned where they are read; only counts of words are shuffled. Very long
+    texts are scanned whole, one at a time.
     """
-    forest, names = train_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
-    rows, _ = features(candidates(docs, id_col, text_col, path_col))
+    corpus = corpus or learn_corpus(docs, text_col)
+    forest, names = train_forest(findings if findings is not None else labelled_findings(docs.sparkSession, words=corpus.words), corpus)
+    rows, _ = features(candidates(docs, id_col, text_col, path_col), corpus)
     scored = forest.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     probability = vector_to_array("probability")[1]
     return scored.select("doc_id", "path", "start", "value", "before", "after", probability.alias("probability")).withColumn("is_secret", F.col("probability") >= threshold)
@@ -219,11 +276,12 @@ def scan(
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every value that ``scan`` holds for a secret replaced by ``mark``."""
-    secret = found.where("is_secret").groupBy("doc_id").agg(F.array_distinct(F.collect_list("value")).alias("_values")).withColumnRenamed("doc_id", "_doc")
+    key, values = unused(docs, "key"), unused(docs, "values")
+    secret = found.where("is_secret").groupBy(F.col("doc_id").alias(key)).agg(F.array_distinct(F.collect_list("value")).alias(values))
     # A value may be a part of another one: the longer first.
-    secret = secret.withColumn("_values", F.array_sort("_values", lambda a, b: F.length(b) - F.length(a)))
-    joined = docs.join(secret, F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left")
-    clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    secret = secret.withColumn(values, F.array_sort(values, lambda a, b: F.length(b) - F.length(a)))
+    joined = docs.join(secret, docs[f"`{id_col}`"].eqNullSafe(secret[key]), "left")
+    clean = F.aggregate(F.coalesce(values, F.array().cast("array<string>")), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v, F.lit(mark)))
     return joined.withColumn(text_col, clean).select(*(f"`{c}`" for c in docs.columns))
 
 
