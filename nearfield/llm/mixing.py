@@ -15,7 +15,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,15 +100,16 @@ def landing(p: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
 
 
 def _moved(last: bool, seed: int):
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size", "key", "p"], kind="stable", na_position="last").reset_index(drop=True)
-        sizes, p = rows["size"].to_numpy(float), rows["p"].to_numpy(float)
-        rng = np.random.default_rng([seed, int(rows["block"].iloc[0]), len(rows), int(sizes.sum())])
-        alone = int(rows["blocks"].iloc[0]) <= 1  # the source's last block
+    def each(rows: pa.Table) -> pa.Table:
+        # Arrow keeps ids as they are, also beside nulls.
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "size", "key", "p")])  # nulls last
+        sizes, p = rows["size"].to_numpy().astype(float), rows["p"].to_numpy().copy()
+        rng = np.random.default_rng([seed, rows["block"][0].as_py(), len(rows), int(sizes.sum())])
+        alone = rows["blocks"][0].as_py() <= 1  # the source's last block
         moved = flight(p, sizes, rng, LANDING if alone else 2)
         if last:
             moved = landing(moved, sizes, float(np.dot(p, sizes)))
-        return rows.assign(p=moved)
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(moved, pa.float64()))
 
     return each
 
@@ -173,7 +174,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     done = []
     while True:
         last = most <= 1
-        stepped = now.where(is_open).groupBy("rank", "block").applyInPandas(_moved(last, seed), schema)
+        stepped = now.where(is_open).groupBy("rank", "block").applyInArrow(_moved(last, seed), schema)
         moved = written(stepped.unionByName(now.where(~is_open)), "mix-level")
         if last:
             done.append(moved)
