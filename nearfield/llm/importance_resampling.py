@@ -36,23 +36,24 @@ def words(text: Column) -> Column:
 
 
 def features(rows: DataFrame, text: str, buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
-    """The rows with the place of each word (``at``) and the bucket of an n-gram that begins there; ``text`` goes.
+    """A row for each n-gram: the other columns of its text's row, ``more`` (its words beyond the first) and ``bucket``.
 
     A text of any length is one array of words and as many exploded rows as it
-    has n-grams; n-grams never cross texts.
+    has n-grams; n-grams never cross texts. A text without words has one row
+    with a null bucket.
     """
     keep = [c for c in rows.columns if c != text]
     split = rows.select(*keep, words(F.col(text)).alias("w"))
     shifted = [F.slice("w", F.lit(n + 1), F.greatest(F.size("w") - n, F.lit(0))).alias(f"w{n}") for n in range(longest)]
-    beside = split.select(*keep, F.inline(F.arrays_zip(*shifted)))
+    beside = split.select(*keep, F.inline_outer(F.arrays_zip(*shifted)))
     grams = [F.concat(*[x for n in range(size) for x in (F.lit(" "), F.col(f"w{n}"))][1:]) for size in range(1, longest + 1)]  # null beyond the end
     hashed = [F.pmod(F.crc32(g.cast("binary")), F.lit(buckets)).cast("int") for g in grams]
-    return beside.select(*keep, F.posexplode(F.array(*hashed)).alias("more", "bucket")).where(F.col("bucket").isNotNull())
+    return beside.select(*keep, F.posexplode(F.array(*hashed)).alias("more", "bucket")).where(F.col("bucket").isNotNull() | (F.col("more") == 0))
 
 
 def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
     """bucket and n over all texts; a task sends one row per bucket at most."""
-    return features(own(texts, text=text_col), "text", buckets, longest).groupBy("bucket").agg(F.count("*").alias("n"))
+    return features(own(texts, text=text_col), "text", buckets, longest).where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -72,13 +73,12 @@ def document_weights(docs: DataFrame, gain: DataFrame, id_col: str = "doc_id", t
     """doc_id, n_words, n_features and weight of every row.
 
     Rows are told apart by their place in the input, so repeated ids stay
-    apart. ``gain`` has one row per bucket, at most MOST_BUCKETS, and is broadcast.
+    apart; ``docs`` is read once, and should be a table or else deterministic. ``gain`` has one row per bucket, at most MOST_BUCKETS, and is broadcast.
     """
     rows = own(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    found = features(rows, "text", buckets, longest).join(F.broadcast(gain), "bucket")
-    none = rows.select("doc_id", "row", F.lit(None).cast("int").alias("more"), F.lit(None).cast("long").alias("gain"))
-    both = found.select("doc_id", "row", "more", "gain").unionByName(none)
-    summed = both.groupBy("row", "doc_id").agg(F.count_if(F.col("more") == 0).alias("n_words"), F.count("more").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("weight"))
+    found = features(rows, "text", buckets, longest).join(F.broadcast(gain), "bucket", "left")
+    n_words = F.count_if((F.col("more") == 0) & F.col("bucket").isNotNull())
+    summed = found.groupBy("row", "doc_id").agg(n_words.alias("n_words"), F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).cast("long").alias("weight"))
     return summed.drop("row")
 
 
