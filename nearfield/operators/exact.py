@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import distance_of, dot, l2_normalize
 from nearfield.operators.kernels import BROADCAST_BYTES, gemm_topk
+from nearfield.operators.threshold import range_scan
+from nearfield.operators.threshold import threshold_topk as scan_threshold
 from nearfield.operators.topk import top_k
 
 RADIUS = 0.45
@@ -31,7 +33,8 @@ def knn(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool = Fal
 
     Vectors are normalized, queries only on demand, as a flat index does.
     Ties go to the lower vec_id; k larger than the data gives all of it.
-    ``kernel`` "expression" keeps everything in the JVM and is many times slower.
+    ``kernel`` "expression" keeps everything in the JVM and is many times slower;
+    it is for queries that fit a broadcast.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -45,13 +48,13 @@ def self_knn(data: DataFrame, k: int, kernel: str = "gemm") -> DataFrame:
 
 
 def within(queries: DataFrame, data: DataFrame, radius: float, normalize_query: bool = True) -> DataFrame:
-    """All vectors nearer than ``radius``."""
-    return distances(queries, data, normalize_query).where(F.col("distance") < radius)
+    """All vectors nearer than ``radius``: query_id, vec_id, distance."""
+    return range_scan(queries, data, radius, normalize_query)
 
 
 def threshold_knn(queries: DataFrame, data: DataFrame, threshold: float, k: int, normalize_query: bool = False) -> DataFrame:
     """Of the vectors with a similarity above ``threshold``, the k most similar of each query."""
-    found = distances(queries, data, normalize_query).withColumn("similarity", 1 - F.col("distance") / 2).where(F.col("similarity") > threshold)
+    found = scan_threshold(queries, data, threshold, k, normalize_query).withColumn("similarity", 1 - F.col("distance") / 2)
     return top_k(found, k, "similarity", descending=True).select("query_id", "rank", "vec_id", "similarity")
 
 

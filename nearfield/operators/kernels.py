@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from zlib import crc32
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 EPSILON = 1e-8
 #: Bytes of query vectors that are broadcast at most.
 BROADCAST_BYTES = 64 << 20
-#: Vectors of a block where blocks of both sides meet: 2 MB at 64 elements.
+#: Vectors of a product: 2 MB at 64 elements.
 BLOCK_ROWS = 4096
+#: Bytes of vectors that a task holds while queries pass by.
+GROUP_BYTES = 64 << 20
 #: Cells that a filter names at most.
 MOST_LISTED_CELLS = 10_000
 #: Cells of one block of similarities.
@@ -32,6 +34,12 @@ def normalized(x: np.ndarray) -> np.ndarray:
     return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + EPSILON)
 
 
+def angles(similarity: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Angles of rows ``x`` to a unit vector they have that dot product with; of a zero row the largest there is."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    return np.where(norm > 0, np.arccos(np.clip(similarity / np.maximum(norm, 1e-300), -1.0, 1.0)), np.pi)
+
+
 class BestK:
     """The k nearest rows seen so far for each of ``n`` queries, by (distance, id)."""
 
@@ -135,7 +143,7 @@ def gemm_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool
     """The k nearest vectors of each query, k or more candidates each: query_id, vec_id, distance.
 
     Queries of up to BROADCAST_BYTES are broadcast and the data is read once;
-    beyond that blocks of both sides meet in a join.
+    more of them pass by groups of vectors that tasks hold.
     """
     first = queries.select(F.size("embedding").alias("d")).first()
     if not first:
@@ -147,52 +155,73 @@ def gemm_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool
     return scan_topk(data, "embedding", column(rows, "query_id").to_numpy(), normalized(q) if normalize_query else q, k, cosine_distance)
 
 
-def packed(df: DataFrame, id_col: str, prefix: str, normalize: bool) -> DataFrame:
-    """Rows of a task in blocks of up to BLOCK_ROWS vectors: their ids and their elements as bytes, and a hash of the block."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), BLOCK_ROWS):
-                some = batch.slice(a, BLOCK_ROWS)
-                x = matrix(some.column("embedding"))
-                ids = some.column(id_col).to_numpy().astype(np.int64).tobytes()
-                values = [pa.array([ids], pa.binary()), pa.array([(normalized(x) if normalize else x).tobytes()], pa.binary()), pa.array([crc32(ids)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(values, names=[f"{prefix}_ids", f"{prefix}_rows", f"{prefix}_hash"])
+#: What a task of :func:`passing` does with a slice of queries and the blocks of data it holds.
+Meet = Callable[[np.ndarray, np.ndarray, Any], Iterator[pa.RecordBatch]]
 
-    return df.select(id_col, "embedding").mapInArrow(each, f"{prefix}_ids binary, {prefix}_rows binary, {prefix}_hash long")
 
+def passing(queries: DataFrame, data: DataFrame, hold: Callable[[np.ndarray, np.ndarray], Any], meet: Meet) -> DataFrame:
+    """Every query meets every vector, both sides of any size: what ``meet`` yields, as query_id, vec_id, distance.
 
-def block_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool) -> DataFrame:
-    """k candidates of each pair of blocks: query_id, vec_id, distance; both sides may be of any size.
-
-    Data blocks fall into as many groups as a shuffle has partitions, every
-    block of queries goes to each group. A task multiplies one block of queries
-    with one of the data at a time. The driver sees no vector.
+    Vectors fall into groups of some GROUP_BYTES, as many as a shuffle has
+    partitions at least. A task reads a group's vectors first, gives them to
+    ``hold`` (ids, rows) and keeps the result; then every query passes by, once
+    and in slices. So a query has one state for all vectors of its task, and no
+    pair of blocks is ever a row.
     """
     spark = data.sparkSession
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = packed(data, "vec_id", "x", True).withColumn("g", F.pmod(F.col("x_hash"), F.lit(groups)).cast("int"))
-    right = packed(queries, "query_id", "q", normalize_query).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = left.join(right.hint("merge"), "g").select("x_ids", "x_rows", "q_ids", "q_rows")
+    size = data.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size[0] * size[1] * 8 // GROUP_BYTES))
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    own = data.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), vector)
+    all_ = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("side"), F.col("query_id").alias("id"), vector)
+    rows = own.unionByName(all_).repartitionById(groups, "g").sortWithinPartitions("g", "side")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, held = None, [], None
         for batch in batches:
-            for n in range(len(batch)):
-                x_ids, x, q_ids, q = (np.frombuffer(batch.column(c)[n].as_buffer(), t) for c, t in enumerate((np.int64, np.float64, np.int64, np.float64)))
-                x, q = x.reshape(len(x_ids), -1), q.reshape(len(q_ids), -1)
-                best = BestK(len(q_ids), k)
-                tall = max(1, BLOCK_CELLS // len(x))
-                for b in range(0, len(q), tall):
-                    best.block(2.0 - 2.0 * (q[b : b + tall] @ x.T), x_ids, b)
-                yield best.table(q_ids)
+            g, side = batch.column("g").to_numpy(), batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(g) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if group != g[a]:
+                    group, parts, held = g[a], [], None
+                ids, x = batch.column("id").to_numpy()[a:b], matrix(batch.column("embedding").slice(a, b - a))
+                if side[a] == 0:
+                    parts.append((ids, x))
+                elif parts or held is not None:
+                    if held is None:
+                        held, parts = hold(np.concatenate([i for i, _ in parts]), np.concatenate([y for _, y in parts])), []
+                    yield from meet(ids, x, held)
+
+    return rows.mapInArrow(each, FOUND)
+
+
+def block_topk(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool) -> DataFrame:
+    """k candidates of each query and group of vectors (see :func:`passing`): query_id, vec_id, distance."""
+
+    def hold(ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        x = normalized(x)
+        return [(ids[a : a + BLOCK_ROWS], x[a : a + BLOCK_ROWS]) for a in range(0, len(x), BLOCK_ROWS)]
+
+    def meet(query_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        q = normalized(q) if normalize_query else q
+        best = BestK(len(q), k)
+        for ids, x in blocks:
+            tall = max(1, BLOCK_CELLS // len(x))
+            for b in range(0, len(q), tall):
+                best.block(2.0 - 2.0 * (q[b : b + tall] @ x.T), ids, b)
+        yield best.table(query_ids)
 
-    return pairs.mapInArrow(each, FOUND)
+    return passing(queries, data, hold, meet)
 
 
 def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False, with_vector: bool = False) -> DataFrame:
     """The centroid with the largest dot product, for each vector; ties go to the lowest.
 
-    With ``sums`` instead per task and cell: cell, n, total (sum of normalized vectors).
+    ``with_vector`` adds the embedding before the cell, and behind it the angle
+    between the two. With ``sums`` instead per task and cell: cell, n, total (sum
+    of normalized vectors).
     """
     shared = data.sparkSession.sparkContext.broadcast(normalized(centroids))
 
@@ -202,12 +231,16 @@ def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False, with
         for batch in batches:
             x = normalized(matrix(batch.column("embedding"))) if len(batch) else np.zeros((0, c.shape[1]))
             step = max(1, BLOCK_CELLS // max(1, len(c)))
-            cell = np.concatenate([(x[a : a + step] @ c.T).argmax(axis=1) for a in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+            cell, angle = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for a in range(0, len(x), step):
+                similarity = x[a : a + step] @ c.T
+                cell[a : a + step] = similarity.argmax(axis=1)
+                angle[a : a + step] = angles(similarity.max(axis=1), x[a : a + step])
             if sums:
                 count += np.bincount(cell, minlength=len(c))
                 np.add.at(total, cell, x)
             elif with_vector:
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(cell, pa.int32())], names=["vec_id", "embedding", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(cell, pa.int32()), pa.array(angle)], names=["vec_id", "embedding", "cell", "angle"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cell, pa.int32())], names=["vec_id", "cell"])
         if sums:
@@ -216,5 +249,5 @@ def gemm_assign(data: DataFrame, centroids: np.ndarray, sums: bool = False, with
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used]), lists], names=["cell", "n", "total"])
 
     kind = data.schema["embedding"].dataType.simpleString()
-    schema = f"vec_id long, embedding {kind}, cell int" if with_vector else "vec_id long, cell int"
+    schema = f"vec_id long, embedding {kind}, cell int, angle double" if with_vector else "vec_id long, cell int"
     return data.select("vec_id", "embedding").mapInArrow(each, "cell int, n long, total array<double>" if sums else schema)
