@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import distance_of, dot, l2_normalize
-from nearfield.operators.kernels import BROADCAST_BYTES, gemm_topk
+from nearfield.operators.kernels import BROADCAST_BYTES, few, gemm_topk
 from nearfield.operators.threshold import range_scan
 from nearfield.operators.threshold import threshold_topk as scan_threshold
 from nearfield.operators.topk import top_k
@@ -47,6 +47,21 @@ def self_knn(data: DataFrame, k: int, kernel: str = "gemm") -> DataFrame:
     return knn(data.withColumnRenamed("vec_id", "query_id"), data, k, True, kernel)
 
 
+def ranked_again(hits: DataFrame, queries: DataFrame, data: DataFrame, k: int, dim: int) -> DataFrame:
+    """Of each query's ``hits`` (a shortlist) the k nearest by their vectors: query_id, rank, vec_id, distance.
+
+    Queries are normalized. Vectors are fetched by id; a shortlist of a proven
+    size is broadcast to them, so that they stay where they are. All rows of an
+    id that occurs several times in the data are ranked.
+    """
+    listed = hits.select("query_id", "vec_id").join(queries.select("query_id", l2_normalize("embedding").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    rows = few(listed, dim)
+    if rows is not None:
+        listed = F.broadcast(data.sparkSession.createDataFrame(rows)) if rows.num_rows else listed
+    found = data.select("vec_id", "embedding").join(listed, "vec_id").select("query_id", "vec_id", distance_of(dot("q", l2_normalize("embedding"))).alias("distance"))
+    return top_k(found, k).select("query_id", "rank", "vec_id", "distance")
+
+
 def within(queries: DataFrame, data: DataFrame, radius: float, normalize_query: bool = True) -> DataFrame:
     """All vectors nearer than ``radius``: query_id, vec_id, distance."""
     return range_scan(queries, data, radius, normalize_query)

@@ -76,6 +76,14 @@ def probes_needed(queries: DataFrame, centroids: DataFrame, radii: np.ndarray, f
     return probe_scan(rows.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), centroids, radii=radii).select("query_id", "cell", "q")
 
 
+def settled(probed: DataFrame, dim: int) -> DataFrame:
+    """The probes as rows of the plan, if they fit a broadcast, so that whatever reads them doesn't look for them again."""
+    rows = few(probed.select("query_id", "cell", "q"), dim)
+    if rows is None:
+        return probed
+    return probed.sparkSession.createDataFrame(rows if rows.num_rows else [], None if rows.num_rows else probed.select("query_id", "cell", "q").schema)
+
+
 def search_cells(probed: DataFrame, cells: DataFrame, k: int, dim: int) -> DataFrame:
     """The k nearest vectors in the probed cells: query_id, rank, vec_id, distance.
 

@@ -52,23 +52,63 @@ def train_step(parts: DataFrame, codebook: DataFrame, width: int) -> DataFrame:
     return codebook.join(sums, ["subspace", "code"], "left").select("subspace", "code", moved.alias("centroid"))
 
 
-def train_codebook(data: DataFrame, dim: int, subspaces: int = SUBSPACES, codes: int = CODES, iterations: int = ITERATIONS, seed: int = 0) -> DataFrame:
-    """The codebook after so many rounds, or earlier if it stops changing.
+def code_sums(data: DataFrame, book: np.ndarray) -> DataFrame:
+    """subspace, code, n and total (sum of parts) of each code, from one pass over the vectors.
 
-    A round brings ``subspaces * codes`` rows to the driver and no vectors.
+    A task adds up the parts of all subspaces in batches and sends a row for
+    each code at most.
     """
-    spark = data.sparkSession
-    parts = subvectors(data, dim, subspaces).persist()
-    book = sorted(initial_codebook(data, dim, subspaces, codes, seed).collect())
+    shared = data.sparkSession.sparkContext.broadcast(book)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
+        subspaces, codes, width = book.shape
+        n, total = np.zeros(subspaces * codes, np.int64), np.zeros((subspaces * codes, width))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = normalized(matrix(batch.column("embedding")))
+            flat = (part_distances(x, book).argmin(axis=2) + np.arange(subspaces) * codes).ravel()
+            n += np.bincount(flat, minlength=len(n))
+            np.add.at(total, flat, x.reshape(-1, width))
+        used = np.flatnonzero(n)
+        arrays = [pa.array((used // codes).astype(np.int32)), pa.array((used % codes).astype(np.int32)), pa.array(n[used]), pa.array(list(total[used]), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["subspace", "code", "n", "total"])
+
+    return data.select("embedding").mapInArrow(each, "subspace int, code int, n long, total array<double>")
+
+
+def train_codebook(
+    data: DataFrame, dim: int, subspaces: int = SUBSPACES, codes: int = CODES, iterations: int = ITERATIONS, seed: int = 0, init: DataFrame | None = None, most_rows: int | None = None
+) -> DataFrame:
+    """The codebook after so many rounds from ``init`` or from drawn rows, or earlier if it stops changing.
+
+    A round is one pass over the vectors; with ``most_rows`` over about that
+    many of them, drawn by hash. It brings ``subspaces * codes`` rows to the
+    driver and no vectors. A code that nothing is nearest to stays.
+    """
+    if dim % subspaces:
+        raise ValueError(f"{dim} elements don't divide into {subspaces} subspaces")
+    book = books(init if init is not None else initial_codebook(data, dim, subspaces, codes, seed))
+    rows = data.select("vec_id", "embedding")
+    if most_rows is not None:
+        share = most_rows / max(1, rows.count())
+        rows = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("vec_id", F.lit(~seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.persist()
     try:
         for _ in range(iterations):
-            moved = sorted(train_step(parts, spark.createDataFrame(book, "subspace int, code int, centroid array<double>"), dim // subspaces).collect())
-            if moved == book:
-                break
+            sums = code_sums(rows, book).groupBy("subspace", "code").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("total", F.lit(d))) for d in range(book.shape[2]))).alias("total"))
+            moved = book.copy()
+            for r in sums.collect():  # one row per code
+                moved[r["subspace"], r["code"]] = np.array(r["total"]) / r["n"]
+            still = np.abs(moved - book).max() < 1e-12
             book = moved
+            if still:
+                break
     finally:
-        parts.unpersist()
-    return spark.createDataFrame(book, "subspace int, code int, centroid array<double>")
+        rows.unpersist()
+    numbered = [(s, c, book[s, c].tolist()) for s in range(book.shape[0]) for c in range(book.shape[1])]
+    return data.sparkSession.createDataFrame(numbered, "subspace int, code int, centroid array<double>")
 
 
 def books(codebook: DataFrame) -> np.ndarray:

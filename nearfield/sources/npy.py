@@ -1,22 +1,33 @@
-"""``.npy`` matrices as a Spark data source: ``spark.read.format("npy").load(path)``.
-
-Only the header is read for the plan; tasks read ranges of rows.
+"""``.npy`` matrices as a Spark data source, to read and to write.
+
+``spark.read.format("npy").load(path)`` reads a file, of which only the header
+is read for the plan, or a folder that was written by this source; tasks read
+ranges of rows. ``df.write.format("npy").save(path)`` writes a folder: tasks write files
+of up to ``part_bytes``, each a matrix of its own, and the commit names them in
+their order in one index file. Files of attempts that failed are in no index
+and so are never read.
 """
 
 from __future__ import annotations
 
 import ast
+import io
+import json
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-#: Bytes of a file that one task reads.
+#: Bytes of a file that one task reads, and of a file that is written.
 PART_BYTES = 32 << 20
+INDEX = "_index.json"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -39,9 +50,20 @@ def header(source) -> tuple[np.dtype, tuple[int, int], int]:
     return np.dtype(said["descr"]), said["shape"], at + size
 
 
+def _index(fs: pafs.FileSystem, folder: str) -> list[dict]:
+    """file and rows of every part, in order."""
+    with fs.open_input_file(f"{folder}/{INDEX}") as source:
+        return json.loads(source.read().decode())["parts"]
+
+
+@dataclass
 class Rows(InputPartition):
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    """Rows ``first`` and following of a file, the first of which is row ``number`` of the whole."""
+
+    file: str
+    first: int
+    count: int
+    number: int
 
 
 class NpyReader(DataSourceReader):
@@ -50,26 +72,102 @@ class NpyReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         fs, path = _open(self.path)
-        with fs.open_input_file(path) as source:
-            dtype, (rows, dim), _ = header(source)
-        each = max(1, self.part_bytes // max(1, dtype.itemsize * dim))
-        return [Rows(a, min(each, rows - a)) for a in range(0, rows, each)] or [Rows(0, 0)]
+        files = [path]
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            files = [f"{path}/{p['file']}" for p in _index(fs, path)]
+        found, number = [], 0
+        for file in files:
+            with fs.open_input_file(file) as source:
+                dtype, (rows, dim), _ = header(source)
+            each = max(1, self.part_bytes // max(1, dtype.itemsize * dim))
+            found += [Rows(file, a, min(each, rows - a), number + a) for a in range(0, rows, each)]
+            number += rows
+        return found or [Rows("", 0, 0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(self.path)
-        with fs.open_input_file(path) as source:
+        if not partition.count:
+            return
+        fs, _ = _open(self.path)
+        with fs.open_input_file(partition.file) as source:
             dtype, (_, dim), start = header(source)
             width = dtype.itemsize * dim
             step = max(1, min(partition.count, 8192))
-            for a in range(partition.first, partition.first + partition.count, step):
-                n = min(step, partition.first + partition.count - a)
-                x = np.frombuffer(source.read_at(n * width, start + a * width), dtype).astype(np.float32)
+            for a in range(0, partition.count, step):
+                n = min(step, partition.count - a)
+                x = np.frombuffer(source.read_at(n * width, start + (partition.first + a) * width), dtype).astype(np.float32)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(x))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), vectors], names=["vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(partition.number + a, partition.number + a + n)), vectors], names=["vec_id", "embedding"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task has written, in order: (file, rows)."""
+
+    partition: int
+    parts: list[tuple[str, int]]
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Writes the column embedding; a row's place is its number, so sort before."""
+
+    def __init__(self, path: str, dtype: str, part_bytes: int, overwrite: bool, column: str):
+        self.path, self.dtype, self.part_bytes, self.overwrite, self.column = path, np.dtype(dtype), part_bytes, overwrite, column
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, folder = _open(self.path)
+        fs.create_dir(folder, recursive=True)
+        out = Written(TaskContext.get().partitionId(), [])
+        attempt = uuid.uuid4().hex
+        held: list[np.ndarray] = []
+
+        def flush() -> None:
+            x = np.concatenate(held)
+            held.clear()
+            file = io.BytesIO()
+            np.save(file, x)
+            name = f"part-{out.partition:06d}-{len(out.parts):06d}-{attempt}.npy"
+            with fs.open_output_stream(f"{folder}/{name}") as sink:
+                sink.write(file.getbuffer())
+            out.parts.append((name, len(x)))
+
+        for batch in iterator:
+            vectors = batch.column(self.column)
+            if not len(vectors):
+                continue
+            sizes = set(vectors.value_lengths().to_pylist())
+            if vectors.null_count or len(sizes) != 1 or vectors.flatten().null_count:
+                raise ValueError("every row must have a vector of the same width, without nulls")
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(self.dtype).reshape(len(vectors), -1)
+            if held and held[0].shape[1] != x.shape[1]:
+                raise ValueError("every row must have a vector of the same width, without nulls")
+            held.append(x)
+            if sum(h.nbytes for h in held) >= self.part_bytes:
+                flush()
+        if held:
+            flush()
+        return out
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, folder = _open(self.path)
+        fs.create_dir(folder, recursive=True)
+        kept = []
+        if not self.overwrite and fs.get_file_info(f"{folder}/{INDEX}").type == pafs.FileType.File:
+            kept = _index(fs, folder)
+        parts = [{"file": file, "rows": rows} for m in sorted(filter(None, messages), key=lambda m: m.partition) for file, rows in m.parts]
+        fresh = f"{folder}/_{uuid.uuid4().hex}"
+        with fs.open_output_stream(fresh) as sink:
+            sink.write(json.dumps({"parts": kept + parts}).encode())
+        fs.move(fresh, f"{folder}/{INDEX}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, folder = _open(self.path)
+        for m in filter(None, messages):
+            for file, _ in m.parts:
+                fs.delete_file(f"{folder}/{file}")
 
 
 class NpyDataSource(DataSource):
-    """Rows of a matrix with their number as vec_id; option ``part_bytes`` sizes the partitions."""
+    """Rows of a matrix with their number as vec_id; options ``part_bytes`` and, to write, ``dtype``."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,8 +179,19 @@ class NpyDataSource(DataSource):
     def reader(self, schema) -> NpyReader:
         return NpyReader(self.options["path"], int(self.options.get("part_bytes", PART_BYTES)))
 
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options["path"], self.options.get("dtype", "float32"), int(self.options.get("part_bytes", PART_BYTES)), overwrite, "embedding")
+
 
 def read_npy(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Register the source, if need be, and read ``path``."""
     spark.dataSource.register(NpyDataSource)
     return spark.read.format("npy").options(**options).load(path)
+
+
+def write_npy(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", mode: str = "append", **options: str) -> None:
+    """Write vectors in the order of their ids, so that a row's number among all is its place in that order."""
+    spark = vectors.sparkSession
+    spark.dataSource.register(NpyDataSource)
+    rows = vectors.orderBy(id_col).selectExpr(f"`{id_col}` as vec_id", f"`{vector_col}` as embedding")
+    rows.write.format("npy").mode(mode).options(**options).save(path)
