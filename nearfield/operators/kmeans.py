@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import l2_normalize
 from nearfield.operators.exact import nearest_centroid
-from nearfield.operators.kernels import BLOCK_CELLS, gemm_assign, matrix, normalized
+from nearfield.operators.kernels import BLOCK_CELLS, gemm_assign, matrix, normalized, unit
 
 #: Rounds of drawing, and the squared distance up to which a vector counts as drawn.
 ROUNDS, NEAR = 5, 1e-12
@@ -103,9 +103,10 @@ def exponential_draw(data: DataFrame, chosen: np.ndarray, most: int, seed: int)
 
     A row's key is -log(u) / weight, u a hash of seed and id; the least keys are
     the draw (Efraimidis and Spirakis 2006). A task passes on its least keys
-    only. Rows at distance 0, such as the chosen ones, can't be drawn.
+    only. Rows at distance 0, such as the chosen ones, and
+    zero vectors can't be drawn.
     """
-    shared = data.sparkSession.sparkContext.broadcast(normalized(chosen))
+    shared = data.sparkSession.sparkContext.broadcast(unit(chosen))
     u = (F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +115,12 @@ def exponential_draw(data: DataFrame, chosen: np.ndarray, most: int, seed: int)
         for batch in batches:
             if not len(batch):
                 continue
-            x = normalized(matrix(batch.column("embedding")))
+            x = unit(matrix(batch.column("embedding")))
             step = max(1, BLOCK_CELLS // len(c))
             nearest = np.concatenate([(x[a : a + step] @ c.T).max(axis=1) for a in range(0, len(x), step)])
             weight = 2.0 - 2.0 * nearest
             with np.errstate(divide="ignore"):
-                key = np.where(weight > NEAR, -np.log(batch.column("u").to_numpy()) / weight, np.inf)
+                key = np.where((weight > NEAR) & x.any(axis=1), -np.log(batch.column("u").to_numpy()) / weight, np.inf)
             rows = pa.table({"key": pa.array(key), "vec_id": batch.column("vec_id"), "embedding": batch.column("embedding")}).filter(pa.array(np.isfinite(key)))
             best = rows if best is None else pa.concat_tables([best, rows])
             best = best.sort_by([("key", "ascending"), ("vec_id", "ascending")]).slice(0, most)
@@ -133,7 +134,7 @@ def exponential_draw(data: DataFrame, chosen: np.ndarray, most: int, seed: int)
 def weighted_seeds(candidates: np.ndarray, weights: np.ndarray, cells: int, seed: int) -> np.ndarray:
     """Places of ``cells`` candidates, drawn one by one by weight times squared distance to those drawn before."""
     rng = np.random.default_rng(seed)
-    x = normalized(candidates)
+    x = unit(candidates)
     picked = [int(rng.choice(len(x), p=weights / weights.sum()))]
     near = 2.0 - 2.0 * (x @ x[picked[0]])
     for _ in range(cells - 1):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.kernels import BLOCK_CELLS, FOUND, BestK, angles, column, few, matrix, normalized, passing
+from nearfield.operators.kernels import BLOCK_CELLS, FOUND, BestK, angles, column, few, matrix, normalized, passing, unit
 
 #: Vectors that serve as pivots, and vectors of a block.
 PIVOTS, BLOCK = 32, 512
@@ -24,12 +24,6 @@ PIVOTS, BLOCK = 32, 512
 SLACK = 1e-6
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1 exactly, zero rows as they are."""
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1.0)
-
-
 @dataclass
 class Block:
     """Vectors around one pivot, with the least and the largest angle to it."""

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from nearfield.functions.vectors import argmax, distance_of, dot, l2_normalize, squared_l2, vector_add
 from nearfield.operators import exact, ivf, kmeans, metrics, pq, topk
 from nearfield.plans import FlatIndexL2, IVFIndex
-from nearfield.sources import random_bytes, random_vectors
+from nearfield.scratch import shared_folder
+from nearfield.sources import random_bytes, random_vectors, read_npy, write_npy
 
 DIM, QUERIES, K, CELLS, CODES, SUBSPACES = 64, 100, 5, 16, 32, 4
 WIDTH = DIM // SUBSPACES
+#: Candidates by codes that are ranked again, and rows of a file of the indexes that queries store.
+SHORTLIST, ROWS_PER_FILE = 50, 4096
 
 
 def _r(c: Column | str, digits: int = 6) -> Column:
@@ -85,6 +88,81 @@ def _ivf_codes(s: SparkSession, d: str, scoring: str) -> DataFrame:
     return _hits(index.search(query_rows(data), K, scoring=scoring))
 
 
+def _eight(s: SparkSession, d: str, n_probe: int = 3) -> tuple[DataFrame, IVFIndex]:
+    """An index of eight cells after two rounds of training from given centroids."""
+    data = vectors(s, d)
+    return data, IVFIndex(DIM, 8, nprobe=n_probe).train(data, init=first_centroids(data, 8), iterations=2)
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Train, store, load, search."""
+    data, index = _eight(s, d)
+    path = shared_folder(s, "index")
+    index.save(path, ROWS_PER_FILE)
+    return _hits(IVFIndex.load(s, path, nprobe=3).search(query_rows(data), K))
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """Store a part of the vectors, load, add the rest, store again, load, search."""
+    data, index = _eight(s, d)
+    path = shared_folder(s, "index")
+    odd = F.col("vec_id") % 2 == 1
+    IVFIndex(DIM, 8, centroids=index.centroids).add(data.where(odd)).save(path, ROWS_PER_FILE)
+    IVFIndex.load(s, path).add(data.where(~odd)).save(path, ROWS_PER_FILE)
+    return _hits(IVFIndex.load(s, path, nprobe=3).search(query_rows(data), K))
+
+
+def _exact_from_index(s: SparkSession, d: str) -> DataFrame:
+    """The k nearest of all vectors from the cells that can hold them."""
+    data, index = _eight(s, d)
+    return _hits(index.save(shared_folder(s, "index"), ROWS_PER_FILE).search_exact(query_rows(data), K))
+
+
+def _feature_index(s: SparkSession, d: str) -> tuple[DataFrame, IVFIndex]:
+    """A stored index of the parts' features in 32 cells, from oversampled seeds."""
+    data = features(s, d)
+    return data, IVFIndex(4, 32).train(data, seed=5, iterations=3, seeding="oversampled").save(shared_folder(s, "index"), ROWS_PER_FILE)
+
+
+def _exact_features(s: SparkSession, d: str) -> DataFrame:
+    """The nearest parts by features, from the few cells that can hold them."""
+    data, index = _feature_index(s, d)
+    return _hits(index.search_exact(data.where(F.col("vec_id") % QUERIES == 0).withColumnRenamed("vec_id", "query_id"), K))
+
+
+def _cells_needed(s: SparkSession, d: str) -> DataFrame:
+    """How many of the eight cells an exact search reads for each query."""
+    data, index = _eight(s, d)
+    return index.cells_needed(query_rows(data), K).groupBy("query_id").agg(F.count("*").alias("cells"))
+
+
+def _recall_100(s: SparkSession, d: str) -> DataFrame:
+    data, index = _eight(s, d, 7)
+    q = query_rows(data)
+    return metrics.recall(FlatIndexL2(DIM).add(data).search(q, 100, True), index.search(q, 100)).select(_r("recall").alias("recall"))
+
+
+def _rerank(s: SparkSession, d: str) -> DataFrame:
+    """A shortlist by codes, ranked again by the vectors."""
+    data, book = _pq_parts(s, d)
+    index = IVFIndex(DIM, CELLS, True, 4, centroids=first_centroids(data), codebook=book).add(data)
+    return _hits(index.search(query_rows(data), K, shortlist=SHORTLIST))
+
+
+def _train_rounds(s: SparkSession, d: str) -> DataFrame:
+    """The codebook after two rounds of one pass each."""
+    data, book = _pq_parts(s, d)
+    moved = pq.train_codebook(data, DIM, SUBSPACES, iterations=2, init=book)
+    return _long(moved.select(F.col("subspace").cast("long").alias("subspace"), F.col("code").cast("long").alias("code"), "centroid"), "centroid", ["subspace", "code"])
+
+
+def _npy(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings, written as .npy files and read back."""
+    path = shared_folder(s, "npy")
+    write_npy(s.read.parquet(f"{d}/embeddings.parquet"), path)
+    return _long(read_npy(s, path).select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", ["vec_id"])
+
+
 def features(s: SparkSession, d: str) -> DataFrame:
     """A vector of four largest values per part of lineitem."""
     rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("vec_id"))
@@ -199,6 +277,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_search_radius": lambda s, d: (lambda v, i: _hits(i.search_auto(query_rows(v), K)))(*_indexed(s, d)),
         "ivf_padded": lambda s, d: (lambda v, i: _nested_text(i.search(query_rows(v), 40, padded_form=True)))(*_indexed(s, d, 1)),
         "ivf_trained_search": _trained,
+        "ivf_stored_search": _stored,
+        "ivf_appended_search": _appended,
+        "ivf_exact_search": _exact_from_index,
+        "ivf_cells_needed": _cells_needed,
+        "feature_exact_search": _exact_features,
+        "ivf_recall_at_100": _recall_100,
+        "ivf_pq_rerank": _rerank,
+        "pq_train_rounds": _train_rounds,
+        "npy_round_trip": _npy,
+        "kmeans_oversampled": _with_data(lambda v: kmeans.oversampled(v, CELLS, seed=3)),
         "ivf_pq_adc": lambda s, d: _ivf_codes(s, d, "adc"),
         "ivf_pq_code_dot": lambda s, d: _ivf_codes(s, d, "code_dot"),
         "recall_at_k": _ivf_exact_recall,
@@ -278,6 +366,10 @@ def oracle_sql() -> dict[str, str]:
     features_ = "f AS (SELECT l_partkey AS vec_id, [max(l_quantity) / 50, max(l_extendedprice) / 100000, max(l_discount) * 10, max(l_tax) * 12.5] AS e FROM lineitem GROUP BY l_partkey), u AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS n FROM f)"
     stepped = f"{_U}, {_CELL}, {_sums_of('a', 'm')}, c0 AS (SELECT vec_id AS cell, e FROM u WHERE vec_id < {CELLS}), {_step_sql('c0', 'm', 'c1', 0.9)}"
     eight = f"{_U}, c0 AS (SELECT vec_id AS cell, e FROM u WHERE vec_id < 8), {_assign_sql('c0', 'a0')}, {_sums_of('a0', 'm0')}, {_step_sql('c0', 'm0', 'c1', 0.9)}, {_assign_sql('c1', 'a1')}, {_sums_of('a1', 'm1')}, {_step_sql('c1', 'm1', 'c2', 0.81)}, {_assign_sql('c2', 'a2')}"
+    unit = lambda e: f"list_transform({e}, lambda x: x / (sqrt(list_dot_product({e}, {e})) + 1e-8))"
+    trained = lambda probed: f"{eight}, c3 AS (SELECT cell, {unit('e')} AS n FROM c2), s3 AS MATERIALIZED (SELECT u.vec_id AS query_id, c3.cell, list_dot_product(u.n, c3.n) AS s, row_number() OVER (PARTITION BY u.vec_id ORDER BY 2 - 2 * list_dot_product(u.n, c3.n), c3.cell) AS k FROM u, c3 WHERE u.vec_id % {QUERIES} = 0), p AS MATERIALIZED (SELECT s3.query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM s3 JOIN u q ON q.vec_id = s3.query_id JOIN a2 ON a2.cell = s3.cell JOIN u x ON x.vec_id = a2.vec_id WHERE s3.k <= {probed})"
+    ranked = lambda k: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p QUALIFY rank <= {k}"
+    feature_knn = f"WITH {features_}, p AS (SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM u q, u x WHERE q.vec_id % {QUERIES} = 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h"
     nested = f"SELECT query_id, count(*) AS n, {_IDS} AS ids, {_ROUND.format('sum(d)')} AS total FROM h GROUP BY query_id"
     return {
         "l2_normalize": _elements(_U, "SELECT vec_id, n AS e FROM u", "vec_id"),
@@ -314,8 +406,17 @@ def oracle_sql() -> dict[str, str]:
         "pq_code_dot": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM o q JOIN o x USING (subspace) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, d + 0.0 AS distance FROM h",
         "pq_adc": f"WITH {_U}, {_CODED}, p AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list(q.d ORDER BY subspace)) AS d FROM dist q JOIN o x USING (subspace, code) WHERE q.vec_id % {QUERIES} = 0 GROUP BY ALL), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
         "ivf_trained_search": f"WITH {eight}, c3 AS (SELECT cell, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8)) AS n FROM c2), b3 AS (SELECT vec_id AS query_id, cell FROM (SELECT u.vec_id, c3.cell, row_number() OVER (PARTITION BY u.vec_id ORDER BY 2 - 2 * list_dot_product(u.n, c3.n), c3.cell) AS k FROM u, c3 WHERE u.vec_id % {QUERIES} = 0) WHERE k <= 3), p AS (SELECT b3.query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM b3 JOIN u q ON q.vec_id = b3.query_id JOIN a2 ON a2.cell = b3.cell JOIN u x ON x.vec_id = a2.vec_id), {_RANKED}",
+        "ivf_stored_search": f"WITH {trained(3)}, {_RANKED}",
+        "ivf_appended_search": f"WITH {trained(3)}, {_RANKED}",
+        "ivf_exact_search": _hits_sql(_knn_sql()),
+        "ivf_cells_needed": f"WITH {trained(3)}, l AS (SELECT query_id, max(d) AS far FROM ({ranked(K)}) GROUP BY query_id HAVING count(*) = {K}), w AS (SELECT a2.cell, max(acos(least(1, greatest(-1, list_dot_product(u.n, c3.n) / sqrt(list_dot_product(u.n, u.n)))))) AS r FROM a2 JOIN u USING (vec_id) JOIN c3 USING (cell) GROUP BY a2.cell) SELECT s3.query_id, count(*) AS cells FROM s3 JOIN w USING (cell) LEFT JOIN l USING (query_id) WHERE far IS NULL OR 2 - 2 * cos(greatest(0, acos(least(1, greatest(-1, s))) - r - 1e-6)) <= far GROUP BY s3.query_id",
+        "ivf_recall_at_100": f"WITH {trained(7)}, h AS ({ranked(100)}), e1 AS (SELECT q.vec_id AS query_id, x.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY 2 - 2 * list_dot_product(q.n, x.n), x.vec_id) AS k FROM u q, u x WHERE q.vec_id % {QUERIES} = 0 QUALIFY k <= 100), n1 AS (SELECT e1.query_id, count(h.vec_id) / count(*) AS share FROM e1 LEFT JOIN h ON h.query_id = e1.query_id AND h.vec_id = e1.vec_id GROUP BY e1.query_id) SELECT {_ROUND.format('avg(share)')} AS recall FROM n1",
+        "ivf_pq_rerank": f"WITH {_U}, {_CODED}, {_PROBED}, p0 AS (SELECT b4.query_id, x.vec_id, list_sum(list(q.d ORDER BY q.subspace)) AS d FROM b4 JOIN a USING (cell) JOIN o x ON x.vec_id = a.vec_id JOIN dist q ON q.vec_id = b4.query_id AND q.subspace = x.subspace AND q.code = x.code GROUP BY ALL), sl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS k FROM p0 QUALIFY k <= {SHORTLIST}), p AS (SELECT sl.query_id, sl.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM sl JOIN u q ON q.vec_id = sl.query_id JOIN u x ON x.vec_id = sl.vec_id), {_RANKED}",
+        "pq_train_rounds": f"WITH {_U}, {_CODED}, t AS (SELECT subspace, o.code, i, avg(w.e[i]) AS x FROM o JOIN w USING (vec_id, subspace), range(1, {WIDTH + 1}) g(i) GROUP BY ALL), b1 AS MATERIALIZED (SELECT b.subspace, b.code, list(coalesce(t.x, b.c[g.i]) ORDER BY g.i) AS c FROM b CROSS JOIN range(1, {WIDTH + 1}) g(i) LEFT JOIN t ON t.subspace = b.subspace AND t.code = b.code AND t.i = g.i GROUP BY ALL), o1 AS MATERIALIZED (SELECT w.vec_id, w.subspace, b1.code FROM w JOIN b1 USING (subspace) QUALIFY row_number() OVER (PARTITION BY w.vec_id, w.subspace ORDER BY {_D2.replace('b.c', 'b1.c')}, b1.code) = 1), t1 AS (SELECT subspace, o1.code, i, avg(w.e[i]) AS x FROM o1 JOIN w USING (vec_id, subspace), range(1, {WIDTH + 1}) g(i) GROUP BY ALL) SELECT b1.subspace, b1.code, CAST(g.i - 1 AS BIGINT) AS pos, {_ROUND.format('coalesce(t1.x, b1.c[g.i])')} AS value FROM b1 CROSS JOIN range(1, {WIDTH + 1}) g(i) LEFT JOIN t1 ON t1.subspace = b1.subspace AND t1.code = b1.code AND t1.i = g.i",
+        "npy_round_trip": f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, CAST(i - 1 AS BIGINT) AS pos, {_ROUND.format('e[i]')} AS value FROM v, range(1, len(e) + 1) t(i)",
         "ivf_pq_adc": f"WITH {_U}, {_CODED}, {_PROBED}, p AS (SELECT b4.query_id, x.vec_id, list_sum(list(q.d ORDER BY q.subspace)) AS d FROM b4 JOIN a USING (cell) JOIN o x ON x.vec_id = a.vec_id JOIN dist q ON q.vec_id = b4.query_id AND q.subspace = x.subspace AND q.code = x.code GROUP BY ALL), {_RANKED}",
         "ivf_pq_code_dot": f"WITH {_U}, {_CODED}, {_PROBED}, p AS (SELECT b4.query_id, x.vec_id, CAST(2 - 2 * sum(q.code * x.code) AS DOUBLE) AS d FROM b4 JOIN a USING (cell) JOIN o x ON x.vec_id = a.vec_id JOIN o q ON q.vec_id = b4.query_id AND q.subspace = x.subspace GROUP BY ALL), {_RANKED}",
         "pq_train_step": f"WITH {_U}, {_CODED}, t AS (SELECT subspace, o.code, i, avg(w.e[i]) AS x FROM o JOIN w USING (vec_id, subspace), range(1, {WIDTH + 1}) g(i) GROUP BY ALL) SELECT b.subspace, b.code, CAST(g.i - 1 AS BIGINT) AS pos, {_ROUND.format('coalesce(t.x, b.c[g.i])')} AS value FROM b CROSS JOIN range(1, {WIDTH + 1}) g(i) LEFT JOIN t ON t.subspace = b.subspace AND t.code = b.code AND t.i = g.i",
-        "feature_knn": f"WITH {features_}, p AS (SELECT q.vec_id AS query_id, x.vec_id, 2 - 2 * list_dot_product(q.n, x.n) AS d FROM u q, u x WHERE q.vec_id % {QUERIES} = 0), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) WHERE rank <= {K}) SELECT query_id, rank, vec_id, {_ROUND.format('d')} AS distance FROM h",
+        "feature_exact_search": feature_knn,
+        "feature_knn": feature_knn,
     }

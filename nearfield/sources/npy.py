@@ -120,15 +120,20 @@ class NpyWriter(DataSourceArrowWriter):
         attempt = uuid.uuid4().hex
         held: list[np.ndarray] = []
 
-        def flush() -> None:
+        def flush(least: int) -> None:
+            """Write what is held, in files of ``least`` rows; fewer rows stay, if there is a least."""
             x = np.concatenate(held)
             held.clear()
-            file = io.BytesIO()
-            np.save(file, x)
-            name = f"part-{out.partition:06d}-{len(out.parts):06d}-{attempt}.npy"
-            with fs.open_output_stream(f"{folder}/{name}") as sink:
-                sink.write(file.getbuffer())
-            out.parts.append((name, len(x)))
+            while len(x) >= max(1, least):
+                part, x = (x[:least], x[least:]) if least else (x, x[:0])
+                file = io.BytesIO()
+                np.save(file, part)
+                name = f"part-{out.partition:06d}-{len(out.parts):06d}-{attempt}.npy"
+                with fs.open_output_stream(f"{folder}/{name}") as sink:
+                    sink.write(file.getbuffer())
+                out.parts.append((name, len(part)))
+            if len(x):
+                held.append(x)
 
         for batch in iterator:
             vectors = batch.column(self.column)
@@ -142,9 +147,9 @@ class NpyWriter(DataSourceArrowWriter):
                 raise ValueError("every row must have a vector of the same width, without nulls")
             held.append(x)
             if sum(h.nbytes for h in held) >= self.part_bytes:
-                flush()
+                flush(max(1, self.part_bytes // (x.itemsize * max(1, x.shape[1]))))
         if held:
-            flush()
+            flush(0)
         return out
 
     def commit(self, messages: list[Written | None]) -> None:
