@@ -70,10 +70,12 @@ class BestK:
         """Distances of the queries ``at``, or ``at`` and following (rows), to the vectors ``ids`` (columns)."""
         if isinstance(at, int):
             at = np.arange(at, at + len(distances))
-        limit = self.worst[at]
-        if distances.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
-        q, j = np.nonzero(distances <= limit[:, None])
+        near = distances <= self.worst[at][:, None]
+        many = np.flatnonzero(near.sum(axis=1) > 2 * self.k)
+        if len(many):  # most of these can't stay
+            some = distances[many]
+            near[many] &= some <= np.partition(some, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        q, j = np.nonzero(near)
         if len(q):
             self.offer(at[q], distances[q, j], ids[j])
 
