@@ -42,11 +42,15 @@ MOST_WORDS, LEAST_COUNT = 2000, 3
 #: A letter counts 1 to 26, anything else 0.
 _LETTERS = 27
 #: A run of at least 16 characters of keys, with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}(?![A-Za-z0-9+/_\-])"
+TOKEN = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z0-9+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}(?![A-Za-z0-9+/_\-])"
 #: A key word, alone or at the end of a name, with : or =, and an opening quote.
-_ANNOUNCED = r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_.\-]{0,40}?(?i:" + "|".join(sorted(KEY_WORDS, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}"
+_ANNOUNCED = r"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_.\-]*?(?i:" + "|".join(sorted(KEY_WORDS, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}"
 #: At least 8 characters without a blank behind it: to the closing quote, or without signs that end a sentence.
 KEYED = _ANNOUNCED + r"(?:\"[^\s\"]{8,}|'[^\s']{8,}|[^\s\"'][^\s]{6,}[^\s.,;:)\]}>\"'])"
+#: A user and a password of at least 8 characters in a URL. What the patterns begin with can't stand within a match that failed, so
+#: each looks at a character a fixed number of times, whatever the text.
+_USER = r"://[^\s:/@]*:"
+IN_URL = _USER + r"[^\s/@]{8,}(?=@)"
 
 
 def _found(text: Column, pattern: str, named: str) -> Column:
@@ -78,17 +82,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``start`` counts characters of the text from 0. A null text has none. A
     value behind a key word is a candidate as a whole, and so is each token in
-    it that looks like a key; what is both is there once.
+    it that looks like a key, and a password in a URL; what is several of these
+    is there once.
     """
     names = {"doc_id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})
     rows = own(docs, **names)
     if not path_col:
         rows = rows.withColumn("path", F.lit(""))
-    rows = rows.where(F.col("text").rlike(TOKEN) | F.col("text").rlike(KEYED))
-    tokens = F.filter(_found(F.col("text"), TOKEN, r"^([A-Za-z_\-]{2,40}[=:])(.+)$"), lambda x: F.length(x["value"]) >= 8)
-    rows = rows.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), tokens.alias("tokens"), _found(F.col("text"), KEYED, rf"(?s)^({_ANNOUNCED}[\"']?)").alias("keyed"))
-    new = F.filter("keyed", lambda k: ~F.exists("tokens", lambda t: (t["start"] == k["start"]) & (t["value"] == k["value"])))
-    return rows.select("doc_id", "path", F.explode(F.concat("tokens", new)).alias("x")).select("doc_id", "path", "x.start", "x.value", "x.before", "x.after")
+    rows = rows.where(F.col("text").rlike(TOKEN) | F.col("text").rlike(KEYED) | F.col("text").rlike(IN_URL))
+    tokens = F.filter(_found(F.col("text"), TOKEN, r"^([A-Za-z_\-]{2,}[=:])(.+)$"), lambda x: F.length(x["value"]) >= 8)
+    rows = rows.select("doc_id", F.coalesce("path", F.lit("")).alias("path"), tokens.alias("tokens"), _found(F.col("text"), KEYED, rf"(?s)^({_ANNOUNCED}[\"']?)").alias("keyed"), _found(F.col("text"), IN_URL, f"^({_USER})").alias("in_url"))
+    new = lambda these, those: F.filter(these, lambda k: ~F.exists(those, lambda t: (t["start"] == k["start"]) & (t["value"] == k["value"])))
+    rows = rows.withColumn("tokens", F.concat("tokens", new("keyed", "tokens")))
+    return rows.select("doc_id", "path", F.explode(F.concat("tokens", new("in_url", "tokens"))).alias("x")).select("doc_id", "path", "x.start", "x.value", "x.before", "x.after")
 
 
 @dataclass(frozen=True)
@@ -229,6 +235,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, words: tuple[st
         (_random_text(full + "!@&#$%", pick(8, 20, "n"), "v"), asked, code, 1),
         (_random_text(full[:52], pick(10, 40, "n"), "v"), key_before, code, 1),
         (_random_text(base64, pick(257, 600, "n"), "v"), F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, key_before).otherwise(prose), code, 1),
+        (_random_text(full + "!&#$%", pick(8, 20, "n"), "v"), F.concat(prose, _one_of("postgres mysql https amqp redis ftp mongodb".split(), "k"), F.lit("://"), word("v5"), F.lit(":")), code, 1),
         (F.concat(_one_of("required optional undefined function document something".split(), "v1"), _one_of(["", "", "ing", "s", ",", "()"], "v2")), key_before, code, 0),
         (F.concat(word("v1"), _one_of(["", "-", "_", ".", "/"], "v2"), word("v3"), F.lit("s")), key_before, code, 0),
     ]

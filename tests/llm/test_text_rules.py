@@ -282,3 +282,67 @@ def test_flight_keeps_totals():
     assert moved.sum() == pytest.approx(p.sum()) and (moved * sizes).sum() == pytest.approx((p * sizes).sum())
     landed = mixing.landing(moved, sizes, float((p * sizes).sum()))
     assert set(landed) <= {0.0, 1.0} and math.isclose((landed * sizes).sum(), (p * sizes).sum(), abs_tol=500)
+
+
+def naive_candidates(text):
+    """(start, value) of all candidates, by Python's own expressions and plain loops."""
+    import re
+
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/=_\-]+", text):
+        run, start = m.group(0), m.start()
+        if len(run) < 16 or not re.search("[0-9]", run):
+            continue
+        name = re.match(r"[A-Za-z_\-]{2,}[=:](?=.)", run)
+        if name and len(run) - name.end() >= 8:
+            run, start = run[name.end() :], start + name.end()
+        elif name:
+            continue
+        out.add((start, run))
+    words = "|".join(sorted(secret_scan.KEY_WORDS, key=len, reverse=True))
+    keyed = rf"(?<![A-Za-z0-9_.\-])[A-Za-z0-9_.\-]*?(?i:{words})[\"']?\s{{0,3}}[:=]\s{{0,3}}(?:\"(?P<a>[^\s\"]{{8,}})|'(?P<b>[^\s']{{8,}})|(?P<c>[^\s\"'][^\s]{{6,}}[^\s.,;:)\]}}>\"']))"
+    for m in re.finditer(keyed, text):
+        group = next(g for g in "abc" if m.group(g))
+        out.add((m.start(group), m.group(group)))
+    for m in re.finditer(r"://[^\s:/@]*:([^\s/@]{8,})(?=@)", text):
+        out.add((m.start(1), m.group(1)))
+    return out
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(12)
+    pieces = ["password", "=", ":", " ", "\n", "\"", "'", "a1b2c3d4e5f6g7h8", "hunter2x9", "token", "://", "user", "@db", "xyz", "0123456789", "_", "-", ".", ")", "key", "==", "é"]
+    rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))), "s") for k in range(400)]
+    rows += [
+        (500, "MY_VERY_LONG_COMPANY_SERVICE_NAME_FOR_PRODUCTION_USE_DB_PASSWORD=hunter2x9", "s"),
+        (501, "x MY_VERY_LONG_COMPANY_SERVICE_NAME_FOR_PRODUCTION_USE_DB_PASSWORD=lettersonly y", None),
+        (502, "postgres://admin:s3cr3tPassw0rd@db and http://host:8080/x", "s"), (503, None, "s"), (504, "", "s"), (500, "token=a1b2c3d4e5f6g7h8", "s"), (500, "token=a1b2c3d4e5f6g7h8", "s"),
+    ]
+    got = sorted((r["doc_id"], r["start"], r["value"]) for r in secret_scan.candidates(docs(spark, rows)).collect())
+    assert got == sorted((k, *c) for k, t, _ in rows for c in naive_candidates(t or ""))
+    assert {v for k, _, v in got if k in (501, 502)} == {"lettersonly", "s3cr3tPassw0rd"}
+
+
+def test_candidates_of_very_long_lines(spark):
+    import time
+
+    n = 1_000_000
+    texts = ["=" * n, "-" * n, "a" * n, "a." * (n // 2), "key=" * (n // 4), "://" * (n // 3), "://x:" * (n // 5), "password=" + ")" * n, "ab1=" * (n // 4), "\n" * n, "key " * (n // 4)]
+    for text in texts:
+        began = time.time()
+        found = secret_scan.candidates(docs(spark, [(1, text + " token=a1b2c3d4e5f6g7h8", "s")])).select("start", "value").collect()
+        assert any(r["value"].endswith("a1b2c3d4e5f6g7h8") for r in found)
+        assert time.time() - began < 30, text[:9]
+
+
+def test_long_and_repeated_words_are_restored():
+    import time
+
+    import numpy as np
+
+    codes = np.concatenate([[0, 0], toxicity._codes("stupid idiot " * 100), [0]])
+    size = toxicity._SIZE
+    model = toxicity.CharacterModel(np.bincount((codes[:-2] * size + codes[1:-1]) * size + codes[2:], minlength=size**3))
+    began = time.time()
+    assert model.restore("stup1d" * 20_000).startswith("stupidstupid") and time.time() - began < 30
+    assert model.restore("a" * 200_000) in ("a", "aa")
