@@ -12,13 +12,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import own, table
+from nearfield.llm.common import held, own, table
 
 #: The letters that the character model tells apart; 0 stands for all else.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
@@ -32,6 +33,7 @@ _SIZE = len(LETTERS) + 1
 _CODE = np.zeros(0x250, np.int64)
 for _k, _c in enumerate(LETTERS):
     _CODE[ord(_c)] = _CODE[ord(_c.upper()) if len(_c.upper()) == 1 and ord(_c.upper()) < 0x250 else ord(_c)] = _k + 1
+_LETTER_CODE = {c: int(_CODE[ord(c)]) for c in map(chr, range(0x250)) if _CODE[ord(c)]}
 _RUN = re.compile(r"(.)\1", re.DOTALL)
 _EDGE = ".,;:?!\"'()[]{}<>«»„“”…#*%&$|"
 #: Edge signs that never are letters, and those with the exclamation mark, which seldom is one at a word's end.
@@ -55,11 +57,13 @@ class CharacterModel:
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p1 = (one + 1) / (one.sum() + _SIZE)
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
-        self.log = np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
+        log = np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
+        self.log = log.ravel().tolist()  # read one by one
 
     def restore(self, word: str) -> str:
         """The likeliest word of letters that ``word`` may stand for."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # The best path to each pair of last letters: its score, and what it wrote last behind the path before.
+        log, best = self.log, {0: (0.0, None)}
         at = 0
         while at < len(word):
             c = word[at]
@@ -68,23 +72,33 @@ class CharacterModel:
                 end += 1
             run = end - at
             at = end
-            letters = c if _codes(c)[0] else LEET.get(c, "")
-            ways = [] if c.isalpha() else [("", (_DROP_LEET if c in LEET else _DROP) * run)]
+            letters = c if c in _LETTER_CODE else LEET.get(c, "")
+            ways = [] if c.isalpha() else [("", (), (_DROP_LEET if c in LEET else _DROP) * run)]
             cost = 0.0 if c.isalpha() else _SUBSTITUTE
-            ways += [(x * k, cost + _REPEAT * abs(run - k)) for x in letters for k in (1, 2) if k <= run]
+            ways += [(x * k, (_LETTER_CODE[x],) * k, cost + _REPEAT * abs(run - k)) for x in letters for k in (1, 2) if k <= run]
             if not ways:
-                ways = [(c * run, 0.0)]
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
-                for out, cost in ways:
-                    s, p, q = score + cost, a, b
-                    for code in _codes(out).tolist() if out else ():
-                        s += self.log[p, q, code]
-                        p, q = q, code
-                    if (p, q) not in step or s > step[p, q][0]:
-                        step[p, q] = (s, text + out)
+                ways = [(c * run, (0,) * run, 0.0)]
+            step: dict[int, tuple[float, tuple | None]] = {}
+            for pair, (score, before) in best.items():
+                for out, codes, cost in ways:
+                    s, p = score + cost, pair
+                    for code in codes:
+                        s += log[p * _SIZE + code]
+                        p = p % _SIZE * _SIZE + code
+                    if p not in step or s > step[p][0]:
+                        step[p] = (s, (out, before) if out else before)
             best = step
-        return max((score + self.log[a, b, 0], text) for (a, b), (score, text) in best.items())[1]
+        _, path = max(((score + log[pair * _SIZE], path) for pair, (score, path) in best.items()), key=lambda x: x[0])
+        parts = []
+        while path:
+            parts.append(path[0])
+            path = path[1]
+        return "".join(reversed(parts))
+
+
+def decoder(counts: np.ndarray) -> tuple[CharacterModel, dict[str, str]]:
+    """The model of these counts and the words it has restored, shared by the tasks of a worker."""
+    return held(f"toxicity-{crc32(counts.tobytes())}", lambda: (CharacterModel(counts), {}))
 
 
 def disguised(word: str) -> bool:
@@ -176,8 +190,8 @@ class ToxicityModel:
     centre: np.ndarray
     scale: np.ndarray
 
-    def inputs(self, words: set[str], count: int) -> list[float]:
-        get = self.weights.get
+    def inputs(self, words: set[str], count: int, weights: dict[str, float] | None = None) -> list[float]:
+        get = (self.weights if weights is None else weights).get
         hits = sorted((max(get(w, 0.0), get(w[:4] + "*", 0.0), get(w[:5] + "*", 0.0)) for w in words), reverse=True)
         hits = [h for h in hits if h > 0]
         return [hits[0] if hits else 0.0, np.log1p(sum(hits)), len(hits) / (1 + len(words)), float(bool(hits))]
@@ -217,12 +231,16 @@ def train(
     most_rows: int = 20_000,
     most_weights: int = 4096,
     least_share: float = 0.01,
+    least_documents: int = 3,
     least_weight: float = 3.0,
 ) -> ToxicityModel:
     """Learn from at most ``most_rows`` labelled rows, the first by hash, that aren't held out.
 
-    The character model is counted over all documents. Without labels of both
-    kinds there are no weights and every score is the share of label 1, or 0.
+    Words' weights are counted on the same rows that the score is fitted on, so
+    a row's own share of them is left out there: else words that only it has
+    would look like evidence. The character model is counted over all documents. A document with several
+    labels counts with the largest. Without labels of both kinds there are no weights and every score is the share of label 1, or 0. A word
+    needs ``least_documents`` toxic documents, or ``least_share`` of them, to count.
     """
     spark = docs.sparkSession
     characters = count_characters(docs, text_col)
@@ -232,7 +250,7 @@ def train(
     shared = spark.sparkContext.broadcast(characters)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, found = CharacterModel(shared.value), {}, {}
+        (model, seen), found = decoder(shared.value), {}
         for batch in batches:
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 for feature in ["", *features_of(restored_words(text, model, seen)[0])]:
@@ -253,27 +271,37 @@ def train(
     n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
     if not n0 or not n1:
         return ToxicityModel(characters, {}, np.array([30.0 if n1 else -30.0, 0, 0, 0, 0]), np.zeros(4), np.ones(4))
-    weight = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    chosen = counts.where((F.col("feature") != "") & (F.col("n1") >= max(5, least_share * n1))).withColumn("w", weight)
-    chosen = chosen.where(F.col("w") >= min(least_weight, np.log((n0 + 1) / 2))).orderBy(F.desc(F.col("w") * F.col("n1")), "feature").limit(most_weights)
-    weights = {r["feature"]: float(r["w"]) for r in chosen.collect()}
+    least, fewest = min(least_weight, np.log((n0 + 1) / 2)), max(least_documents, least_share * n1)
+    weight = lambda ones, zeros, all1, all0: np.log((ones + 0.5) / (all1 + 1)) - np.log((zeros + 0.5) / (all0 + 1))
+    without = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.greatest(F.col("n0") - 1, F.lit(0)) + 0.5) / n0)
+    chosen = counts.where((F.col("feature") != "") & (F.col("n1") >= fewest)).withColumn("w", without).where(F.col("w") >= least)
+    chosen = [tuple(r) for r in chosen.orderBy(F.desc(F.col("w") * F.col("n1")), "feature").limit(most_weights).select("feature", "n0", "n1").collect()]
+    enough = lambda f, ones, w: {f: float(w)} if ones >= fewest and w >= least else {}
+    weights, seen0, seen1 = {}, {}, {}
+    for f, zeros, ones in chosen:
+        weights |= enough(f, ones, weight(ones, zeros, n1, n0))
+        # What the feature would weigh without a document of that label that has it.
+        seen0 |= enough(f, ones, weight(ones, max(0, zeros - 1), n1, n0 - 1))
+        seen1 |= enough(f, ones - 1, weight(ones - 1, zeros, n1 - 1, n0))
     model = ToxicityModel(characters, weights, np.zeros(5), np.zeros(4), np.ones(4))
-    rows = _inputs(sample, model, ["y"]).toArrow()  # at most most_rows rows of five numbers
+    rows = _inputs(sample, model, ["y"], (seen0, seen1)).toArrow()  # at most most_rows rows of five numbers
     x = np.column_stack([rows.column(f"x{k}").to_numpy() for k in range(4)])
     order = np.lexsort([*x.T, rows.column("y").to_numpy()])
     model.coefficients, model.centre, model.scale = _fit(x[order], rows.column("y").to_numpy()[order].astype(float))
     return model
 
 
-def _inputs(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _inputs(docs: DataFrame, model: ToxicityModel, keep: list[str], by_label: tuple[dict[str, float], dict[str, float]] | None = None) -> DataFrame:
+    """The columns to ``keep``, four inputs and the score of each row; ``by_label`` are weights for rows whose y is 0 or 1."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, by_label))
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        decoder, seen = CharacterModel(model.characters), {}
+        model, by_label = shared.value
+        restorer, seen = decoder(model.characters)
         for batch in batches:
-            x = np.array([model.inputs(*restored_words(t, decoder, seen)) for t in batch.column("text").to_pylist()], float).reshape(-1, 4)
+            own_weights = [by_label[int(y > 0)] for y in batch.column("y").to_pylist()] if by_label else [None] * len(batch)
+            x = np.array([model.inputs(*restored_words(t, restorer, seen), w) for t, w in zip(batch.column("text").to_pylist(), own_weights)], float).reshape(-1, 4)
             arrays = [batch.column(c) for c in keep] + [pa.array(x[:, k]) for k in range(4)] + [pa.array(model.score(x))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "x0", "x1", "x2", "x3", "score"])
 
