@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, own, table, written
+from nearfield.llm.common import own, table, written
 
 #: What stands between words, A-Z being lower case already.
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -64,9 +64,10 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     counted = corpus.select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
     each = counted.unionByName(every).groupBy("bucket").agg(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))
-    all_ = each.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = ((F.col("t") + 1) * (F.col("all_s") + buckets)) / ((F.col("s") + 1) * (F.col("all_t") + buckets))
-    return each.join(F.broadcast(all_), how="cross").select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
+    each = written(each, "bucket-counts")
+    all_s, all_t = each.agg(F.coalesce(F.sum("s"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    ratio = ((F.col("t") + 1) * F.lit(all_s + buckets)) / ((F.col("s") + 1) * F.lit(all_t + buckets))
+    return each.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
 
 
 def document_weights(docs: DataFrame, gain: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
@@ -126,10 +127,9 @@ def resample(
     if not 1 <= buckets <= MOST_BUCKETS:
         raise ValueError(f"between 1 and {MOST_BUCKETS} buckets")
     corpus = bucket_counts(docs, text_col, buckets, longest)
-    gain = written(gains(corpus, bucket_counts(target, target_col, buckets, longest), buckets), "gains")
+    gain = gains(corpus, bucket_counts(target, target_col, buckets, longest), buckets)
     scored = document_weights(docs, gain, id_col, text_col, buckets, longest).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     scored = written(scored, "scores")
-    discard(gain)
     fit = F.col("n_words") >= least_words
     columns = ["doc_id", "n_features", "weight", "score"]
     order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
