@@ -4,7 +4,8 @@ A host is written with its labels reversed, each followed by a dot, so that a
 host and its subdomains are one interval of keys: all that begin with the
 rule's host. Pages and rules meet in range partitions of the key; within one,
 a sorted sweep keeps a stack of the rules' hosts that are open at the present
-key, which are nested, and looks up the page's path among their rules.
+key, which are nested. The paths of a host's rules are intervals too, nested
+by a sweep of their own, so a page looks at few of them, however many there are.
 """
 
 from __future__ import annotations
@@ -47,11 +48,43 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+class Paths:
+    """The rules of one host: their paths in order, each with the next one that it begins with."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, tuple[str, str]] = {}
+        self.order: list[str] | None = None
+        self.wider: list[int] = []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        if path not in self.rules or verdict == "block":  # of equal rules, block holds
+            self.rules[path] = (rule, verdict)
+        self.order = None
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        """The rule of the longest path that ``path`` begins with.
+
+        All that begin with a path follow it in order. So the last path up to
+        this one is the wanted one, or lies within it.
+        """
+        if self.order is None:
+            self.order, self.wider, open_ = sorted(self.rules), [], []
+            for k, p in enumerate(self.order):
+                while open_ and not p.startswith(self.order[open_[-1]]):
+                    open_.pop()
+                self.wider.append(open_[-1] if open_ else -1)
+                open_.append(k)
+        at = bisect_right(self.order, path) - 1
+        while at >= 0 and not path.startswith(self.order[at]):
+            at = self.wider[at]
+        return self.rules[self.order[at]] if at >= 0 else None
+
+
 class Sweep:
-    """Rules that are open at the present key, the widest at the bottom."""
+    """Hosts with rules that are open at the present key, the widest at the bottom."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, dict[str, tuple[str, str]]]] = []
+        self.stack: list[tuple[str, Paths]] = []
 
     def to(self, key: str) -> None:
         """Leave the intervals that end before ``key``."""
@@ -61,21 +94,17 @@ class Sweep:
     def open(self, key: str, path: str, rule: str, verdict: str) -> None:
         self.to(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, {}))
-        held = self.stack[-1][1].get(path)
-        if held is None or verdict == "block":  # of equal rules, block holds
-            self.stack[-1][1][path] = (rule, verdict)
+            self.stack.append((key, Paths()))
+        self.stack[-1][1].add(path, rule, verdict)
 
     def best(self, key: str, path: str) -> tuple[str, str] | None:
         """The longest rule that fits; of equally long ones that of the longer host."""
         self.to(key)
-        found, longest = None, -1
+        found = None
         for _, paths in reversed(self.stack):
-            for size in sorted({len(p) for p in paths if len(p) <= len(path)}, reverse=True):
-                if hit := paths.get(path[:size]):
-                    if len(hit[0]) > longest:
-                        found, longest = hit, len(hit[0])
-                    break
+            hit = paths.best(path)
+            if hit and (found is None or len(hit[0]) > len(found[0])):
+                found = hit
         return found
 
 

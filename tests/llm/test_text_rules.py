@@ -346,3 +346,33 @@ def test_long_and_repeated_words_are_restored():
     began = time.time()
     assert model.restore("stup1d" * 20_000).startswith("stupidstupid") and time.time() - began < 30
     assert model.restore("a" * 200_000) in ("a", "aa")
+
+
+def test_many_rules_of_one_host():
+    import time
+
+    def took(rules):
+        now = url_filter.Sweep()
+        for k in range(rules):
+            now.open("org.", "/" + "ab"[k % 2] * (k % 90) + f"/{k}", f"org{k}", "allow")
+        now.open("org.", "/", "org/", "block")
+        began = time.time()
+        for k in range(20_000):
+            assert now.best("org.x.", f"/{'ab'[k % 2] * (k % 90)}/{k}")[0] in ("org/", *(f"org{str(k)[:n]}" for n in range(1, 6)))
+        return time.time() - began
+
+    took(30)
+    assert took(30_000) < 10 * took(30) + 1
+
+
+def test_paths_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        paths = url_filter.Paths()
+        own = ["".join(rng.choice("/ab\U0001f600") for _ in range(rng.randrange(5))) for _ in range(rng.randrange(8))]
+        for p in own:
+            paths.add(p, p, "allow")
+        for _ in range(10):
+            path = "".join(rng.choice("/ab\U0001f600c") for _ in range(rng.randrange(7)))
+            fits = [p for p in own if path.startswith(p)]
+            assert paths.best(path) == ((max(fits, key=len), "allow") if fits else None)
