@@ -10,7 +10,14 @@ Equal word sequences are one node from the start. In each bucket the nodes are
 compared with the bucket's least one, then those in another class than it with
 the least of them. After that every node that is in another class than its
 bucket's least one is compared with all nodes of other classes in the bucket,
-so a link between two documents that share a sketch is never lost. Lengths and
+so a link between two documents that share a sketch is never lost.
+
+A text of a few dozen words has too few k-mers left after its edits to share a
+sketch surely. Short texts are also put into buckets of pairs of words, the
+rarest first and so many that no link is lost ("prefix"): each edit takes away
+two pairs at most, so near texts have a known number of pairs in common.
+
+Lengths and
 counts of words, which bound the edit distance from below, spare most of these
 alignments, the first of them inside Spark's join.
 """
@@ -39,6 +46,8 @@ ROUNDS = 2
 _PROFILE, _BITMAP, _UNARY = 256, 32, 4
 #: Rows of a bucket that a stray node meets in one task.
 _BLOCK = 4000
+#: Texts of so many words, and longer ones near to these, lose no link. Counters of pairs of words: at least, at most, and pairs for each.
+SHORT_WORDS, _LEAST_COUNTERS, _MOST_COUNTERS, _PAIRS_PER_COUNTER = 50, 1 << 16, 1 << 22, 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MOST_KNOWN = 250_000
 #: Bytes of text that are taken at a time, and k-mers that are sketched at a time.
@@ -161,6 +170,62 @@ def _signatures(docs: DataFrame, count: int, seed: int) -> DataFrame:
     return docs.mapInArrow(each, f"row long, key long, doc_id {kind}, digest binary, words binary, sketches array<long>")
 
 
+def _prefix_sizes(least: float) -> np.ndarray:
+    """How many pairs of words a text of n words takes, for n up to the longest text near to a short one.
+
+    Texts whose longer one has L words and that are ``e`` edits apart have
+    L - 1 - 2 e pairs in common, so of any order of all pairs both have one of
+    these among the first n - 1 - (L - 1 - 2 e) + 1. L is at least n, and at most n / least.
+    """
+    longest = int(SHORT_WORDS / least + 1e-9)
+    out = np.zeros(longest + 1, np.int64)
+    for n in range(1, longest + 1):
+        longer = np.arange(n, int(n / least + 1e-9) + 1)
+        common = np.maximum(1, longer - 1 - 2 * np.floor(longer * (1 - least) + 1e-9).astype(np.int64))
+        out[n] = max(1, n - int(common.min()))
+    return out
+
+
+def prefix_keys(words: list[np.ndarray], sizes: np.ndarray, counters: np.ndarray) -> list[np.ndarray]:
+    """The pairs of words under which each short text is looked for: the rarest by ``counters``, then the least hashes."""
+    pairs, firsts = _kmers(words, 2)
+    of = np.repeat(np.arange(len(words)), np.diff(np.append(firsts, len(pairs))))
+    order = np.lexsort((pairs, counters[(pairs % np.uint64(len(counters))).astype(np.int64)], of))
+    keys = (pairs[order] ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
+    return [keys[a : a + sizes[len(w)]] for a, w in zip(firsts.tolist(), words)]
+
+
+def _short_buckets(texts: DataFrame, least: float) -> DataFrame:
+    """node and bucket for texts (node, words) short enough. How rare a pair is comes from counters over all of them."""
+    sizes = _prefix_sizes(least)
+    texts = texts.where(F.length("words").between(4, 4 * (len(sizes) - 1)))
+    held_pairs = texts.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0] // 4
+    many = min(_MOST_COUNTERS, max(_LEAST_COUNTERS, 1 << (held_pairs // _PAIRS_PER_COUNTER).bit_length()))
+    split = lambda batch: [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(many, np.int64)
+        for batch in batches:
+            if len(batch):
+                counts += np.bincount((_kmers(split(batch), 2)[0] % np.uint64(many)).astype(np.int64), minlength=many)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["at", "n"])
+
+    rows = texts.select("words").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most _MOST_COUNTERS
+    counters = np.zeros(many, np.uint32)
+    counters[rows.column("at").to_numpy()] = np.minimum(rows.column("n").to_numpy(), (1 << 32) - 1)
+    counters = texts.sparkSession.sparkContext.broadcast(counters)
+
+    def keyed_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                keys = prefix_keys(split(batch), sizes, counters.value)
+                nodes = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["node", "bucket"])
+
+    return texts.select("node", "words").mapInArrow(keyed_, "node long, bucket long")
+
+
 def _of(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of those nodes; where these are few, only their rows are moved later."""
     nodes = written(nodes.select(F.col("node").alias("key")).distinct(), "near-wanted")
@@ -289,7 +354,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, count: i
     nodes = written(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min(place).alias("best"), F.count("*").alias("n")), "near-nodes")
     first = nodes.select(F.col("node").alias("row"))
     buckets = signed.select("row", "sketches").join(first.hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), F.explode("sketches").alias("bucket"))
-    buckets = written(buckets, "near-buckets")
+    short = signed.where(F.length("words") <= 8 * SHORT_WORDS).select("row", "words").join(first.hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "words")
+    short = written(short, "near-short", compression="zstd")
+    buckets = written(buckets.unionByName(_short_buckets(short, least)), "near-buckets")
+    discard(short)
 
     met = None  # links found so far
     of = None  # node and component
@@ -372,7 +440,8 @@ def near_groups(
     One row per input row: doc_id, class_id (the least doc_id of the class),
     class_size (rows), texts (different word sequences in the class). Two
     documents are linked if the edit distance of their words, over the longer
-    length, is at most 1 - ``least``; classes are what links connect. Texts
+    length, is at most 1 - ``least``; classes are what links connect. Links of
+    texts of up to SHORT_WORDS words are all found where ``least`` is 0.7 or more. Texts
     without words, nulls among them, form one class. A null id is a row like
     others and is never class_id unless its class has no other. Repeated rows
     and ids are rows of their own. Other columns are ignored, whatever their

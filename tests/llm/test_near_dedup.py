@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from nearfield.llm.alignment import similar
 from nearfield.llm.components import components
-from nearfield.llm.near_dedup import SKETCHES, near_groups, one_of_each, sketches, word_hashes
+from nearfield.llm.near_dedup import SHORT_WORDS, SKETCHES, _prefix_sizes, near_groups, one_of_each, prefix_keys, sketches, word_hashes
 
 SCHEMA = "doc_id long, text string, digest string, words int, sketches int, source string"
 
@@ -107,6 +107,40 @@ def test_pairs_at_the_threshold_share_a_sketch():
             assert (sketches(one, m) == sketches(two, m)).any(axis=1).mean() >= least
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.data(), st.integers(1, SHORT_WORDS), st.sampled_from([3, 8, 1000]), st.sampled_from([0.7, 0.8, 0.9]))
+def test_near_short_texts_share_a_pair_of_words(data, n, vocabulary, least):
+    """Whatever the edits, their places and how common the words are."""
+    word = st.integers(0, vocabulary)
+    a = data.draw(st.lists(word, min_size=n, max_size=n))
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, int(n / least) - n + 2))):
+        at, kind = data.draw(st.integers(0, len(b) - 1)), data.draw(st.integers(0, 2))
+        b[at : at + 1] = [[], [data.draw(word)], [b[at], data.draw(word)]][kind] if len(b) > 1 else [b[at], data.draw(word)]
+    if distance(a, b) > int(max(len(a), len(b)) * (1 - least) + 1e-9):
+        return
+    counters = np.random.default_rng(n).integers(0, 4, 64)
+    one, two = prefix_keys([np.array(x, np.uint32) for x in (a, b)], _prefix_sizes(least), counters)
+    assert a == b or np.isin(one, two).any()
+
+
+def test_short_texts_at_the_threshold_are_linked(spark):
+    """Scattered replaced words, as many as the threshold allows, in texts of 5 to 50 words; a phrase that all texts have."""
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for n in (5, 8, 10, 15, 20, 30, 40, 50):
+        for _ in range(25):
+            a = [f"v{rng.randrange(5000)}" for _ in range(n)]
+            if n >= 10:
+                a[3:7] = ["the", "same", "old", "phrase"]
+            b = list(a)
+            for at in rng.sample(range(n), n // 5):
+                b[at] = f"other{rng.random()}"
+            wanted |= {len(rows): len(rows), len(rows) + 1: len(rows)}
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    assert {r["doc_id"]: r["class_id"] for r in near_groups(docs(spark, rows)).collect()} == wanted
+
+
 def test_nulls_ties_and_empty_table(spark):
     long = " ".join(f"w{k % 977}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (None, "alone here now"), (7, long), (8, long + " end"), (9, "One  two")]
