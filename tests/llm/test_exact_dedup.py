@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from nearfield.llm.exact_dedup import DigestFilter, deduplicate, exact_groups
+from nearfield.llm.exact_dedup import DigestFilter, Lookup, _compaction, _lookup, deduplicate, exact_groups
 
 SCHEMA = "doc_id long, text string, digest string, n int, keep_id int"
 ROWS = [
@@ -53,3 +53,23 @@ def test_filter_has_no_false_negatives():
     f.add(keys)
     assert f.might_contain(keys).all()
     assert f.might_contain([hashlib.sha256(f"x{k}".encode()).digest() for k in range(1000)]).mean() < 0.2
+
+
+def test_compaction_merges_runs_into_sorted_runs_that_lookups_find(spark):
+    """One digest is in every run, others in two; digests next to each other and one-byte ones; an empty index."""
+    digest = lambda k: hashlib.sha256(str(k).encode()).digest()
+    rows = [(run, digest(0), 2, 5, 100 - run if run else None) for run in range(40)]
+    rows += [(run, digest(k), 1, k % 3, 1000 * run + k) for run in range(2) for k in range(1, 500) if run == 0 or k % 2]
+    schema = "run long, digest binary, n long, best_chars long, keep_id long"
+    index = _compaction(spark.createDataFrame(rows, schema).repartition(5)).cache()
+    got = {bytes(r["digest"]): (r["n"], r["best_chars"], r["keep_id"]) for r in index.collect()}
+    assert got == {digest(0): (80, 5, 61)} | {digest(k): (2, k % 3, k) for k in range(1, 500, 2)}
+    lookup = _lookup(index)
+    assert lookup.first == sorted(lookup.first) and all(a <= b for a, b in zip(lookup.first, lookup.last))
+    assert all(a < b for a, b in zip(lookup.last, lookup.first[1:]))
+    assert lookup.might_contain(list(got)).all()
+    assert lookup.might_contain([digest(k) for k in range(2, 500, 2)]).mean() < 0.1
+    assert not _lookup(_compaction(spark.createDataFrame([], schema))).might_contain([digest(1), b""]).any()
+    whole = DigestFilter(bits=1 << 12)
+    whole.add([b"b", b"d"])
+    assert Lookup([(b"b", b"d", whole)]).might_contain([b"a", b"b", b"d", b"e"]).tolist() == [False, True, True, False]
