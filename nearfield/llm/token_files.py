@@ -34,6 +34,8 @@ from nearfield.llm.tokenization import default_vocabulary, encoder_of
 MAGIC = b"NFTOKEN1"
 HEADER = struct.Struct("<8s7Q")
 BLOCK_IDS = 8192
+#: Ids of a shard, after which a task begins another: 128 MiB at 16 bits.
+SHARD_IDS = 1 << 26
 END_ID = 2
 
 
@@ -154,6 +156,14 @@ class ShardReader:
             yield None if self.nulls[k] else int(self.docs[k]), a, held[a - held_from : b - held_from]
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a folder that Spark may name by another scheme, and the path in it."""
+    for spark_scheme in ("s3a://", "s3n://"):
+        if uri.startswith(spark_scheme):
+            uri = "s3://" + uri[len(spark_scheme) :]
+    return pafs.FileSystem.from_uri(uri)
+
+
 def write_tokens(
     docs: DataFrame,
     path: str | None = None,
@@ -162,6 +172,7 @@ def write_tokens(
     vocabulary: str | None = None,
     end_id: int = END_ID,
     block_ids: int = BLOCK_IDS,
+    shard_ids: int = SHARD_IDS,
 ) -> DataFrame:
     """Encode every document and write shards in ascending id order.
 
@@ -169,8 +180,13 @@ def write_tokens(
     n_tokens. Null ids come first, a null text is the end id alone, equal ids
     stand in the order of their texts; an empty table gives an empty manifest.
 
-    Each task writes one shard under a name of its own and then renames it, so
-    a task that runs twice leaves one whole file.
+    As many tasks write as a shuffle has partitions. A task begins another shard
+    after ``shard_ids`` ids, so files and what a task holds for one stay of a size
+    however large the input is; a document lies in one shard, whatever its length.
+    Each attempt of a task writes files of its own, and the manifest names those
+    of the attempt that Spark took; nothing is renamed or deleted, and what a lost
+    attempt has left is never read. Columns other than the two named are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     folder = path or scratch(spark, "tokens")
@@ -181,31 +197,37 @@ def write_tokens(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(folder)
-        encoder, writer, out = None, None, None
-        name = f"{root}/shard-{context.partitionId():06d}.bin"
-        attempt = f"{root}/_attempt-{context.partitionId():06d}-{context.taskAttemptId()}"
+        fs, root = file_system(folder)
+        encoder, writer, out, name = None, None, None, None
+        shards_done = 0
+
+        def closed() -> pa.RecordBatch:
+            """The finished shard's row of the manifest."""
+            nonlocal writer, shards_done
+            writer.close()
+            out.close()
+            row = {"shard": [(context.partitionId() << 24) + shards_done], "path": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.ids]}
+            writer, shards_done = None, shards_done + 1
+            return pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "path" else pa.int64()) for c, v in row.items()})
+
         for batch in batches:
             if not len(batch):
                 continue
-            if writer is None:
+            if encoder is None:
                 fs.create_dir(root, recursive=True)
                 encoder = encoder_of(model)
-                out = fs.open_output_stream(attempt)
-                writer = ShardWriter(out, bits_for(encoder.tokenizer.get_vocab_size()), block_ids)
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
+                    if writer is None:
+                        name = f"{root}/shard-{context.partitionId():06d}-{shards_done:06d}-{context.taskAttemptId()}.bin"
+                        out = fs.open_output_stream(name)
+                        writer = ShardWriter(out, bits_for(encoder.tokenizer.get_vocab_size()), block_ids)
                     writer.add(doc, np.append(ids, np.uint32(end_id)))
+                    if writer.ids >= shard_ids:
+                        yield closed()
         if writer is not None:
-            writer.close()
-            out.close()
-            if fs.get_file_info(name).type != pafs.FileType.NotFound:
-                fs.delete_file(name)  # an earlier attempt's, with the same content
-            fs.move(attempt, name)
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array([context.partitionId()], pa.int64()), "path": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.ids]}
-            )
+            yield closed()
 
     return written(rows.mapInArrow(each, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
 
@@ -223,7 +245,7 @@ def read_tokens(manifest: DataFrame, folder_uri: str | None = None) -> DataFrame
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(scheme)
+        fs, _ = file_system(scheme)
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 with fs.open_input_file(path) as source:

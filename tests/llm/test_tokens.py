@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearfield.llm.packing import CAPACITY, cut_lengths, pack, powers_of_two
-from nearfield.llm.token_files import ShardReader, ShardWriter, bits_for, pack_bits, read_tokens, unpack_bits, write_tokens
+from nearfield.llm.token_files import ShardReader, ShardWriter, bits_for, file_system, pack_bits, read_tokens, unpack_bits, write_tokens
 from nearfield.llm.tokenization import TextEncoder, default_vocabulary
 
 pytest.importorskip("public_tokenizers")
@@ -89,6 +89,27 @@ def test_files_hold_every_document_in_order(spark, encoder):
     assert read_tokens(write_tokens(docs(spark, []))).count() == 0
 
 
+def test_large_tasks_write_several_shards(spark, encoder):
+    rows = sample(random.Random(3))
+    frame = docs(spark, rows).repartition(5)
+    one, several = write_tokens(frame), write_tokens(frame, block_ids=100, shard_ids=1500)
+    assert several.count() > one.count() and several.agg({"n_docs": "sum"}).first()[0] == len(rows)
+    longest = max(len(encoder.whole(t or "")) + 1 for _, t in rows)
+    assert all(r["n_tokens"] < 1500 + longest for r in several.collect())
+    key = lambda r: (r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"]))
+    assert [key(r) for r in read_tokens(several).orderBy("start").collect()] == [key(r) for r in read_tokens(one).orderBy("start").collect()]
+
+
+def test_schemes_of_spark_that_arrow_has_under_another_name(tmp_path):
+    fs, path = file_system(f"file://{tmp_path}")
+    assert isinstance(fs, pafs.LocalFileSystem) and path == str(tmp_path)
+    try:
+        fs, path = file_system("s3a://bucket/folder?region=us-east-1")
+    except ImportError:  # built without it
+        return
+    assert path == "bucket/folder"
+
+
 @given(st.integers(1, 20_000))
 def test_cuts_add_up(n):
     cuts = cut_lengths(n, CAPACITY)
