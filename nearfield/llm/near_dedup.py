@@ -273,10 +273,8 @@ def _apart(left: str, right: str) -> Column:
     return sum(lacking[1:], lacking[0])
 
 
-def _possible(pairs: DataFrame, profiles: DataFrame, most: float) -> DataFrame:
-    """Those pairs (u, v) whose counts of words allow an edit distance of ``most`` of the longer text; none that is nearer is lost."""
-    side = lambda v, n, c: profiles.select(F.col("node").alias(v), F.col("n").alias(n), F.col("counts").alias(c))
-    pairs = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
+def _near_enough(pairs: DataFrame, most: float) -> DataFrame:
+    """Those pairs (u, v, their lengths n and m, their counts a and b) that may be within an edit distance of ``most`` of the longer text; none that is nearer is lost."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +287,13 @@ def _possible(pairs: DataFrame, profiles: DataFrame, most: float) -> DataFrame:
                 keep = pa.array(apart <= np.floor(longer * most + 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 
-    return pairs.mapInArrow(each, "u long, v long")
+    return pairs.select("u", "v", "n", "m", "a", "b").mapInArrow(each, "u long, v long")
+
+
+def _possible(pairs: DataFrame, profiles: DataFrame, most: float) -> DataFrame:
+    """Those pairs (u, v) that :func:`_near_enough` leaves by their profiles."""
+    side = lambda v, n, c: profiles.select(F.col("node").alias(v), F.col("n").alias(n), F.col("counts").alias(c))
+    return _near_enough(pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v"), most)
 
 
 def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: DataFrame, least: float) -> DataFrame:
@@ -323,7 +327,7 @@ def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: Dat
     there = met_too.select("node", "c", "lc", F.when(F.col("linked"), linked_token).otherwise(loose_token).alias("token"))
     # Each node's tokens, at most two for each sketch: a pair is looked at under the first that it shares.
     maps = [F.col(f"m{k}") for k in range(_BITMAP)]
-    bits = profiles.select("node", "n", sum(map(F.bit_count, maps[1:]), F.bit_count(maps[0])).alias("bits"), *maps)
+    bits = profiles.select("node", "n", "counts", sum(map(F.bit_count, maps[1:]), F.bit_count(maps[0])).alias("bits"), *maps)
     mine = written(here.groupBy("node").agg(F.collect_list("token").alias("mine")).join(bits, "node"), "near-mine", compression="zstd")
     theirs = written(there.groupBy("node").agg(F.collect_list("token").alias("theirs")).join(bits, "node"), "near-theirs", compression="zstd")
     blocks = there.groupBy("token").agg(F.ceil(F.count("*") / _BLOCK).cast("long").alias("blocks")).where("blocks > 1")
@@ -331,7 +335,7 @@ def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: Dat
     split = lambda df: df.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     here = split(here).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks").join(mine, "node")
     there = split(there).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(theirs, "node")
-    there = there.select("token", "block", "theirs", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), F.col("bits").alias("t"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP)))
+    there = there.select("token", "block", "theirs", F.col("node").alias("v"), F.col("c").alias("d"), F.col("lc").alias("ld"), F.col("n").alias("m"), F.col("counts").alias("b"), F.col("bits").alias("t"), *(F.col(f"m{k}").alias(f"o{k}") for k in range(_BITMAP)))
     allowed = F.floor(F.greatest("n", "m") * (1 - least) + 1e-9)
     # Bits that one lacks, and so what the other lacks: the difference of their totals.
     alike = (F.abs(F.col("n") - F.col("m")) <= allowed) & (_apart("m", "o") <= allowed - F.greatest(F.lit(0), F.col("t") - F.col("bits")))
@@ -340,9 +344,10 @@ def _left_over(shared: DataFrame, met: DataFrame, classed: Callable, bodies: Dat
     shared_first = F.transform(F.array(F.lit(1)), lambda place: F.element_at(F.array_intersect("mine", "theirs"), place))
     first = F.get(shared_first, F.lit(0)) == F.col("token")
     pairs = here.join(there, ["token", "block"]).where((F.col("c") != F.col("d")) & once & alike & first)
-    pairs = written(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "near-alike")
-    out = written(_possible(pairs, profiles, 1 - least), "near-possible")
-    discard(unlinked, found, loose, strays, close, met_too, profiles, mine, theirs, blocks, pairs)
+    # Both profiles are in the row, so the finer counts decide where the pair was made; each pair is made once.
+    found_near = _near_enough(pairs.select(F.col("node").alias("u"), "v", "n", "m", F.col("counts").alias("a"), "b"), 1 - least)
+    out = written(found_near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-possible")
+    discard(unlinked, found, loose, strays, close, met_too, profiles, mine, theirs, blocks)
     return out
 
 
