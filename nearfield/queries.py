@@ -7,7 +7,6 @@ would hide where normalization matters.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,6 +244,13 @@ def _code_dot(s: SparkSession, d: str) -> DataFrame:
     return _hits(pq.code_dot(codes.where(F.col("vec_id") % QUERIES == 0).withColumnRenamed("vec_id", "query_id"), codes, K))
 
 
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made vector of floats and one of bytes for every given vector's id."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    made = [make(spark, ids, DIM, 5).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")) for make in (random_vectors, random_bytes)]
+    return made[0].unionByName(made[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """A function of (spark, sf_dir) for each operator."""
     return {
@@ -299,7 +305,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeanspp_init": _with_data(lambda v: kmeans.initial(v, CELLS, seed=3, far=2)),
         "ivf_train_random": _with_data(lambda v: IVFIndex(DIM, CELLS, nprobe=4).train(v, seed=3).search(query_rows(v), K)),
         "ivf_pq_search": _with_data(lambda v: IVFIndex(DIM, CELLS, True, 4).train(v, init=first_centroids(v), iterations=2, codes=16, pq_iterations=3).search(query_rows(v), K)),
-        "generate_vectors": lambda s, d: reduce(DataFrame.unionByName, [random_vectors(s, 1000, 8, 5).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), random_bytes(s, 1000, 8, 5).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))]),
+        "generate_vectors": _generated,
     }
 
 

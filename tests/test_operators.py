@@ -134,6 +134,8 @@ def test_npy_source_reads_ranges(spark, tmp_path):
 
 def test_generators_repeat(spark):
     assert random_vectors(spark, 20, 3, 1).collect() == random_vectors(spark, 20, 3, 1).repartition(7).orderBy("vec_id").collect()
+    ids = spark.createDataFrame([(7, "x"), (3, "y"), (7, "z")], "vec_id long, other string")
+    assert random_vectors(spark, ids, 3, 1).orderBy("vec_id").collect() == random_vectors(spark, 8, 3, 1).where("vec_id in (3, 7)").unionByName(random_vectors(spark, 8, 3, 1).where("vec_id = 7")).orderBy("vec_id").collect()
     b = [x for r in random_bytes(spark, 50, 4, 1).collect() for x in r["embedding"]]
     assert 0 <= min(b) and max(b) <= 255
 
