@@ -20,12 +20,53 @@ def small(df: DataFrame, dim: int = 64) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def distances(queries: DataFrame, data: DataFrame, normalize_query: bool = False) -> DataFrame:
-    """Every query's distance to every vector: the plain form, for small or filtered inputs."""
+def _elements(df: DataFrame, keep: list[str], v: Column, dim: int, name: str) -> DataFrame:
+    """The columns to keep, one for each element, and ``two``, which is null unless there are ``dim`` elements and none is null."""
+    rows = df.select(*keep, v.alias("v"))
+    whole = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull())
+    return rows.select(*keep, F.when(whole, 2.0).alias(f"{name}_two"), *(F.coalesce(F.get("v", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"{name}{i}") for i in range(dim)))
+
+
+def distances(queries: DataFrame, data: DataFrame, normalize_query: bool = False, most: str | None = None) -> DataFrame:
+    """Every query's distance to every vector: the plain form, for small or filtered inputs.
+
+    Elements are columns that can't be null, so that Spark compiles the sum of
+    products: higher-order functions over two arrays aren't compiled. The data
+    is dealt out first, since a few files may hold many vectors. With ``most``,
+    a column of the queries, only distances that aren't larger.
+    """
+    first = queries.select(F.size("embedding").alias("d")).first()
+    dim = max(0, first["d"]) if first and first["d"] is not None else 0
     q = l2_normalize("embedding") if normalize_query else F.col("embedding")
-    left = queries.select("query_id", q.alias("q"))
-    right = data.select("vec_id", l2_normalize("embedding").alias("x"))
-    return right.join(small(left), how="cross").select("query_id", "vec_id", distance_of(dot("q", "x")).alias("distance"))
+    left = _elements(queries, ["query_id"] if most is None else ["query_id", most], q, dim, "q")
+    right = _elements(data, ["vec_id"], l2_normalize("embedding"), dim, "x").repartition(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dot_ = F.lit(0.0)
+    for i in range(dim):
+        dot_ = dot_ + F.col(f"q{i}") * F.col(f"x{i}")
+    distance = F.col("q_two") - F.col("x_two") * dot_
+    pairs = right.join(small(left, max(1, dim)), how="cross")
+    if most is not None:
+        pairs = pairs.where(F.coalesce(distance <= F.col(most), F.lit(True)))
+    return pairs.select("query_id", "vec_id", distance.alias("distance"))
+
+
+def bounded(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool) -> DataFrame:
+    """Distances among which every query's k nearest are, from the expression of :func:`distances`.
+
+    The k-th nearest of some vectors is at least as far as the k-th nearest of
+    all, so pairs beyond it needn't be ranked. Some are four times the root of
+    k times all, so that both steps rank few rows.
+    """
+    n = data.count()
+    share = 4 * (n * k) ** 0.5 / max(1, n)
+    if share >= 0.5:
+        return distances(queries, data, normalize_query)
+    some = data.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    nearest = top_k(distances(queries, some, normalize_query), k)
+    # NaN counts as larger than any number: where fewer than k were found, nothing is left out.
+    limit = nearest.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).alias("most"))
+    limited = queries.select("query_id", "embedding").join(limit, "query_id", "left").withColumn("most", F.coalesce("most", F.lit(float("nan"))))
+    return distances(limited, data, normalize_query, "most")
 
 
 def knn(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool = False, kernel: str = "gemm") -> DataFrame:
@@ -38,7 +79,7 @@ def knn(queries: DataFrame, data: DataFrame, k: int, normalize_query: bool = Fal
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    found = gemm_topk(queries, data, k, normalize_query) if kernel == "gemm" else distances(queries, data, normalize_query)
+    found = gemm_topk(queries, data, k, normalize_query) if kernel == "gemm" else bounded(queries, data, k, normalize_query)
     return top_k(found, k).select("query_id", "rank", "vec_id", "distance")
 
 

@@ -266,3 +266,13 @@ def test_single_precision_leaves_out_no_nearest_vector(scale):
     for row, ids, distances in zip(d, best.ids, best.distances):
         assert np.allclose(distances, np.sort(row)[:6], rtol=0, atol=1e-14 * max(1.0, scale))
         assert len(set(ids.tolist())) == 6
+
+
+def test_expression_ranks_few_pairs_and_loses_none(spark):
+    data = random_vectors(spark, 3000, 6, 4).unionByName(frame(spark, [(5000 + k, [0, 0, 0, 0, 0, k]) for k in range(3)]).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")))
+    queries = as_queries(data.where("vec_id % 100 = 0"))
+    found = exact.bounded(queries, data, 2, True)
+    assert found.count() < queries.count() * 3003 / 4
+    assert hits(exact.knn(queries, data, 2, True, "expression")) == hits(exact.knn(queries, data, 2, True))
+    plan = exact.distances(queries, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.split("Join")[0]  # compiled products, one column for each element
