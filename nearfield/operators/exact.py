@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import distance_of, dot, l2_normalize
-from nearfield.operators.kernels import BROADCAST_BYTES, few, gemm_topk
+from nearfield.operators.kernels import BROADCAST_BYTES, all_ranked, few, gemm_topk
 from nearfield.operators.threshold import range_scan
 from nearfield.operators.threshold import threshold_topk as scan_threshold
 from nearfield.operators.topk import top_k
@@ -103,6 +103,14 @@ def ranked_again(hits: DataFrame, queries: DataFrame, data: DataFrame, k: int, d
     return top_k(found, k).select("query_id", "rank", "vec_id", "distance")
 
 
+def ranked_pairs(queries: DataFrame, data: DataFrame, normalize_query: bool = False) -> DataFrame:
+    """All vectors of each query in descending order of distance, ranked from 1: what ``topk.order_by_distance`` does with all :func:`distances`.
+
+    No pair is a row before it has its rank.
+    """
+    return all_ranked(queries, data, normalize_query)
+
+
 def within(queries: DataFrame, data: DataFrame, radius: float, normalize_query: bool = True) -> DataFrame:
     """All vectors nearer than ``radius``: query_id, vec_id, distance."""
     return range_scan(queries, data, radius, normalize_query)

@@ -276,3 +276,15 @@ def test_expression_ranks_few_pairs_and_loses_none(spark):
     assert hits(exact.knn(queries, data, 2, True, "expression")) == hits(exact.knn(queries, data, 2, True))
     plan = exact.distances(queries, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan.split("Join")[0]  # compiled products, one column for each element
+
+
+def test_all_pairs_are_ranked_by_slices(spark, monkeypatch):
+    from nearfield.operators import topk
+
+    monkeypatch.setattr(kernels, "PAIRS_PER_SLICE", 9)
+    data = random_vectors(spark, 90, 4, 1).unionByName(random_vectors(spark, 90, 4, 1).withColumn("vec_id", F.col("vec_id") + 1000))
+    queries = as_queries(data.where("vec_id % 7 = 0"))
+    got = exact.ranked_pairs(queries, data, True)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    place = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"] % 1000, round(r["distance"], 9)) for r in df.collect())
+    assert place(got) == place(topk.order_by_distance(exact.distances(queries, data, True)))
