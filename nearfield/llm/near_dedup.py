@@ -24,6 +24,7 @@ alignments, the first of them inside Spark's join.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +43,8 @@ from nearfield.llm.components import components
 SKETCHES = 72
 #: Rounds of leaders before all that are left are compared; the result doesn't depend on it.
 ROUNDS = 2
-#: Counters of words in a profile. 64-bit numbers of its bitmap, which holds twice as many counters, up to 4 in unary.
-_PROFILE, _BITMAP, _UNARY = 256, 32, 4
+#: Counters of words in a profile, kept compressed. 64-bit numbers of its bitmap, which holds a third as many counters, up to 3 in unary.
+_PROFILE, _BITMAP, _UNARY = 2048, 32, 3
 #: Rows of a bucket that a stray node meets in one task.
 _BLOCK = 4000
 #: Texts of so many words, and longer ones near to these, lose no link. Counters of pairs of words: at least, at most, and pairs for each.
@@ -251,13 +252,13 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
 
 
 def _profiles(bodies: DataFrame) -> DataFrame:
-    """node, n (words), a bitmap of the words, and counts: how many words fall to each of a few counters, as bytes that stop at 255."""
+    """node, n (words), a bitmap of the words, and counts: how many words fall to each of many counters, as bytes that stop at 255, compressed."""
     maps = [f"m{k}" for k in range(_BITMAP)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(a, 1000) for x in batches for a in range(0, len(x), 1000)):
             words = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
-            counts = [np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes() for w in words]
+            counts = [zlib.compress(np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes()) for w in words]
             small = 64 * _BITMAP // _UNARY
             few = np.array([np.bincount(w % small, minlength=small) for w in words]).reshape(-1, small, 1)
             packed = np.packbits((few > np.arange(_UNARY)).reshape(len(words), -1), axis=1, bitorder="little").view("<i8").reshape(-1, _BITMAP)
@@ -278,9 +279,11 @@ def _near_enough(pairs: DataFrame, most: float) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.slice(at, 4000)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, _PROFILE).astype(np.int16) for c in "ab")
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                # A text is in many pairs; its profile is unpacked once for these.
+                a, b = (part.column(c).dictionary_encode() for c in "ab")
+                a, b = (np.frombuffer(b"".join(map(zlib.decompress, x.dictionary.to_pylist())), np.uint8).reshape(-1, _PROFILE).astype(np.int16)[x.indices.to_numpy()] for x in (a, b))
                 longer = np.maximum(part.column("n").to_numpy(), part.column("m").to_numpy())
                 # Each edit takes one word away, adds one, or both.
                 apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))

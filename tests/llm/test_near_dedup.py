@@ -5,7 +5,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from nearfield.llm import near_dedup
 from nearfield.llm.alignment import similar
+from nearfield.llm.common import SIMILARITY
 from nearfield.llm.components import components
 from nearfield.llm.near_dedup import SHORT_WORDS, SKETCHES, _prefix_sizes, near_groups, one_of_each, prefix_keys, sketches, word_hashes
 
@@ -207,3 +209,17 @@ def test_link_in_a_bucket_of_many_unlike_texts(spark):
     rows = [(k, t) for k, (_, t) in enumerate(texts)] + [(100, " ".join(words))]
     got = {r["doc_id"]: r["class_id"] for r in near_groups(docs(spark, rows), count=2).collect()}
     assert got == {**{k: k for k in range(40)}, 100: 39}
+
+
+def test_texts_just_beyond_the_threshold_are_told_apart_where_their_pair_is_made(spark):
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 32, 600, dtype=np.uint32)
+    vocabulary = rng.integers(0, 1 << 32, 5000, dtype=np.uint32)
+    beyond = [np.concatenate([passage, rng.choice(vocabulary, 190)]) for _ in range(40)]
+    within = [np.where(rng.random(790) < 0.15, rng.choice(vocabulary, 790), beyond[0]) for _ in range(40)]
+    bodies = spark.createDataFrame([(i, bytearray(w.astype("<u4").tobytes())) for i, w in enumerate(beyond + within)], "node long, words binary")
+    pairs = [(i, j) for i in range(40) for j in range(i)] + [(0, j) for j in range(40, 80)]
+    left = {tuple(r) for r in near_dedup._possible(spark.createDataFrame(pairs, "u long, v long"), near_dedup._profiles(bodies), 1 - SIMILARITY).collect()}
+    near = similar([((beyond + within)[u], (beyond + within)[v]) for u, v in pairs], SIMILARITY)
+    assert {p for p, yes in zip(pairs, near) if yes} <= left and all((0, j) in left for j in range(40, 80))
+    assert sum(v < 40 for _, v in left) < 0.1 * 780
