@@ -43,8 +43,8 @@ from nearfield.llm.components import components
 SKETCHES = 72
 #: Rounds of leaders before all that are left are compared; the result doesn't depend on it.
 ROUNDS = 2
-#: Counters of words in a profile, kept compressed. 64-bit numbers of its bitmap, which holds a third as many counters, up to 3 in unary.
-_PROFILE, _BITMAP, _UNARY = 2048, 32, 3
+#: Counters of words in a profile of up to so many words, and of longer ones; kept compressed. 64-bit numbers of its bitmap, which holds a third as many counters, up to 3 in unary.
+_FINE, _FINE_WORDS, _PROFILE, _BITMAP, _UNARY = 2048, 1024, 256, 32, 3
 #: Rows of a bucket that a stray node meets in one task.
 _BLOCK = 4000
 #: Texts of so many words, and longer ones near to these, lose no link. Counters of pairs of words: at least, at most, and pairs for each.
@@ -258,7 +258,8 @@ def _profiles(bodies: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x.slice(a, 1000) for x in batches for a in range(0, len(x), 1000)):
             words = [np.frombuffer(w, "<u4") for w in batch.column("words").to_pylist()]
-            counts = [zlib.compress(np.minimum(np.bincount(w % _PROFILE, minlength=_PROFILE), 255).astype(np.uint8).tobytes()) for w in words]
+            sizes = [_FINE if len(w) <= _FINE_WORDS else _PROFILE for w in words]
+            counts = [zlib.compress(np.minimum(np.bincount(w % k, minlength=k), 255).astype(np.uint8).tobytes()) for w, k in zip(words, sizes)]
             small = 64 * _BITMAP // _UNARY
             few = np.array([np.bincount(w % small, minlength=small) for w in words]).reshape(-1, small, 1)
             packed = np.packbits((few > np.arange(_UNARY)).reshape(len(words), -1), axis=1, bitorder="little").view("<i8").reshape(-1, _BITMAP)
@@ -277,16 +278,28 @@ def _apart(left: str, right: str) -> Column:
 def _near_enough(pairs: DataFrame, most: float) -> DataFrame:
     """Those pairs (u, v, their lengths n and m, their counts a and b) that may be within an edit distance of ``most`` of the longer text; none that is nearer is lost."""
 
+    def unpacked(profiles: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by many counters, and whether a profile has as many; one with few has only the first of them."""
+        counts = [np.frombuffer(zlib.decompress(x), np.uint8) for x in profiles]
+        out = np.zeros((len(counts), _FINE), np.int16)
+        for row, c in zip(out, counts):
+            row[: len(c)] = c
+        return out, np.array([len(c) == _FINE for c in counts], bool)
+
+    def folded(counts: np.ndarray) -> np.ndarray:
+        return np.minimum(counts.reshape(len(counts), -1, _PROFILE).sum(axis=1), 255)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 # A text is in many pairs; its profile is unpacked once for these.
                 a, b = (part.column(c).dictionary_encode() for c in "ab")
-                a, b = (np.frombuffer(b"".join(map(zlib.decompress, x.dictionary.to_pylist())), np.uint8).reshape(-1, _PROFILE).astype(np.int16)[x.indices.to_numpy()] for x in (a, b))
+                (a, fine_a), (b, fine_b) = ((m[x.indices.to_numpy()], f[x.indices.to_numpy()]) for x in (a, b) for m, f in (unpacked(x.dictionary.to_pylist()),))
                 longer = np.maximum(part.column("n").to_numpy(), part.column("m").to_numpy())
                 # Each edit takes one word away, adds one, or both.
-                apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+                differ = lambda x, y: np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1))
+                apart = np.where(fine_a & fine_b, differ(a, b), differ(folded(a), folded(b)))
                 keep = pa.array(apart <= np.floor(longer * most + 1e-9))
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 

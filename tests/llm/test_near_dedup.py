@@ -223,3 +223,13 @@ def test_texts_just_beyond_the_threshold_are_told_apart_where_their_pair_is_made
     near = similar([((beyond + within)[u], (beyond + within)[v]) for u, v in pairs], SIMILARITY)
     assert {p for p, yes in zip(pairs, near) if yes} <= left and all((0, j) in left for j in range(40, 80))
     assert sum(v < 40 for _, v in left) < 0.1 * 780
+
+
+def test_profiles_of_few_and_of_many_counters_lose_no_near_pair(spark):
+    rng = np.random.default_rng(6)
+    longer = [rng.integers(0, 50, n, dtype=np.uint32) * np.uint32(2654435761) for n in (1030, 1100, 1250, 3000)]
+    words = longer + [np.delete(w, rng.choice(len(w), len(w) // 5, replace=False)) for w in longer]
+    bodies = spark.createDataFrame([(i, bytearray(w.astype("<u4").tobytes())) for i, w in enumerate(words)], "node long, words binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i)], "u long, v long")
+    left = {tuple(r) for r in near_dedup._possible(pairs, near_dedup._profiles(bodies), 1 - SIMILARITY).collect()}
+    assert {(i + 4, i) for i in range(4)} <= left
