@@ -100,10 +100,16 @@ def _passes(n: Column, m: Column, i: Column, j: Column, least: float) -> Column:
     return (F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9) & (F.least(n - i, m - j) >= needed)
 
 
+def _with(lines: DataFrame, digests: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The lines whose digest's hash is among those of ``digests``; with ``left_anti`` the others, which need not be moved."""
+    return keyed(lines, F.xxhash64("digest"), digests.select(F.xxhash64("digest").alias("key")), digests.count(), how)
+
+
 def similar_lines(lines: DataFrame, distinct: DataFrame, rows: DataFrame, least: float, k: int) -> DataFrame | None:
     """Links (u, v) between nodes of ``distinct`` (digest, node) that connect its classes; None without any."""
-    again = lines.where("n > 0").select("lid", "digest").join(distinct.select("digest", "node").hint("merge"), "digest").where("lid <> node").select(F.col("lid").alias("key"))
-    again = written(again, "line-again")
+    repeated = distinct.where("copies > 1")
+    again = _with(lines.where("n > 0").select("lid", "digest"), repeated)
+    again = written(again.join(repeated.select("digest", "node").hint("merge"), "digest").where("lid <> node").select(F.col("lid").alias("key")), "line-again")
     prefixes = keyed(lines.where("n > 0").select(F.col("lid").alias("node"), "n", "prefix"), F.col("node"), again, again.count(), "left_anti")
     tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("i", "token"))
     # Only tokens of several lines matter; counted first, so that single ones aren't moved again.
@@ -196,9 +202,10 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = named.join(heads, "component").select("digest", "head", "lines")
     alone = distinct.where("copies > 1").join(named.select("digest"), "digest", "left_anti").select("digest", F.col("at").alias("head"), F.lit(1).cast("long").alias("lines"))
     classes = written(near.unionByName(alone), "line-classes")  # all other lines are alone and stay
-    # Lines without words have no class; a key of their own keeps them from meeting in one task.
-    own_key = F.coalesce("digest", F.unhex(F.hex("lid")))
-    out = lines.drop("n", "prefix").withColumn("own_key", own_key).join(classes.withColumnRenamed("digest", "own_key").hint("merge"), "own_key", "left")
+    # Lines without a class, those without words among them, stay where they are.
+    out = lines.drop("n", "prefix")
+    alone = _with(out, classes, "left_anti").withColumns({c: F.lit(None).cast(classes.schema[c].dataType) for c in ("head", "lines")})
+    out = _with(out, classes).join(classes.hint("merge"), "digest", "left").unionByName(alone)
     same = F.col("head").isNull() | (F.col("head.row") == F.col("row")) & (F.col("head.line") == F.col("line"))
     removed = F.col("digest").isNotNull() & ~same
     has_words = F.col("digest").isNotNull()

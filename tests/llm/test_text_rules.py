@@ -376,3 +376,11 @@ def test_paths_equal_brute_force():
             path = "".join(rng.choice("/ab\U0001f600c") for _ in range(rng.randrange(7)))
             fits = [p for p in own if path.startswith(p)]
             assert paths.best(path) == ((max(fits, key=len), "allow") if fits else None)
+
+
+def test_lines_of_no_class_are_not_moved(spark):
+    marked = line_dedup.mark_lines(docs(spark, [(1, "one two three\n\nfour", "s"), (2, "one  two three", "s"), (3, None, None)]))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "own_key" not in plan
+    found = {(r["doc_id"], r["line"]): (r["removed"], r["class_lines"], r["has_words"]) for r in marked.collect()}
+    assert found == {(1, 0): (False, 1, True), (1, 1): (False, 0, False), (1, 2): (False, 1, True), (2, 0): (True, 1, True), (3, 0): (False, 0, False)}
