@@ -103,12 +103,12 @@ def ranked_again(hits: DataFrame, queries: DataFrame, data: DataFrame, k: int, d
     return top_k(found, k).select("query_id", "rank", "vec_id", "distance")
 
 
-def ranked_pairs(queries: DataFrame, data: DataFrame, normalize_query: bool = False) -> DataFrame:
+def ranked_pairs(queries: DataFrame, data: DataFrame, normalize_query: bool = False, with_distance: bool = True) -> DataFrame:
     """All vectors of each query in descending order of distance, ranked from 1: what ``topk.order_by_distance`` does with all :func:`distances`.
 
     No pair is a row before it has its rank.
     """
-    return all_ranked(queries, data, normalize_query)
+    return all_ranked(queries, data, normalize_query, with_distance)
 
 
 def within(queries: DataFrame, data: DataFrame, radius: float, normalize_query: bool = True) -> DataFrame:

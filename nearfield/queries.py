@@ -271,7 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_nested": _with_data(lambda v: _nested_text(topk.nested(FlatIndexL2(DIM).add(v).search(query_rows(v), K)))),
         "knn_split": _split_rows,
         "knn_exploded": _with_data(lambda v: _hits(topk.exploded(topk.split(FlatIndexL2(DIM).add(v).search(query_rows(v), K))))),
-        "pair_sort": _with_data(lambda v: exact.ranked_pairs(query_rows(v), v, True).select("query_id", "rank", "vec_id")),
+        "pair_sort": _with_data(lambda v: exact.ranked_pairs(query_rows(v), v, True, with_distance=False).select("query_id", "rank", "vec_id")),
         "nearest_centroid": _with_data(lambda v: exact.nearest_centroid(v, first_centroids(v)).select("vec_id", F.col("cell").cast("long").alias("cell"))),
         "min_centroid_distance": _with_data(lambda v: exact.min_centroid_distance(v, first_centroids(v)).select("vec_id", _r("distance").alias("distance"))),
         "cluster_sum_count": _sums,

@@ -288,3 +288,33 @@ def test_all_pairs_are_ranked_by_slices(spark, monkeypatch):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     place = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"] % 1000, round(r["distance"], 9)) for r in df.collect())
     assert place(got) == place(topk.order_by_distance(exact.distances(queries, data, True)))
+
+
+def test_pairs_are_ranked_where_they_are_made(spark):
+    data = random_vectors(spark, 300, 8, 1)
+    plan = exact.ranked_pairs(as_queries(data.where("vec_id % 3 = 0")), data, True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("CartesianProduct")[0]  # vectors are shuffled, pairs aren't
+
+
+@pytest.mark.parametrize("held, at_once", [(1 << 25, 1 << 23), (500, 1 << 23), (500, 7), (500, 150)])
+def test_ranked_pairs_of_copies_are_ranked_by_id(spark, monkeypatch, held, at_once):
+    monkeypatch.setattr(kernels, "RANKED_PAIRS", held)
+    monkeypatch.setattr(kernels, "PAIRS_PER_SLICE", at_once)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(131, 64))
+    x[rng.permutation(131)[:60]] = x[0]
+    x[7], x[9, 3] = 0, np.nan
+    ids = rng.permutation(131)
+    ids[10:14], ids[20:23] = ids[0], ids[1]  # ids that occur again, with other vectors or the same
+    x[20:23] = x[1]
+    data = frame(spark, list(zip(ids.tolist(), x)))
+    queries = data.where(F.col("vec_id").isin(ids[:9].tolist()))
+    u, rows = kernels.normalized(x), {}
+    for i in np.flatnonzero(np.isin(ids, ids[:9])):
+        rows.setdefault(int(ids[i]), []).extend((2 - 2 * float(u[i] @ u[j]), int(ids[j])) for j in range(131))
+    want = {q: [i for _, i in sorted(pairs, key=lambda p: (not np.isnan(p[0]), 0 if np.isnan(p[0]) else -p[0], p[1]))] for q, pairs in rows.items()}
+    got = {}
+    for r in sorted(exact.ranked_pairs(as_queries(queries), data, True, with_distance=False).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert r["rank"] == len(got[r["query_id"]])
+    assert got == want
